@@ -26,7 +26,7 @@ from .components import connected_components
 
 BINS = 128
 BANDS, BAND_ROWS = 21, 6
-BLOCK = 2048
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 _BIN_SHIFT = np.uint64(64 - 7)
 _CACHE_WORDS = 400_000
 
@@ -130,38 +130,48 @@ def _set_batches(words_each: int):
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, words_each: int, percent: int) -> DataFrame:
+def _shingle_table(docs: DataFrame, ids: DataFrame, words_each: int) -> DataFrame:
+    """(id, shingles) of the documents in ids, stored."""
+    return stash(docs.join(ids, "id", "left_semi").mapInArrow(_set_batches(words_each), "id long, shingles array<long>"))
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full shingle sets reach the similarity."""
-    pairs = stash(pairs.distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stash(docs.join(ids, "id", "left_semi").mapInArrow(_set_batches(words_each), "id long, shingles array<long>"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = both.withColumn("na", F.size("sa")).withColumn("nb", F.size("sb")).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * inter >= percent * (F.col("na") + F.col("nb") - inter)).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
-def _rest_pairs(percent: int):
-    """Pairs of one bucket that stars left open: each minor member against the block's members of other labels.
+def _rest_links(percent: int):
+    """Links that stars left open: each minor member against the block's members of other labels, on full sets.
 
     Sketches only screen pairs whose estimate is far below the threshold; sets
-    with fewer shingles than bins are screened by size alone.
+    with fewer shingles than bins are screened by size alone. A minor's first
+    link to each label is enough.
     """
     floor = max(0.0, percent / 100 - 0.15)
 
     def run(key: tuple, minor: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(-1, BINS) for x in (minor, rest))
-        na, nb = minor["n"].to_numpy(), rest["n"].to_numpy()
-        la, lb = minor["label"].to_numpy(), rest["label"].to_numpy()
-        out = []
-        for i in range(len(minor)):
-            ok = (lb != la[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i]))
-            at = np.flatnonzero(ok)
-            if len(at):
-                same = (b[at] == a[i]).mean(axis=1)
-                at = at[(same >= floor) | (np.minimum(nb[at], na[i]) < BINS)]
-                out.append(pd.DataFrame({"a": minor["rep"].iat[i], "b": rest["rep"].to_numpy()[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        u, v = [], []
+        if len(minor) and len(rest):
+            a, b = (np.frombuffer(b"".join(x["sig"]), np.uint16).reshape(-1, BINS) for x in (minor, rest))
+            sa, sb = ([np.asarray(s).view(np.uint64) for s in x["shingles"]] for x in (minor, rest))
+            na, nb = (np.array([len(s) for s in x]) for x in (sa, sb))
+            la, lb, ids = minor["label"].to_numpy(), rest["label"].to_numpy(), rest["rep"].to_numpy()
+            for i, own in enumerate(sa):
+                at = np.flatnonzero((lb != la[i]) & (100 * np.minimum(nb, na[i]) >= percent * np.maximum(nb, na[i])))
+                at = at[((b[at] == a[i]).mean(axis=1) >= floor) | (np.minimum(nb[at], na[i]) < BINS)]
+                for part in np.split(at, range(256, len(at), 256)):
+                    if len(part):
+                        flat = np.concatenate([sb[j] for j in part])
+                        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                        inter = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(nb[part])[:-1]]), dtype=np.int64)
+                        linked = part[100 * inter >= percent * (na[i] + nb[part] - inter)]
+                        linked = linked[np.unique(lb[linked], return_index=True)[1]]
+                        u += [minor["rep"].iat[i]] * len(linked)
+                        v += ids[linked].tolist()
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
     return run
 
@@ -173,9 +183,10 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets of word shingles. Equal sets collapse to one representative first.
     In every band bucket the members are compared with the bucket's smallest id
     only (a star), so candidate pairs grow with the members, not their square.
-    Buckets that then still hold several components get the members outside
-    their largest component compared with all others, in blocks, so that no
-    bucket is capped or dropped.
+    Where buckets then still hold several components, the members outside their
+    largest one are compared with all members of the buckets of that largest
+    component, in blocks inside tasks, so that no bucket is capped or dropped
+    and no pairs are written out.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.where("id is not null")
@@ -185,23 +196,26 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     centers = members.groupBy("bucket").agg(F.min("rep").alias("center"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "center")
     shared = stash(members.join(centers, "bucket"))
-    links = _confirm(shared.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")), known, words_each, percent)
-    links = stash(links)
+    stars = stash(shared.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct())
+    sets = _shingle_table(known, stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), words_each)
+    links = stash(_confirm(stars, sets, percent))
     labels = connected_components(links)
 
     labelled = shared.select("rep", "bucket").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "bucket", F.coalesce("component", "rep").alias("label"))
     per = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-    open_buckets = per.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("c").alias("size")).where("labels > 1")
-    rest = stash(labelled.join(open_buckets.select("bucket", F.col("top.label").alias("top"), (F.col("size") - F.col("top.c")).alias("minors"), "size"), "bucket"))
-    rest = rest.join(reps.select("rep", "n", "sig").dropDuplicates(["rep"]), "rep")
-    blocks = lambda size: F.ceil(size / F.lit(BLOCK)).cast("int")
+    open_buckets = per.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rest = labelled.join(open_buckets.select("bucket", F.col("most.label").alias("top")), "bucket").select("top", "rep", "label").distinct()
+    rest = stash(rest.join(reps.select("rep", "n", "sig").dropDuplicates(["rep"]), "rep"))
+    blocks = lambda c, n: F.ceil(F.greatest(c / F.lit(BLOCK), n / F.lit(BLOCK_SHINGLES))).cast("int")
+    is_minor = F.col("label") != F.col("top")
+    sizes = rest.groupBy("top").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"), F.count_if(is_minor).alias("mc"), F.sum(F.when(is_minor, F.col("n"))).alias("mn"))
+    cut = rest.join(sizes.select("top", blocks(F.col("c"), F.col("n")).alias("abs"), blocks(F.col("mc"), F.col("mn")).alias("mbs")), "top")
+    cut = cut.join(sets.select(F.col("id").alias("rep"), "shingles").dropDuplicates(["rep"]), "rep")
     spread = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
-    minor = rest.where("label <> top").withColumn("mb", spread(blocks(F.col("minors")))).withColumn("ab", F.explode(F.sequence(F.lit(0), blocks(F.col("size")) - 1)))
-    every = rest.withColumn("ab", spread(blocks(F.col("size")))).withColumn("mb", F.explode(F.sequence(F.lit(0), blocks(F.col("minors")) - 1)))
-    cols, by = ["bucket", "mb", "ab", "rep", "label", "n", "sig"], ["bucket", "mb", "ab"]
-    pairs = minor.select(cols).groupBy(by).cogroup(every.select(cols).toDF(*cols).groupBy(by)).applyInPandas(_rest_pairs(percent), "a long, b long")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    more = _confirm(pairs, known, words_each, percent)
+    minor = cut.where(is_minor).withColumn("mb", spread(F.col("mbs"))).withColumn("ab", F.explode(F.sequence(F.lit(0), F.col("abs") - 1)))
+    every = cut.withColumn("ab", spread(F.col("abs"))).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("mbs") - 1)))
+    cols, by = ["top", "mb", "ab", "rep", "label", "sig", "shingles"], ["top", "mb", "ab"]
+    more = minor.select(cols).groupBy(by).cogroup(every.select(cols).toDF(*cols).groupBy(by)).applyInPandas(_rest_links(percent), "u long, v long")
     final = connected_components(links.unionByName(more))
 
     by_set = reps.select("set_key", "rep").join(final.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
