@@ -71,10 +71,10 @@ def line_dedup_report(pages: DataFrame, **params) -> DataFrame:
 def line_dedup_sql(ratio: float = 0.1, min_pages: int = 3) -> str:
     return f"""
 with d as (select doc_id, coalesce(source, '') as h, text, string_split(text, chr(10)) as ls from documents),
-l as (select h, unnest(list_distinct(list_transform(ls, x -> trim(x, ' ')))) as line from d),
+l as (select h, unnest(list_distinct(list_transform(ls, lambda x: trim(x, ' ')))) as line from d),
 c as (select h, line, count(*) as c from l where line <> '' group by 1, 2),
 n as (select h, count(*) as n from d group by 1),
 b as (select c.h, list(line) as drops from c join n on c.h = n.h where c >= {min_pages} and c::double / n > {ratio} group by 1),
-k as (select doc_id, text, ls, list_filter(ls, x -> not list_contains(coalesce(drops, []::varchar[]), trim(x, ' '))) as kept from d left join b on d.h = b.h)
+k as (select doc_id, text, ls, list_filter(ls, lambda x: not list_contains(coalesce(drops, []::varchar[]), trim(x, ' '))) as kept from d left join b on d.h = b.h)
 select doc_id, coalesce(len(ls), 0)::bigint as n_lines, (coalesce(len(ls), 0) - coalesce(len(kept), 0))::bigint as n_dropped,
   md5(array_to_string(kept, chr(10))) as text_md5 from k"""

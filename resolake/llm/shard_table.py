@@ -72,10 +72,10 @@ def shard_sql(shards: list[str], slots: int = 4093) -> str:
 with recursive names(i, shard) as (values {names}),
 orders as (select i, shard, {h("shard || ':offset'")} % {slots} as off, {h("shard || ':step'")} % {slots - 1} + 1 as step from names),
 fill(turn, claimed, owner) as (
-  select 0, -1::bigint, list_transform(range({slots}), x -> -1::bigint)
+  select 0, -1::bigint, list_transform(range({slots}), lambda x: -1::bigint)
   union all
-  select turn + 1, slot, list_transform(range({slots}), x -> case when x = slot then i::bigint else owner[x + 1] end)
-  from (select turn, owner, i, (off + list_filter(range({slots}), j -> owner[(off + j * step) % {slots} + 1] < 0)[1] * step) % {slots} as slot
+  select turn + 1, slot, list_transform(range({slots}), lambda x: case when x = slot then i::bigint else owner[x + 1] end)
+  from (select turn, owner, i, (off + list_filter(range({slots}), lambda j: owner[(off + j * step) % {slots} + 1] < 0)[1] * step) % {slots} as slot
         from fill join orders on orders.i = turn % {len(shards)} where turn < {slots}) t),
 placed as (select claimed as slot, shard from fill join names on names.i = (turn - 1) % {len(shards)} where turn > 0)
 select doc_id, k.slot, shard from (select doc_id, {h("coalesce(doc_id::varchar, '')")} % {slots} as slot from documents) k join placed on k.slot = placed.slot"""
