@@ -1,19 +1,19 @@
-"""All registered queries with their SQL counterparts."""
+"""All registered queries of the analyses with their SQL counterparts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
 
-from ..sources.tables import table
+from . import attention_queries, kernel_queries, position_queries, relational_queries, source_queries, statistic_queries
+from .bindings import QUERIES, SQL
 
+flagship = QUERIES["flagship_hub_enrichment"]
+MODULES = (position_queries, relational_queries, statistic_queries, attention_queries, kernel_queries, source_queries)
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").groupBy("label").count()
 
-
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
