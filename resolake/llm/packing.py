@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import list_array
-from .pretoken import text_slices, tokenizer
+from .pretoken import array_slices, tokenizer
 
 WINDOW = 2048
 TIERS = (2048, 1024, 512, 256)
@@ -154,9 +154,9 @@ def _pack(path: str, separator: str, keep_space: bool, end_id: int, with_ids: bo
             yield pa.RecordBatch.from_arrays(columns, names=_PIECES + ["ids"] * with_ids)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
-                flat, lengths = own.encode(texts[a:b])
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in array_slices(texts):
+                flat, lengths = own.encode(texts.slice(a, b - a))
                 ends = np.cumsum(lengths)
                 flat = np.insert(flat, ends, end_id).astype("<u4")
                 ends += np.arange(1, b - a + 1)

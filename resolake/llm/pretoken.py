@@ -1,8 +1,8 @@
 """Tokenizing whole texts through a memo of their white-space units.
 
-A word-level or byte-level BPE never merges across the start of a run of white
-space, so a text's ids are the ids of its units (a word with the white space
-before it) one after another. Invented or natural prose repeats its units
+A word-level or byte-level BPE never merges across a single space or line end
+between words, so a text's ids are the ids of its units (a word with the white
+space before it) one after another. Invented or natural prose repeats its units
 often; each worker tokenizes a unit once and gathers the rest with numpy.
 """
 
@@ -12,13 +12,24 @@ import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_ASCII_UNITS = re.compile(r"[ \t\n\r\x0b\f]*[^ \t\n\r\x0b\f]+|[ \t\n\r\x0b\f]+")
-#: White space for some Unicode definition of it, but not for the unit pattern: such texts are encoded whole.
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000]")
-MAX_UNITS = 500_000
+#: Texts with white space other than single spaces between words and single line ends after them, or with marks of special tokens.
+_SPANNING = "^[ \n]|[ \n]$|[ \n][ \n]|[\\x00-\\x09\\x0b-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_FIRST = "\x01"
+MAX_UNITS = 600_000
+#: Units that can be joined and cut again by bytes: lower-casing and normal forms keep their bytes, and a joined one keeps its own start.
+_EASY = re.compile("[!-;=-~\u00a1-\u012f\u0132-\u017e]+")
+_EASY_SPACED = re.compile("[ \t\n\r\x0b\f]+[^ \t\n\r\x0b\f<]+")
+
+
+def _unit(key: str) -> str:
+    """The text of a split unit: the first of a text stands alone, others follow a line end or a space."""
+    return key[1:] if key[:1] == _FIRST else key if key[:1] == "\n" or not key else f" {key}"
 
 
 class _Index(dict):
@@ -36,7 +47,7 @@ class UnitMemo:
 
     def _clear(self) -> None:
         self.index, self.flat, self.used = _Index(), np.empty(1 << 16, np.int32), 0
-        self.starts, self.lengths, self.known = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int32), 0
+        self.starts, self.lengths, self.known = np.empty(1 << 12, np.int32), np.empty(1 << 12, np.int32), 0
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
@@ -44,25 +55,36 @@ class UnitMemo:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
-        if len(self.index) > MAX_UNITS:
-            self._clear()
         units = [self.split(t) for t in texts]
         counts = np.fromiter(map(len, units), np.int64, len(units))
-        at = np.fromiter((i for u in units for i in map(self.index.__getitem__, u)), np.int64, int(counts.sum()))
-        if len(self.index) > self.known:
-            keys = list(self.index)[self.known :]
-            ids, lengths = self.encode_units(keys)
-            n, m = self.known + len(keys), self.used + len(ids)
+        return self.gather(list(chain.from_iterable(units)), None, counts)
+
+    def gather(self, units: list[str], at: np.ndarray | None, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from units: all in order, or distinct ones with `at` their order; counts: units of each text."""
+        own = np.fromiter(map(self.index.__getitem__, units), np.int32, len(units))
+        at = own if at is None else own[at]
+        known, used, new = self.known, self.used, []
+        if len(self.index) > known:
+            new = list(islice(reversed(self.index), len(self.index) - known))[::-1]
+            ids, lengths = self.encode_units(new)
+            n, m = known + len(new), used + len(ids)
             self.flat, self.starts, self.lengths = self._room(self.flat, m), self._room(self.starts, n), self._room(self.lengths, n)
-            self.flat[self.used : m] = ids
-            self.lengths[self.known : n] = lengths
-            self.starts[self.known : n] = self.used + np.cumsum(lengths) - lengths
+            self.flat[used:m] = ids
+            self.lengths[known:n] = lengths
+            self.starts[known:n] = used + np.cumsum(lengths) - lengths
             self.used, self.known = m, n
-        each = self.lengths[at].astype(np.int64)
-        ends = np.cumsum(each)
+        each = self.lengths[at]
+        ends = np.cumsum(each, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.starts[at] - (ends - each), each) + np.arange(total)]
+        ids = self.flat[np.repeat(self.starts[at] - (ends - each).astype(np.int32), each) + np.arange(total, dtype=np.int32)]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        if self.known > MAX_UNITS:
+            if 2 * np.count_nonzero(at >= known) > len(at):  # other texts than before: begin anew
+                self._clear()
+            else:  # full: what came first is commonest, so it stays and new units are forgotten
+                for unit in new:
+                    del self.index[unit]
+                self.known, self.used = known, used
         return ids, np.diff(upto)
 
 
@@ -76,9 +98,38 @@ class TextTokenizer:
         self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.separator, self.mark = separator, self.marked.token_to_id(separator)
-        self.memo = UnitMemo(_ASCII_UNITS.findall if keep_space else str.split, self._units)
+        self.keep_space = keep_space
+        #: Bytes of each token: byte-level tokens have a character a byte, and word ends a mark.
+        n = self.plain.get_vocab_size()
+        self.sizes = np.array([len((self.plain.id_to_token(i) or "").removesuffix("</w>" if not keep_space else "\0")) for i in range(n)], np.int64)
+        for t in (self.plain, self.marked):
+            t.model._resize_cache(0)  # new units only: they would not be found in the library's own cache
+        self.memo = UnitMemo(list, lambda keys: self._units([_unit(k) for k in keys] if keep_space else keys))
 
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """New units in a few long texts, cut again where the tokens' bytes add up to a unit's."""
+        easy = [bool(_EASY_SPACED.fullmatch(u) if self.keep_space else _EASY.fullmatch(u)) for u in units]
+        plain = [u for u, e in zip(units, easy, strict=True) if e]
+        sizes = np.fromiter((len(u.encode()) for u in plain), np.int64, len(plain))
+        joint = "" if self.keep_space else " "
+        joined = [joint.join(plain[i : i + 2048]) for i in range(0, len(plain), 2048)]
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)] or [np.empty(0, np.int32)])
+        ends = np.searchsorted(reached := np.cumsum(self.sizes[ids]), wanted := np.cumsum(sizes)) + 1
+        if len(plain) and not (reached[-1] == wanted[-1] and (reached[ends - 1] == wanted).all()):
+            return self._marked_units(units)
+        lengths = np.diff(ends, prepend=0)
+        if len(plain) == len(units):
+            return ids, lengths
+        more, each = self._marked_units([u for u, e in zip(units, easy, strict=True) if not e])
+        which, every = np.array(easy), np.zeros(len(units), np.int64)
+        every[which], every[~which] = lengths, each
+        starts, out = np.cumsum(every) - every, np.empty(int(every.sum()), np.int32)
+        for found, sizes, at in ((ids, lengths, starts[which]), (more, each, starts[~which])):
+            out[np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(found))] = found
+        return out, every
+
+    def _marked_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same with a special token between units, for any units."""
         odd = {i for i, u in enumerate(units) if "<|" in u or len(u) > 100_000}
         plain = [u for i, u in enumerate(units) if i not in odd]
         joined = [self.separator.join(plain[i : i + 512]) + self.separator for i in range(0, len(plain), 512)]
@@ -96,18 +147,35 @@ class TextTokenizer:
             ids, lengths = np.concatenate(parts), each
         return ids, lengths
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, number of ids of each text); null counts as empty."""
-        texts = [t or "" for t in texts]
-        odd = [i for i, t in enumerate(texts) if _OTHER_SPACE.search(t)]
-        if not odd:
-            return self.memo.encode(texts)
-        whole = {i: np.array(self.plain.encode(texts[i], add_special_tokens=False).ids, np.int32) for i in odd}
-        ids, lengths = self.memo.encode(["" if i in whole else t for i, t in enumerate(texts)])
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text); null counts as empty.
+
+        Arrow splits the texts at single spaces and line ends and finds the
+        distinct units; texts where such a split might part a run of white
+        space are encoded whole.
+        """
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
+        if not len(column):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        if not self.keep_space:
+            return self._split(pc.replace_substring(column, "\n", " "))
+        odd = pc.match_substring_regex(column, _SPANNING)
+        plain = pc.if_else(odd, "", column)
+        marked = pc.binary_join_element_wise(pa.scalar(_FIRST), pc.replace_substring(plain, "\n", " \n"), "")
+        ids, lengths = self._split(pc.if_else(pc.equal(plain, ""), "", marked))
+        whole = np.flatnonzero(np.asarray(odd))
+        if not len(whole):
+            return ids, lengths
         parts = np.split(ids, np.cumsum(lengths)[:-1])
-        parts = [whole.get(i, p) for i, p in enumerate(parts)]
+        for i in whole.tolist():
+            parts[i] = np.array(self.plain.encode(column[i].as_py(), add_special_tokens=False).ids, np.int32)
         return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
+    def _split(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(column, " ")
+        found = lists.flatten().dictionary_encode()
+        return self.memo.gather(found.dictionary.to_pylist(), np.asarray(found.indices), np.asarray(lists.value_lengths()).astype(np.int64))
+
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str, separator: str, keep_space: bool) -> TextTokenizer:
@@ -125,3 +193,14 @@ def text_slices(texts: list[str | None], chars: int = 2_000_000):
             at, size = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+
+
+def array_slices(column: pa.Array, size: int = 8_000_000):
+    """Index ranges of a text column of about so many bytes, so that memory stays bounded by them or by one text."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))
+    at = 0
+    while at < len(column):
+        start = int(ends[at - 1]) if at else 0
+        to = max(int(np.searchsorted(ends, start + size, side="right")), at + 1)
+        yield at, to
+        at = to

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import list_array, shared_dir
-from .pretoken import text_slices, tokenizer
+from .pretoken import array_slices, tokenizer
 
 BLOCK_TOKENS = 2_000_000
 DOCS_PER_FILE = 8192
@@ -82,10 +82,10 @@ def _encode(path: str, separator: str, keep_space: bool, end_id: int):
         vocab = max(own.plain.get_vocab_size(), end_id + 1)
         part, block, ids, counts, tokens, size = 0, 0, [], [], [], 0
         for batch in batches:
-            doc_ids, texts, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            doc_ids, texts, parts = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
             part = parts[0].as_py() if batch.num_rows else part
-            for a, b in text_slices(texts):
-                flat, lengths = own.encode(texts[a:b])
+            for a, b in array_slices(texts):
+                flat, lengths = own.encode(texts.slice(a, b - a))
                 ends = np.cumsum(lengths)
                 tokens.append(np.insert(flat, ends, end_id).astype(np.int32))
                 ids += doc_ids[a:b]
