@@ -150,7 +150,8 @@ def nearest_by_inner_product(vectors: DataFrame, is_query: Column, k: int = 20,
     blocks of it, so that a cell with most of the data is still many tasks;
     queries come to a block once, with the list of its cells to visit.
 
-    share: part of all vectors in the cells that a query visits. Vectors
+    share: part of all vectors in the cells that a query visits, k + 1 vectors at
+    least, so that small tables are searched whole. Vectors
     without structure need about half for 0.95 of the true neighbours; clustered
     ones far less.
     """
@@ -176,7 +177,7 @@ def nearest_by_inner_product(vectors: DataFrame, is_query: Column, k: int = 20,
     n_queries = queries.count()
     if not n_queries:
         return none
-    wanted = max(1, int(np.ceil(share * sizes.sum())))
+    wanted = max(k + 1, int(np.ceil(share * sizes.sum())))
     tasks = max(8, vectors.sparkSession.sparkContext.defaultParallelism * 2)
     probes = queries.select("rep", "v").repartition(tasks).mapInArrow(_probe(c1, c2, sizes, wanted, dim), "rep long, v array<float>, c1 int, c2s array<int>")
     q_blocks = -(-n_queries // QUERY_BLOCK)
