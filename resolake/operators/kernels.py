@@ -239,3 +239,31 @@ def patch_motifs(attn: DataFrame, size: int = 5, motifs: int = 4, seed: int = 42
         return pd.DataFrame({"name": str(pdf["name"].iat[0]), "motif": kinds, "patches": [int((labels == k).sum()) for k in kinds], "mean": [raw[labels == k].mean() for k in kinds]})
 
     return attn.groupBy("name").applyInPandas(run, "name string, motif int, patches long, mean double")
+
+
+def stacked_pca(attn: DataFrame, size: int, components: int = 2) -> DataFrame:
+    """(name, pc, score, variance_ratio): principal components of whole matrices as vectors of their first size x size cells.
+
+    Cells are standardised over matrices and inner products of matrices summed
+    by Spark; only the small matrix of products (a row a sequence) is
+    decomposed. Scores' largest entry is made positive.
+    """
+    cells = attn.where((F.col("i") < size) & (F.col("j") < size)).select(F.col("name").cast("string").alias("name"), "i", "j", "w")
+    over = Window.partitionBy("i", "j")
+    sd = F.stddev_pop("w").over(over)
+    z = cells.withColumn("z", F.when(sd > 1e-12, F.try_divide(F.col("w") - F.avg("w").over(over), sd)).otherwise(0.0)).select("name", "i", "j", "z")
+    other = z.select(F.col("name").alias("b"), "i", "j", F.col("z").alias("y"))
+    gram = z.join(other, ["i", "j"]).groupBy(F.col("name").alias("a"), "b").agg(F.sum(F.col("z") * F.col("y")).alias("g"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf.pivot(index="a", columns="b", values="g").fillna(0.0).sort_index().sort_index(axis=1)
+        values, vectors = np.linalg.eigh(g.to_numpy())
+        values = np.maximum(values[::-1], 0)
+        out = []
+        for c in range(min(components, len(values))):
+            v = vectors[:, ::-1][:, c] * np.sqrt(values[c])
+            v = v * (np.sign(v[np.abs(v).argmax()]) or 1)
+            out.append(pd.DataFrame({"name": g.index, "pc": c + 1, "score": v, "variance_ratio": values[c] / values.sum() if values.sum() else 0.0}))
+        return pd.concat(out)
+
+    return gram.groupBy(F.lit(0)).applyInPandas(run, "name string, pc int, score double, variance_ratio double")

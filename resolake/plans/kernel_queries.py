@@ -88,6 +88,11 @@ def _(spark, d):
     return kernels.patch_motifs(attn(spark, d))
 
 
+@query("g16_stacked_pca", "name:s pc:l score:d variance_ratio:d")
+def _(spark, d):
+    return kernels.stacked_pca(attn(spark, d), 16)
+
+
 @query("a37_bootstrap_mean", "key:s n:l mean:d low:d high:d")
 def _(spark, d):
     m = series(spark, d).groupBy("name", F.col("cat").alias("key")).agg(F.avg("value").alias("x"))
