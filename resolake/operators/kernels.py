@@ -266,4 +266,4 @@ def stacked_pca(attn: DataFrame, size: int, components: int = 2) -> DataFrame:
             out.append(pd.DataFrame({"name": g.index, "pc": c + 1, "score": v, "variance_ratio": values[c] / values.sum() if values.sum() else 0.0}))
         return pd.concat(out)
 
-    return gram.groupBy(F.lit(0)).applyInPandas(run, "name string, pc int, score double, variance_ratio double")
+    return gram.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, "name string, pc int, score double, variance_ratio double")

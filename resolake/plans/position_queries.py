@@ -221,7 +221,7 @@ best as (select name, lag, acf, row_number() over (partition by name order by (c
 dom as (select name, case when ok then lag end as lag, case when ok then acf end as acf from best where o = 1)"""
 
 
-@query("w19_dominant_lag", "name:l lag:l acf:d", _ACF + " select * from dom", "series")
+@query("w19_dominant_lag", "name:l lag:d acf:d", _ACF + " select * from dom", "series")
 def _(spark, d):
     return attention.dominant_lag(attention.autocorrelation(series(spark, d), 15, ["name"], "i", "value"), ["name"])
 

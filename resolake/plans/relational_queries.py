@@ -309,7 +309,7 @@ def _(spark, d):
     return ct.with_all_bucket(e, "cat", "flag", F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query("o7_s34_union_by_name", "run:s a:l b:d", "select 'x' as run, n_nationkey as a, null::double as b from nation union all select 'y', null, s_acctbal from supplier")
+@query("o7_s34_union_by_name", "run:s a:d b:d", "select 'x' as run, n_nationkey as a, null::double as b from nation union all select 'y', null, s_acctbal from supplier")
 def _(spark, d):
     x = table(spark, d, "nation").select(F.lit("x").alias("run"), F.col("n_nationkey").cast("long").alias("a"))
     y = table(spark, d, "supplier").select(F.lit("y").alias("run"), F.col("s_acctbal").alias("b"))
