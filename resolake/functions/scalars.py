@@ -137,8 +137,8 @@ def segment_shifted(seq: Column, i: Column, width: int) -> Column:
 
 
 def kmers(seq: Column, k: int) -> Column:
-    n = F.length(seq) - (k - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.substring(seq, p, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    """All overlapping windows of k characters, in one pass (a substring by position would walk the text anew each time)."""
+    return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
 def dot(a: Column, b: Column, dim: int) -> Column:

@@ -176,11 +176,12 @@ def _(spark, d):
     return p.groupBy("name", "i").agg(F.max("w").alias("best"), F.sum(-F.col("w") * F.log2("w")).alias("entropy"))
 
 
-@query("m8_head_mean", "name:l i:l j:l w:d", """
-with t as (select name, i, j, avg(w) as w from (select name, i, j, w from attn union all select name, i, j, w from half) where i <> 0 and j <> 0 group by 1, 2, 3) select name, i, j, w / sum(w) over (partition by name, i) as w from t where name = 1""", "attn", "half")
+@query("m8_head_mean", "name:l i:l n:l best:d total:d", """
+with t as (select name, i, j, avg(w) as w from (select name, i, j, w from attn union all select name, i, j, w from half) where i <> 0 and j <> 0 group by 1, 2, 3), r as (select name, i, j, w / sum(w) over (partition by name, i) as w from t) select name, i, count(*) as n, max(w) as best, sum(w) as total from r group by 1, 2""", "attn", "half")
 def _(spark, d):
-    heads = attn(spark, d).withColumn("head", F.lit(0)).unionByName(half(spark, d).withColumn("head", F.lit(1))).where("name = 1")
-    return at.head_mean(heads, (F.col("i") == 0) | (F.col("j") == 0))
+    heads = attn(spark, d).withColumn("head", F.lit(0)).unionByName(half(spark, d).withColumn("head", F.lit(1)))
+    mean = at.head_mean(heads, (F.col("i") == 0) | (F.col("j") == 0))
+    return mean.groupBy("name", "i").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("best"), F.sum("w").alias("total"))
 
 
 @query("j15_contact_pairs", "name:l pairs:l mean:d", """
@@ -192,12 +193,12 @@ def _(spark, d):
     return at.distances_below(p, 0.1).groupBy("name").agg(F.count(F.lit(1)).alias("pairs"), F.avg("distance").alias("mean"))
 
 
-_SEQ = "with t as (select doc_id as name, left(regexp_replace(lower(text), '[^a-z]', '', 'g'), 200) as seq from documents)"
+_SEQ = "with t as (select doc_id as name, regexp_replace(lower(text), '[^a-z]', '', 'g') as seq from documents)"
 
 
 def _seqs(spark, d):
-    """Letter sequences: the first 200 letters a-z, as long as the domain's sequences."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.substring(F.regexp_replace(F.lower("text"), "[^a-z]", ""), 1, 200).alias("seq"))
+    """Letter sequences: the letters a-z of each whole text."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.regexp_replace(F.lower("text"), "[^a-z]", "").alias("seq"))
 
 
 @query("w25_kmer_counts", "kmer:s n:l", _SEQ + " select substr(seq, k, 3) as kmer, count(*) as n from (select seq, unnest(range(1, len(seq) - 1)) as k from t where len(seq) >= 3) group by 1")
@@ -235,11 +236,12 @@ def _(spark, d):
 
 
 @query("f31_kmer_enrichment", "kmer:s hits:l fraction:d bg_fraction:d ratio:d brightness_sum:d brightness_mean:d", _SEQ + """, k as (select name, substr(seq, k, 2) as kmer from (select name, seq, unnest(range(1, len(seq))) as k from t where len(seq) >= 2)), b as (select kmer, count(*) as n from k group by 1),
-h as (select kmer, count(*) as hits, sum(name % 5 + 1) as s, avg(name % 5 + 1) as m from k where name % 3 = 0 group by 1)
+h as (select kmer, count(*) as hits, sum(name % 5 + 1) as s, avg(name % 5 + 1) as m from k where name in (select doc_id from documents where lang = 'en') group by 1)
 select h.kmer, hits, hits / sum(hits) over () as fraction, b.f as bg_fraction, (hits / sum(hits) over ()) / b.f as ratio, s as brightness_sum, m as brightness_mean from h left join (select kmer, n / sum(n) over () as f from b) b on b.kmer = h.kmer""")
 def _(spark, d):
     s = _seqs(spark, d)
-    hits = s.where("name % 3 = 0").select((F.col("name") % 5 + 1).cast("double").alias("brightness"), F.explode(scalars.kmers(F.col("seq"), 2)).alias("kmer"))
+    english = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("name"))
+    hits = s.join(english, "name", "left_semi").select((F.col("name") % 5 + 1).cast("double").alias("brightness"), F.explode(scalars.kmers(F.col("seq"), 2)).alias("kmer"))
     return motifs.kmer_enrichment(hits, motifs.kmer_counts(s, 2))
 
 
@@ -250,11 +252,15 @@ def _(spark, d):
     return chars.groupBy("name").agg(F.sum(F.col("h")[0]).alias("aa"), F.sum(F.col("h")[1]).alias("cc"), F.sum(1 - known).alias("other"))
 
 
-@query("f2_f6_names_and_ids", "name:s letter:s entry:s chain:s token:s", """
-with t as (select unnest(['HSD', 'ala', 'CYX', 'XYZ']) as r, unnest(['1ABC_A', '2Xyz_BC', 'none', '3DEF_C_1']) as id, unnest(['a_320_x.xtc', 'b_c_450_y.xtc', 'q', 'm_n']) as f)
-select r as name, case upper(r) when 'HSD' then 'H' when 'ALA' then 'A' when 'CYX' then 'C' else 'X' end as letter, case when contains(id, '_') then lower(split_part(id, '_', 1)) end as entry, case when contains(id, '_') then substr(id, position('_' in id) + 1) end as chain,
+@query("f2_f6_names_and_ids", "key:l name:s letter:s entry:s chain:s token:s", """
+with t as (select p_partkey, case p_size % 5 when 0 then 'HSD' when 1 then 'ala' when 2 then 'CYX' when 3 then 'XYZ' end as r, case when p_size % 7 = 0 then p_brand else p_brand || '_' || p_type || '_x' end as id, case when p_size % 3 = 0 then p_name else 'a_' || p_size || '_' || p_brand end as f from part)
+select p_partkey as key, r as name, case upper(r) when 'HSD' then 'H' when 'ALA' then 'A' when 'CYX' then 'C' else 'X' end as letter, case when contains(id, '_') then lower(split_part(id, '_', 1)) end as entry, case when contains(id, '_') then substr(id, position('_' in id) + 1) end as chain,
 case when len(string_split(f, '_')) >= 2 then string_split(f, '_')[-2] end as token from t""")
 def _(spark, d):
-    t = spark.createDataFrame([("HSD", "1ABC_A", "a_320_x.xtc"), ("ala", "2Xyz_BC", "b_c_450_y.xtc"), ("CYX", "none", "q"), ("XYZ", "3DEF_C_1", "m_n")], "r string, id string, f string")
+    size, kinds = F.col("p_size"), ["HSD", "ala", "CYX", "XYZ"]
+    r = F.element_at(F.array(*[F.lit(x) for x in [*kinds, None]]), size % 5 + 1)
+    name = F.when(size % 7 == 0, F.col("p_brand")).otherwise(F.concat_ws("_", "p_brand", "p_type", F.lit("x")))
+    file = F.when(size % 3 == 0, F.col("p_name")).otherwise(F.concat_ws("_", F.lit("a"), size.cast("string"), "p_brand"))
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("key"), r.alias("r"), name.alias("id"), file.alias("f"))
     entry, chain = scalars.split_chain(F.col("id"))
-    return t.select(F.col("r").alias("name"), scalars.residue_letter(F.col("r")).alias("letter"), entry.alias("entry"), chain.alias("chain"), scalars.name_token(F.col("f")).alias("token"))
+    return t.select("key", F.col("r").alias("name"), scalars.residue_letter(F.col("r")).alias("letter"), entry.alias("entry"), chain.alias("chain"), scalars.name_token(F.col("f")).alias("token"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import attention as at
-from ..operators import estimators, kernels
+from ..operators import estimators, kernels, sampling
 from ..sources.tables import table
 from .attention_queries import _seqs
 from .bindings import attn, query, res, series, vecs
@@ -120,8 +120,9 @@ def _(spark, d):
 
 def _fitted(spark, d, estimator):
     x = _features(spark, d)
-    model = estimators.feature_pipeline(["prev_1", "next_1", "rel_pos"], ["cat", "prev_1_cat", "next_1_cat"], estimator).fit(x.where("name % 5 <> 0"))
-    p = model.transform(x.where("name % 5 = 0"))
+    x = sampling.group_split(x, F.col("name").cast("string"))
+    model = estimators.feature_pipeline(["prev_1", "next_1", "rel_pos"], ["cat", "prev_1_cat", "next_1_cat"], estimator).fit(x.where("split = 'train'"))
+    p = model.transform(x.where("split = 'test'"))
     return p.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -12,9 +12,9 @@ from .bindings import attn, half, query, res, series
 
 
 @query("j1_three_way_join", "orderkey:l part:s supplier:s quantity:d", """
-select l_orderkey as orderkey, p_name as part, s_name as supplier, l_quantity as quantity from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey where l_quantity >= 49""")
+select l_orderkey as orderkey, p_name as part, s_name as supplier, l_quantity as quantity from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey""")
 def _(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
     return li.join(p, "l_partkey").join(s, "l_suppkey").select(F.col("l_orderkey").alias("orderkey"), F.col("p_name").alias("part"), F.col("s_name").alias("supplier"), F.col("l_quantity").alias("quantity"))
@@ -44,11 +44,10 @@ def _(spark, d):
     return joining.lookup_status(docs, ref, "doc_id", "length", "ref_length").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j5_join_on_text", "doc_id:l last_id:l", "select d.doc_id, l.m as last_id from documents d join (select text, max(doc_id) as m from documents where doc_id % 2 = 0 group by 1) l on l.text = d.text where d.doc_id % 2 = 1")
+@query("j5_join_on_text", "doc_id:l last_id:l", "select d.doc_id, l.m as last_id from documents d join (select text, max(doc_id) as m from documents group by 1) l on l.text = d.text")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    b = docs.where("doc_id % 2 = 0").select("text", F.col("doc_id").alias("last_id"))
-    return joining.join_on_text(docs.where("doc_id % 2 = 1"), b, "text", ["last_id"])
+    return joining.join_on_text(docs, docs.select("text", F.col("doc_id").alias("last_id")), "text", ["last_id"])
 
 
 @query("j6_join_id_or_text", "doc_id:l quality:l", """
@@ -103,10 +102,11 @@ def _(spark, d):
     return joining.all_pairs_of_models(r, ["name", "cat"], "v").groupBy("model_a", "model_b").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("value_a") - F.col("value_b"))).alias("mean_gap"))
 
 
-@query("j14_truncated_alignment", "name:l n:l", "select a.name, count(*) as n from (select * from series where i < 40) a join (select * from series where cat <> 'view') b on a.name = b.name and a.i = b.i group by 1", "series")
+@query("j14_truncated_alignment", "name:l n:l", "select a.name, count(*) as n from series a join (select name, row_number() over (partition by name order by i) - 1 as i from series where cat <> 'view') b on a.name = b.name and a.i = b.i group by 1", "series")
 def _(spark, d):
     s = series(spark, d)
-    return s.where("i < 40").select("name", "i").join(s.where("cat <> 'view'").select("name", "i"), ["name", "i"]).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    shorter = s.where("cat <> 'view'").select("name", (F.row_number().over(Window.partitionBy("name").orderBy("i")) - 1).alias("i"))
+    return s.select("name", "i").join(shorter, ["name", "i"]).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a1_a2_fraction_of_total", "cat:s n:l fraction:d", "select event_type as cat, count(*) as n, count(*) / sum(count(*)) over () as fraction from events group by 1")
@@ -246,10 +246,10 @@ def _(spark, d):
 
 
 @query("a32_majority_baseline", "majority:s accuracy:d", """
-with m as (select event_type as majority from events where event_id % 5 <> 0 group by 1 order by count(*) desc, 1 limit 1) select majority, avg((event_type = majority)::int) as accuracy from events, m where event_id % 5 = 0 group by 1""")
+with m as (select event_type as majority from events where extract(day from ts) <= 20 group by 1 order by count(*) desc, 1 limit 1) select majority, avg((event_type = majority)::int) as accuracy from events, m where extract(day from ts) > 20 group by 1""")
 def _(spark, d):
     e = table(spark, d, "events")
-    return ct.majority_baseline(e.where("event_id % 5 <> 0"), e.where("event_id % 5 = 0"), "event_type")
+    return ct.majority_baseline(e.where("dayofmonth(ts) <= 20"), e.where("dayofmonth(ts) > 20"), "event_type")
 
 
 _AGREE = "with a as (select name, j as i, floor(max(w) * 1000)::int % 3 as c from attn group by 1, 2), b as (select name, j as i, floor(max(w) * 1000)::int % 3 as c from half group by 1, 2)"
@@ -283,12 +283,13 @@ def _(spark, d):
 
 
 @query("a39_sequence_identity", "n:l mean:d", """
-with t as (select p_brand, p_type, p_name from part), x as (select lower(left(p_name, 6)) as a, lower(left(p_type, 6)) as b from t)
-select count(*) as n, avg(list_sum(list_transform(range(1, 7), lambda k: (substr(a, k, 1) = substr(b, k, 1))::int)) / 6.0) as mean from x where length(a) = 6 and length(b) = 6""")
+with x as (select a.c_name as a, b.c_name as b from customer a join customer b on b.c_custkey = a.c_custkey + 1)
+select count(*) as n, avg(list_sum(list_transform(range(1, len(a) + 1), lambda k: (substr(a, k, 1) = substr(b, k, 1))::int)) / len(a)::double) as mean from x where length(a) = length(b)""")
 def _(spark, d):
     from ..functions.scalars import identity
 
-    x = table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 6)).alias("a"), F.lower(F.substring("p_type", 1, 6)).alias("b")).where("length(a) = 6 and length(b) = 6")
+    c = table(spark, d, "customer")
+    x = c.select("c_custkey", F.col("c_name").alias("a")).join(c.select((F.col("c_custkey") - 1).alias("c_custkey"), F.col("c_name").alias("b")), "c_custkey")
     return x.select(identity(F.col("a"), F.col("b")).alias("x")).agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
 
 

@@ -16,9 +16,9 @@ def _(spark, d):
     return table(spark, d, "events").groupBy(p.getField("k").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query("s1_s3_list_texts", "name:l n:l total:m", "select name, count(*) as n, sum(round(value, 3)) as total from series where i < 20 group by 1", "series")
+@query("s1_s3_list_texts", "name:l n:l total:m", "select name, count(*) as n, sum(round(value, 3)) as total from series group by 1", "series")
 def _(spark, d):
-    s = series(spark, d).where("i < 20").select("name", F.struct("i", F.format_string("%.3f", F.round("value", 3)).alias("v")).alias("x"))
+    s = series(spark, d).select("name", F.struct("i", F.format_string("%.3f", F.round("value", 3)).alias("v")).alias("x"))
     text = s.groupBy("name").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda r: r["v"]), ", "), F.lit("]")).alias("neq"))
     v = text.select("name", F.explode(readers.parse_list(F.col("neq"))).alias("v"))
     return v.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
@@ -39,12 +39,13 @@ def _(spark, d):
 
 
 @query("p5_per_temperature", "domain:l temp:l neq:d", """
-with w as (select user_id as domain, max(value) filter (event_id % 3 = 0) as a, max(value) filter (event_id % 3 = 1) as b from events group by 1)
-select domain, 320 as temp, a as neq from w where a is not null union all select domain, 348, b from w where b is not null""")
+select user_id as domain, case event_type when 'click' then 320 when 'purchase' then 348 when 'view' then 379 else 413 end as temp, max(value) as neq from events group by 1, 2""")
 def _(spark, d):
-    e = table(spark, d, "events").where("event_id % 3 < 2").groupBy(F.col("user_id").alias("domain"), F.lit("x").alias("sequence"), (F.lit(320) + 28 * (F.col("event_id") % 3)).cast("int").alias("t")).agg(F.max("value").alias("v"))
-    wide = temperature_pivot(e, ["domain", "sequence"], "t", [320, 348], "v").withColumnsRenamed({"320": "neq_320", "348": "neq_348"})
-    return readers.per_temperature(wide, [320, 348])
+    kind, temps = F.col("event_type"), [320, 348, 379, 413]
+    t = F.when(kind == "click", 320).when(kind == "purchase", 348).when(kind == "view", 379).otherwise(413)
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("domain"), F.lit("x").alias("sequence"), t.alias("t")).agg(F.max("value").alias("v"))
+    wide = temperature_pivot(e, ["domain", "sequence"], "t", temps, "v").withColumnsRenamed({str(x): f"neq_{x}" for x in temps})
+    return readers.per_temperature(wide, temps)
 
 
 @query("p4_nan_filter", "n:l", "select count(*) as n from documents where not contains(lower(text), 'nan')")

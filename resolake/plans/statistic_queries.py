@@ -179,11 +179,16 @@ def _(spark, d):
     return statistics.qq_points(table(spark, d, "documents").select("doc_id", F.ln(F.col("n_chars").cast("double")).alias("x")), "x", "doc_id")
 
 
-@query("e21_effect_verdict", "verdict:s", """
-with e as (select 1.0 * eta as a, lead(eta) over (order by m) as b from (select 0 as m, 0.30 as eta union all select 1, 0.20)) select case when a > 1.2 * b then 'first' when b > 1.2 * a then 'second' else 'similar' end as verdict from e where b is not null""")
+_EFFECT = "(with " + _KW.removeprefix("with ") + " select (h - k + 1) / (n - k) as eta2 from h)"
+
+
+@query("e21_effect_verdict", "a:d b:d verdict:s", f"""
+select a, b, case when a > 1.2 * b then 'first' when b > 1.2 * a then 'second' else 'similar' end as verdict from (select {_EFFECT} as a, {_EFFECT.replace("event_type as g", "extract(hour from ts) as g")} as b)""")
 def _(spark, d):
-    e = spark.createDataFrame([(0.30, 0.20)], "a double, b double")
-    return e.select(F.when(F.col("a") > 1.2 * F.col("b"), "first").when(F.col("b") > 1.2 * F.col("a"), "second").otherwise("similar").alias("verdict"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("g"), F.hour("ts").cast("string").alias("hour"), F.floor("value").alias("x"))
+    a, b = (statistics.kruskal_wallis(e, "x", g).select(F.col("eta2").alias(n)) for g, n in (("g", "a"), ("hour", "b")))
+    both = a.crossJoin(b)  # a row each
+    return both.select("a", "b", F.when(F.col("a") > 1.2 * F.col("b"), "first").when(F.col("b") > 1.2 * F.col("a"), "second").otherwise("similar").alias("verdict"))
 
 
 @query("e22_strongest_delta", "label:s cat:s delta:d", """
