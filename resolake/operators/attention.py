@@ -21,7 +21,9 @@ def similarity_attention(vectors: DataFrame, dim: int, name: str = "name", i: st
     """
     unit = F.sqrt(dot(F.col(v), F.col(v), dim))
     scaled = vectors.select(name, i, F.transform(v, lambda x: x.cast("double")).alias(v)).withColumn("_u", unit).where("_u > 0").withColumn(v, F.transform(v, lambda x: x / F.col("_u"))).drop("_u")
-    a = scaled.select(F.col(name), F.col(i), F.col(v).alias("_a"))
+    # a task holds some query rows: vectors are few bytes, but their pairs are many, so the rows are dealt out by number, not by size
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = scaled.select(F.col(name), F.col(i), F.col(v).alias("_a")).repartition(tasks, name, i)
     b = scaled.select(F.col(name), F.col(i).alias("j"), F.col(v).alias("_b"))
     s = a.join(b, name).select(name, i, "j", ((dot(F.col("_a"), F.col("_b"), dim) + 1) / 2).alias("s"))
     return s.select(name, i, "j", F.round(F.col("s") / F.sum("s").over(Window.partitionBy(name, i)), digits).alias("w"))
