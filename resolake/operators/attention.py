@@ -16,8 +16,7 @@ from ..functions.scalars import dot
 def similarity_attention(vectors: DataFrame, dim: int, name: str = "name", i: str = "i", v: str = "v", digits: int = 9) -> DataFrame:
     """Cosine of all position pairs of a sequence, shifted to [0, 1] and made to sum to 1 by row.
 
-    Vectors are scaled once, before the pairs are formed; the inner product is
-    one generated expression, not a lambda per element.
+    Vectors are scaled once, before the pairs are formed.
     """
     unit = F.sqrt(dot(F.col(v), F.col(v), dim))
     scaled = vectors.select(name, i, F.transform(v, lambda x: x.cast("double")).alias(v)).withColumn("_u", unit).where("_u > 0").withColumn(v, F.transform(v, lambda x: x / F.col("_u"))).drop("_u")
