@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -27,9 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Compute df once into the shared checkpoint folder and cut its lineage there."""
+    """Compute a table once into the shared checkpoint folder and cut its lineage there.
+
+    The files are a few a task slot, or an eighth of the shuffle partitions
+    where that is more: every file costs the executor a helper process.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    files = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return df.coalesce(files).checkpoint(eager=True)
+
+
+#: Bytes of a batch on its way to Python: the JVM and both workers of a small executor hold several at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows, after lowering the session's Arrow batch size to BATCH_BYTES where it is larger."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    size = re.fullmatch(r"(\d+)b?", conf.get(key) or "")
+    if not size or int(size[1]) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:

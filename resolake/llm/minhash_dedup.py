@@ -21,21 +21,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, mix64, stash
+from .common import list_array, mix64, small_batches, stash
 from .components import connected_components
+from .pretoken import texts_of
 
 BINS = 128
 BANDS, BAND_ROWS = 21, 6
 BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 _BIN_SHIFT = np.uint64(64 - 7)
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 100_000
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > _CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < _CACHE_WORDS:  # what comes first is commonest
+            self[word] = value
         return value
 
 
@@ -99,7 +100,7 @@ def _sketch_batches(words_each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys, sketches, sizes = batch.num_rows, [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts_of(batch.column(1)):
                 s = shingle_set(text, words_each)
                 n_s = len(s)
                 sizes.append(n_s)
@@ -122,7 +123,7 @@ def _sketch_batches(words_each: int):
 def _set_batches(words_each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words_each) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, words_each) for t in texts_of(batch.column(1))]
             sizes = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), list_array(flat, sizes)], names=["id", "shingles"])
@@ -189,7 +190,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and no pairs are written out.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = texts.where("id is not null")
+    known = small_batches(texts.where("id is not null"))
     rows = stash(known.mapInArrow(_sketch_batches(words_each), _SKETCH))
     full = rows.where("set_key is not null")
     reps = stash(full.groupBy("set_key").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))

@@ -95,17 +95,21 @@ class TextTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.plain, self.marked = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
-        self.separator, self.mark = separator, self.marked.token_to_id(separator)
+        self.separator, self.mark = separator, self.plain.token_to_id(separator)
         self.keep_space = keep_space
         #: Bytes of each token: byte-level tokens have a character a byte, and word ends a mark.
         n = self.plain.get_vocab_size()
         self.sizes = np.array([len((self.plain.id_to_token(i) or "").removesuffix("</w>" if not keep_space else "\0")) for i in range(n)], np.int64)
-        for t in (self.plain, self.marked):
-            t.model._resize_cache(0)  # new units only: they would not be found in the library's own cache
+        getattr(self.plain.model, "_resize_cache", lambda n: None)(0)  # new units only: they would not be found in the library's own cache
         self.memo = UnitMemo(list, lambda keys: self._units([_unit(k) for k in keys] if keep_space else keys))
 
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        """All ids, a few texts at a time: the library's encodings are far larger than the ids."""
+        parts = [np.array(e.ids, np.int32) for i in range(0, len(texts), 4) for e in self.plain.encode_batch_fast(texts[i : i + 4], add_special_tokens=False)]
+        return np.concatenate(parts or [np.empty(0, np.int32)])
+
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """New units in a few long texts, cut again where the tokens' bytes add up to a unit's."""
         easy = [bool(_EASY_SPACED.fullmatch(u) if self.keep_space else _EASY.fullmatch(u)) for u in units]
@@ -113,7 +117,7 @@ class TextTokenizer:
         sizes = np.fromiter((len(u.encode()) for u in plain), np.int64, len(plain))
         joint = "" if self.keep_space else " "
         joined = [joint.join(plain[i : i + 2048]) for i in range(0, len(plain), 2048)]
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)] or [np.empty(0, np.int32)])
+        ids = self._ids(joined)
         ends = np.searchsorted(reached := np.cumsum(self.sizes[ids]), wanted := np.cumsum(sizes)) + 1
         if len(plain) and not (reached[-1] == wanted[-1] and (reached[ends - 1] == wanted).all()):
             return self._marked_units(units)
@@ -133,7 +137,9 @@ class TextTokenizer:
         odd = {i for i, u in enumerate(units) if "<|" in u or len(u) > 100_000}
         plain = [u for i, u in enumerate(units) if i not in odd]
         joined = [self.separator.join(plain[i : i + 512]) + self.separator for i in range(0, len(plain), 512)]
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in self.marked.encode_batch_fast(joined, add_special_tokens=False)] or [np.empty(0, np.int32)])
+        self.plain.encode_special_tokens = False
+        ids = self._ids(joined)
+        self.plain.encode_special_tokens = True
         ends = np.flatnonzero(ids == self.mark)
         lengths = np.diff(ends, prepend=-1) - 1
         ids = ids[ids != self.mark]
@@ -183,18 +189,6 @@ def tokenizer(path: str, separator: str, keep_space: bool) -> TextTokenizer:
     return TextTokenizer(path, separator, keep_space)
 
 
-def text_slices(texts: list[str | None], chars: int = 2_000_000):
-    """Index ranges of about so many characters, so that memory stays bounded by them or by one text."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def array_slices(column: pa.Array, size: int = 8_000_000):
     """Index ranges of a text column of about so many bytes, so that memory stays bounded by them or by one text."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64))
@@ -204,3 +198,10 @@ def array_slices(column: pa.Array, size: int = 8_000_000):
         to = max(int(np.searchsorted(ends, start + size, side="right")), at + 1)
         yield at, to
         at = to
+    pa.default_memory_pool().release_unused()  # executors' workers share memory with their JVM
+
+
+def texts_of(column: pa.Array):
+    """The texts one by one, with no more than a slice of them as Python strings."""
+    for a, b in array_slices(column, 4_000_000):
+        yield from column.slice(a, b - a).to_pylist()

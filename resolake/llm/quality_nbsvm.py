@@ -26,15 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, mix64
-from .pretoken import text_slices
+from .common import list_array, mix64, small_batches
+from .pretoken import texts_of
 
 #: At most so many labelled rows are learned from, the first by hash of their id.
 MAX_TRAIN_ROWS = 20_000
 BITS = 18
 GRAMS = 3
 _TAIL = re.compile(r"[^\w\s]+$")
-_CACHE_TOKENS = 400_000
+_CACHE_TOKENS = 120_000
 
 
 def shape(token: str) -> str:
@@ -58,9 +58,9 @@ def shape(token: str) -> str:
 
 class _Shapes(dict):
     def __missing__(self, token: str) -> int:
-        if len(self) > _CACHE_TOKENS:
-            self.clear()
-        value = self[token] = xxhash.xxh3_64_intdigest(shape(token))
+        value = xxhash.xxh3_64_intdigest(shape(token))
+        if len(self) < _CACHE_TOKENS:  # what comes first is commonest
+            self[token] = value
         return value
 
 
@@ -98,7 +98,7 @@ class NbSvm:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500))))
 
 
-def _dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, c: float, epochs: int) -> np.ndarray:
+def _dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, c: float, epochs: int, tolerance: float = 1e-3) -> np.ndarray:
     """Hinge-loss SVM weights (bias last) by dual coordinate descent, one example's dual variable at a time."""
     w, alpha = np.zeros(size + 1), np.zeros(len(rows))
     norms = np.array([v @ v + 1 for v in values])
@@ -115,7 +115,7 @@ def _dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarra
                 w[at] += step * y[i] * v
                 w[-1] += step * y[i]
                 moved = max(moved, abs(step))
-        if moved < 1e-3 * c:
+        if moved < tolerance * c:
             break
     return w
 
@@ -168,7 +168,7 @@ def fit(found: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, c: flo
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(t) for t in batch.column(1).to_pylist()]
+        found = [features(t) for t in texts_of(batch.column(1))]
         flat = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
         yield pa.RecordBatch.from_arrays([batch.column(0), list_array(flat, np.array([len(x) for x in found], np.int64))], names=["label", "found"])
 
@@ -181,7 +181,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, max_rows:
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & usable)
     sample = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("label", "text")
-    rows = texts.mapInArrow(_feature_batches, "label int, found array<int>").collect()
+    rows = small_batches(texts).mapInArrow(_feature_batches, "label int, found array<int>").collect()
     order = sorted(range(len(rows)), key=lambda i: (xxhash.xxh3_64_intdigest(np.array(rows[i]["found"], np.int32).tobytes()), rows[i]["label"]))
     return fit([np.array(rows[i]["found"], np.int64) for i in order], np.array([rows[i]["label"] for i in order], np.int64))
 
@@ -190,9 +190,7 @@ def _score_batches(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            texts, scores = batch.column(0).to_pylist(), []
-            for a, b in text_slices(texts):
-                scores += [own.score(features(t)) for t in texts[a:b]]
+            scores = [own.score(features(t)) for t in texts_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "score"])
 
     return run
@@ -202,7 +200,7 @@ def score_quality(docs: DataFrame, model: NbSvm, keep: list[str], text_col: str
     """The columns `keep` and score, for every row; the model, of fixed size, goes to every worker once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(text_col).alias("_text"), *keep)
-    return rows.mapInArrow(_score_batches(shared), ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"]))
+    return small_batches(rows).mapInArrow(_score_batches(shared), ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"]))
 
 
 def held_out(doc_id: Column) -> Column:

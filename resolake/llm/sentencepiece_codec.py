@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array
-from .pretoken import UnitMemo, text_slices
+from .common import list_array, small_batches
+from .pretoken import UnitMemo, array_slices
 from .unigram import LONG_UNIT, MARK, PieceTrie, best_path, piece_trie, units
 
 
@@ -137,9 +137,9 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _memo(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in text_slices(texts):
-                ids, lengths = memo.encode(texts[a:b])
+            for a, b in array_slices(batch.column(1)):
+                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
+                ids, lengths = memo.encode(texts)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), list_array(ids, lengths)], names=["doc_id", "ids"])
 
     return run
@@ -148,7 +148,7 @@ def _encode(path: str):
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every whole text; each task works alone on its split."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode(model_path), "doc_id long, ids array<int>")
+    return small_batches(rows).mapInArrow(_encode(model_path), "doc_id long, ids array<int>")
 
 
 def _decode(path: str):
@@ -186,4 +186,4 @@ def _digest(path: str):
 def pieces_digest(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids) and text_crc32 of the text decoded from the ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_digest(model_path), "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long")
+    return small_batches(rows).mapInArrow(_digest(model_path), "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long")

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretoken import text_slices
+from .common import small_batches
+from .pretoken import array_slices
 from .unigram import LONG_UNIT, PieceTrie, best_path, piece_trie, units, utf8_lengths
 
 MAX_UNITS = 500_000
@@ -108,9 +109,9 @@ def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _counts(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in text_slices(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own.of(texts[a:b]))], names=["doc_id", "n_tokens"])
+            for a, b in array_slices(batch.column(1)):
+                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(own.of(texts))], names=["doc_id", "n_tokens"])
 
     return run
 
@@ -122,4 +123,4 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     at a time, so memory is bounded and nothing is shuffled.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_count(model_path), "doc_id long, n_tokens long")
+    return small_batches(rows).mapInArrow(_count(model_path), "doc_id long, n_tokens long")

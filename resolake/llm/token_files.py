@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import list_array, shared_dir
+from .common import list_array, shared_dir, small_batches
 from .pretoken import array_slices, tokenizer
 
 BLOCK_TOKENS = 2_000_000
@@ -109,7 +109,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     files = max(1, -(-docs.select(id_col).count() // DOCS_PER_FILE))
     ordered = texts.repartitionByRange(files, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
-    ordered.mapInArrow(_encode(tokenizer_path, separator, keep_space, end_id), BLOCK_SCHEMA).write.mode("overwrite").parquet(path)
+    small_batches(ordered).mapInArrow(_encode(tokenizer_path, separator, keep_space, end_id), BLOCK_SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
