@@ -137,8 +137,8 @@ def _calibrate(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(found: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, c: float = 1.0, blend: float = 0.25, epochs: int = 20) -> NbSvm:
-    """Learn from feature rows and 0/1 labels; a fifth of the rows calibrates margins that it had no part in."""
+def fit(found: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, c: float = 1.0, blend: float = 0.25, epochs: int = 20, folds: int = 5) -> NbSvm:
+    """Learn from feature rows and 0/1 labels; margins are calibrated on rows of folds that their model had no part in."""
     size = 1 << BITS
     if len(labels) == 0 or labels.min() == labels.max():
         only = 1.0 if len(labels) == 0 or labels[0] == 1 else 0.0
@@ -155,14 +155,13 @@ def fit(found: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, c: flo
         mean = np.abs(w[:-1]).mean()
         return ((1 - blend) * mean + blend * w[:-1]) * ratio if blend < 1 else w[:-1] * ratio, w[-1] * blend
 
-    held = np.arange(len(y)) % 5 == 4
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.ones(len(y), bool)
-        w, bias = train(np.arange(len(y)))
-    else:
-        w, bias = train(np.flatnonzero(~held))
-    margins = np.array([w[found[i]].sum() / np.sqrt(max(len(found[i]), 1)) + bias for i in np.flatnonzero(held)])
-    slope, offset = _calibrate(margins, y[held])
+    fold, margins = np.arange(len(y)) % folds, np.zeros(len(y))
+    for f in range(folds):
+        rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        w, bias = train(rest if len(set(y[rest])) == 2 else np.arange(len(y)))
+        margins[own] = [w[found[i]].sum() / np.sqrt(max(len(found[i]), 1)) + bias for i in own]
+    w, bias = train(np.arange(len(y)))
+    slope, offset = _calibrate(margins, y)
     return NbSvm(w, bias, slope, offset)
 
 

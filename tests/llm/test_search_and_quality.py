@@ -129,7 +129,7 @@ def test_dual_descent_solves_a_small_problem():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 3))
     y = np.where(x @ [1.0, -2.0, 0.5] + 0.3 > 0, 1.0, -1.0)
-    w = quality_nbsvm._dual_descent([np.arange(3)] * 60, list(x), y, 3, 10.0, 400)
+    w = quality_nbsvm._dual_descent([np.arange(3)] * 60, list(x), y, 3, 10.0, 5000, tolerance=1e-9)
     objective = lambda w: 0.5 * w @ w + 10 * np.maximum(0, 1 - y * (x @ w[:3] + w[3])).sum()
     best = min(objective(w + 0.02 * rng.normal(size=4)) for _ in range(300))
     assert objective(w) <= best + 1e-6
@@ -168,4 +168,4 @@ def test_pipeline_odd_rows(spark, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
             if name == "near_dedup":
                 assert docs.columns == cp.COLUMNS and docs.count() == (4 if given else 0)
-        assert docs.count() == (4 if given else 0)
+        assert docs.where("start = 0").count() == (4 if given else 0)
