@@ -51,11 +51,13 @@ def lookup_table(shards: list[str], slots: int) -> list[int]:
 
 def assign_shards(rows: DataFrame, key_col: str, shards: list[str], slots: int = 4093) -> DataFrame:
     """The rows with slot and shard. Nothing but the table is moved; its rows are the slots, sent to every task."""
-    owners = ",".join(shards[s] for s in lookup_table(shards, slots))
-    lookup = rows.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("slot", "shard"))
-    lookup = lookup.select(F.col("slot").cast("long").alias("slot"), "shard")
-    keyed = rows.drop("slot", "shard").withColumn("slot", key_hash(F.col(key_col)) % slots)
-    return keyed.join(F.broadcast(lookup), "slot").select(*(c for c in keyed.columns if c != "slot"), "slot", "shard")
+    owners = ",".join(str(s) for s in lookup_table(shards, slots))
+    lookup = rows.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("slot", "owner"))
+    shard = F.element_at(F.array(*map(F.lit, shards)), F.col("owner").cast("int") + 1)
+    lookup = lookup.select(F.col("slot").cast("long").alias("slot"), shard.alias("shard"))
+    others = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("slot", "shard")]
+    keyed = rows.select(*others, (key_hash(F.col(f"`{key_col}`")) % slots).alias("slot"))
+    return keyed.join(F.broadcast(lookup), "slot").select(*others, "slot", "shard")
 
 
 def write_shards(rows: DataFrame, key_col: str, shards: list[str], path: str, slots: int = 4093, files_per_shard: int = 1) -> None:

@@ -93,6 +93,8 @@ def test_shards_of_odd_keys(spark, tmp_path):
     assert got.columns == ["key", "v", "slot", "shard"] and got.count() == 3
     assert got.where("key = 5").select("shard").distinct().count() == 1
     assert shard_table.assign_shards(frame.limit(0), "key", ["x"], 13).count() == 0
+    named = shard_table.assign_shards(frame.select("slot", F.lit(0).alias("a.b")), "slot", ["x,y", "z"], 13)
+    assert named.columns == ["a.b", "slot", "shard"] and {r.shard for r in named.collect()} <= {"x,y", "z"}
     shard_table.write_shards(frame.drop("slot"), "key", ["x", "y"], str(tmp_path / "s"), 13, 3)
     assert spark.read.parquet(str(tmp_path / "s")).count() == 3
 
