@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, mix64, small_batches
+from .common import mix64, small_batches
 from .pretoken import texts_of
 
 #: At most so many labelled rows are learned from, the first by hash of their id.
@@ -167,9 +167,8 @@ def fit(found: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, c: flo
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(t) for t in texts_of(batch.column(1))]
-        flat = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0), list_array(flat, np.array([len(x) for x in found], np.int64))], names=["label", "found"])
+        found = [features(t).astype(np.int32).tobytes() for t in texts_of(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["label", "found"])
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_TRAIN_ROWS) -> NbSvm:
@@ -180,9 +179,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, max_rows:
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & usable)
     sample = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("label", "text")
-    rows = small_batches(texts).mapInArrow(_feature_batches, "label int, found array<int>").collect()
-    order = sorted(range(len(rows)), key=lambda i: (xxhash.xxh3_64_intdigest(np.array(rows[i]["found"], np.int32).tobytes()), rows[i]["label"]))
-    return fit([np.array(rows[i]["found"], np.int64) for i in order], np.array([rows[i]["label"] for i in order], np.int64))
+    rows = small_batches(texts).mapInArrow(_feature_batches, "label int, found binary").collect()
+    rows.sort(key=lambda row: (xxhash.xxh3_64_intdigest(row["found"]), row["label"]))
+    return fit([np.frombuffer(row["found"], np.int32) for row in rows], np.array([row["label"] for row in rows], np.int64))
 
 
 def _score_batches(model):
