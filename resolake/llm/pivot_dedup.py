@@ -1,7 +1,7 @@
-"""Embedding near-duplicates through a pivot-permutation index.
+"""Embedding near-duplicates through cells around pivots.
 
-Every vector is described by its nearest reference points (pivots) in order of
-nearness. Vectors meet in inverted pivot lists, those sharing enough pivots are
+Every vector lies in the cell of its nearest reference point (pivot). Vectors
+meet in every cell that can hold a partner by the distances to the pivots, are
 verified by cosine, and verified links are counted and joined to components.
 
 Contract for odd input
@@ -23,118 +23,152 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, stash, usable_vectors, vector_matrix
+from .common import mix64, stash, usable_vectors, vector_matrix
 from .components import connected_components
 
-NEAREST = 8
-SHARED = 2
-BLOCK = 2048
+BLOCKS, LEAST_BLOCK, MOST_BLOCK = 12, 256, 8192
 MAX_PIVOTS = 8192
+_SLACK = 1e-6
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
 def _nearest(pivots: np.ndarray, dim: int):
-    """(rep, pivot list) of a batch; nearest first, by the angle to each pivot."""
-    k = min(NEAREST, len(pivots))
+    """(pivot) of each vector in a batch: the one at the smallest angle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = vector_matrix(batch.column(1), dim).astype(np.float64)
-            parts = []
-            for at in range(0, len(x), 1024):
-                sim = x[at : at + 1024] @ pivots.T
-                top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                parts.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(sim, top, 1), axis=1, kind="stable"), 1))
-            near = np.concatenate(parts) if parts else np.empty((0, k))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), list_array(near.astype(np.int32).ravel(), np.full(len(x), k))], names=["rep", "v", "copies", "near"])
+            x = _unit(vector_matrix(batch.column(0), dim))
+            home = [(x[at : at + 1024] @ pivots.T).argmax(axis=1) for at in range(0, len(x), 1024)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(home or [np.empty(0, int)]).astype(np.int32))], names=["pivot"])
 
     return run
 
 
-def _bits(lists: np.ndarray, words: int) -> np.ndarray:
-    """Pivot sets as bit masks."""
-    out = np.zeros((len(lists), words), np.uint64)
-    rows = np.arange(len(lists))
-    for col in lists.T:
-        np.bitwise_or.at(out, (rows, col >> 6), np.uint64(1) << (col & 63).astype(np.uint64))
-    return out
+def _order(pivots: np.ndarray) -> np.ndarray:
+    """Pivots in an order that keeps near ones together: halved again and again between two far ones."""
+    out, todo = [], [np.arange(len(pivots))]
+    while todo:
+        part = todo.pop()
+        if len(part) > 2:
+            far = (pivots[part] @ pivots[part[0]]).argmin()
+            a, b = pivots[part[far]], pivots[part[(pivots[part] @ pivots[part[far]]).argmin()]]
+            part = part[np.argsort(pivots[part] @ (a - b), kind="stable")]
+            todo += [part[: len(part) // 2], part[len(part) // 2 :]]
+        else:
+            out.append(part)
+    return np.concatenate(out)
+
+
+def _cells(sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First pivot of each block of consecutive cells of about `least` vectors, and the parts it is cut into where one cell holds many more."""
+    starts, parts, held = [0], [], 0
+    for pivot, size in enumerate(sizes.tolist()):
+        if held and held + size > least:
+            parts.append(held)
+            starts.append(pivot)
+            held = 0
+        held += size
+    return np.array(starts), -(-np.maximum([*parts, held], 1) // least)
+
+
+def _visits(pivots: np.ndarray, starts: np.ndarray, parts: np.ndarray, dim: int, least: float):
+    """(rep, vector, copies, own block part, other part) for every part that may hold a partner.
+
+    A partner y whose nearest pivot is c has y.c >= y.p, and differs from x by
+    at most the chord of the threshold: so x.p - x.c <= chord * |p - c|.
+    """
+    chord = np.sqrt(max(2 - 2 * least, 0.0))
+    block = np.repeat(np.arange(len(starts)), np.diff([*starts, len(pivots)]))
+    first, of = np.cumsum(parts) - parts, np.repeat(np.arange(len(parts)), parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024)
+                x = _unit(vector_matrix(rows.column(1), dim))
+                sim = x @ pivots.T
+                home = sim.argmax(axis=1)
+                apart = np.sqrt(np.maximum(2 - 2 * (pivots[home] @ pivots.T), 0))
+                maybe = sim[np.arange(len(x)), home][:, None] - sim <= chord * apart + _SLACK
+                near = np.logical_or.reduceat(maybe, starts, axis=1)
+                home = block[home]
+                near[np.arange(len(x)), home] = True
+                mine = first[home] + (mix64(np.asarray(rows.column(0)).astype(np.uint64)) % parts[home].astype(np.uint64)).astype(np.int64)
+                i, other = np.nonzero(near[:, of])
+                taken = rows.take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(mine[i].astype(np.int32)), pa.array(other.astype(np.int32))], names=["rep", "v", "copies", "b", "other"])
+
+    return run
 
 
 def _exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
 
-def _verify(n_pivots: int, prefix: int, shared: int, least: float):
-    words = (n_pivots + 63) // 64
+def _joined(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after joining the sets of each i and j."""
+    while True:
+        a, b = parent[i], parent[j]
+        apart = a != b
+        if not apart.any():
+            return parent
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+
 
+def _verify(least: float):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pivot, b1, b2 = (int(x) for x in key)
+        b1, b2 = (int(x) for x in key)
         pdf = pdf.sort_values("rep")
         first, second = pdf[pdf["b"] == b1], pdf[pdf["b"] == b2]
-        ids = np.concatenate([first["rep"].to_numpy(), second["rep"].to_numpy()]) if b1 != b2 else first["rep"].to_numpy()
+        if not len(first) or not len(second):
+            return pd.DataFrame({"rep": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
 
         def side(x: pd.DataFrame) -> tuple:
-            v = np.array(x["v"].tolist(), np.float64)
-            ranks = np.array(x["ranked"].tolist(), np.int64)
-            return v, v / np.sqrt((v * v).sum(axis=1))[:, None], _bits(ranks, words), _bits(ranks[:, :prefix], words), x["copies"].to_numpy(np.int64)
+            v = np.stack(x["v"].to_list())
+            return v, _unit(v).astype(np.float32), x["copies"].to_numpy(np.float64)
 
-        va, ua, fa, pa_, ca = side(first) if len(first) else (None,) * 5
-        if not len(first) or not len(second):
-            return pd.DataFrame({"rep": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
-        vb, ub, fb, pb, cb = (va, ua, fa, pa_, ca) if b1 == b2 else side(second)
-        before = np.zeros(words, np.uint64)  # pivots ahead of this one in the global order: such pairs meet in that list
-        before[: pivot >> 6] = ~np.uint64(0)
-        if pivot & 63:
-            before[pivot >> 6] = (np.uint64(1) << np.uint64(pivot & 63)) - np.uint64(1)
+        va, ua, ca = side(first)
+        vb, ub, cb = (va, ua, ca) if b1 == b2 else side(second)
+        ids = first["rep"].to_numpy() if b1 == b2 else np.concatenate([first["rep"].to_numpy(), second["rep"].to_numpy()])
         shift = 0 if b1 == b2 else len(first)
-        links, parent = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for at in range(0, len(va), 256):
-            rows = slice(at, at + 256)
-            count = np.zeros((len(fa[rows]), len(fb)), np.uint8)
-            for w in range(words):
-                count += np.bitwise_count(fa[rows, w][:, None] & fb[None, :, w])
-            i, j = np.nonzero(count >= shared)
-            i += at
-            keep = i < j if b1 == b2 else slice(None)
-            i, j = i[keep], j[keep]
-            keep = np.zeros(len(i), bool)
-            for part in range(0, len(i), 65536):
-                p, q = i[part : part + 65536], j[part : part + 65536]
-                near = np.flatnonzero(np.einsum("ij,ij->i", ua[p], ub[q]) >= least - 1e-9)
-                near = near[_exact_cosine(va[p[near]], vb[q[near]]) >= least]
-                near = near[((pa_[p[near]] & pb[q[near]] & before) == 0).all(axis=1)]
-                keep[part + near] = True
-            i, j = i[keep], j[keep]
-            np.add.at(links, i, cb[j])
-            np.add.at(links, j + shift, ca[i])
-            for x, y in zip(i.tolist(), (j + shift).tolist(), strict=True):
-                x, y = root(x), root(y)
-                if x != y:
-                    if ids[x] > ids[y]:
-                        x, y = y, x
-                    parent[y] = x
+        links, parent = np.zeros(len(ids)), np.arange(len(ids))
+        for at in range(0, len(va), 512):
+            sim = ua[at : at + 512] @ ub.T
+            i, j = np.nonzero(sim >= least - 1e-5)
+            if b1 == b2:
+                i, j = i[i + at < j], j[i + at < j]
+            close = np.flatnonzero(sim[i, j] < least + 1e-5)  # too near the threshold for single precision
+            bad = [part[_exact_cosine(va[i[part] + at].astype(np.float64), vb[j[part]].astype(np.float64)) < least] for part in np.array_split(close, len(close) // 65536 + 1)]
+            i, j = np.delete(i, np.concatenate(bad)) + at, np.delete(j, np.concatenate(bad))
+            links += np.bincount(i, cb[j], len(ids)) + np.bincount(j + shift, ca[i], len(ids))
+            parent = _joined(parent, i, j + shift)
         hit = np.flatnonzero(links)
-        return pd.DataFrame({"rep": ids[hit], "links": links[hit], "root": ids[[root(x) for x in hit]] if len(hit) else np.empty(0, np.int64)})
+        return pd.DataFrame({"rep": ids[hit], "links": links[hit].astype(np.int64), "root": ids[parent[hit]]})
 
     return run
 
 
-def pivot_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, pivot_factor: float = 2.0, shared: int = SHARED) -> DataFrame:
+def pivot_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, pivot_factor: float = 2.0) -> DataFrame:
     """One row per vector: id, n_links, component_id (smallest id reachable), kept.
 
-    Equal vectors collapse to one representative with a count. pivot_factor *
-    sqrt(n) pivots (64 to MAX_PIVOTS, by hash order) give lists whose lengths
-    grow like sqrt(n). Pairs must share `shared` of NEAREST pivots, so each
-    vector enters only the lists of its NEAREST - shared + 1 pivots that come
-    first in order of list length, and each pair is counted in one list only.
-    Long lists are cut into blocks and each task meets two blocks; it returns
-    link counts and one pointer per vector, never the pairs.
+    Equal vectors collapse to one representative with a count. Each vector
+    belongs to the nearest of pivot_factor * sqrt(n) pivots (64 to MAX_PIVOTS,
+    by hash order), and neighbouring pivots' vectors form blocks (a big cell
+    several). Vectors visit every block that can hold a partner, by a bound
+    that loses none, and each task compares two blocks on exact cosine: all
+    links are found. Tasks return link counts and one pointer per vector,
+    never the pairs. Vectors in tight groups visit few blocks; vectors without
+    structure visit all.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
     good = usable_vectors(vectors, id_col, vec_col)
@@ -146,24 +180,15 @@ def pivot_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
         n = reps.count()
         n_pivots = int(min(MAX_PIVOTS, max(64, pivot_factor * n**0.5)))
         points = np.array([r[0] for r in reps.select("v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(n_pivots).select("v").collect()], np.float64)
-        points /= np.sqrt((points * points).sum(axis=1))[:, None]
-        k = min(NEAREST, len(points))
-        need = min(shared, k)
-        prefix = k - need + 1
-        near = stash(reps.select("rep", "v", "copies").mapInArrow(_nearest(points, dim), "rep long, v array<float>, copies long, near array<int>"))
+        points = _unit(points)
+        points = points[_order(points)]
         sizes = np.zeros(len(points), np.int64)
-        for pivot, c in near.select(F.explode("near").alias("p")).groupBy("p").count().collect():
+        for pivot, c in reps.select("v").mapInArrow(_nearest(points, dim), "pivot int").groupBy("pivot").count().collect():
             sizes[pivot] = c
-        rank = np.empty(len(points), np.int64)
-        rank[np.argsort(sizes, kind="stable")] = np.arange(len(points))
-        ranks = F.array(*[F.lit(int(x)) for x in rank])
-        ranked = near.select("rep", "v", "copies", F.array_sort(F.transform("near", lambda p: F.element_at(ranks, p + 1))).alias("ranked"))
-        posted = ranked.select("*", F.explode(F.slice("ranked", 1, prefix)).alias("pivot"))
-        lists = posted.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        posted = posted.join(F.broadcast(lists), "pivot").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        posted = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = posted.select("pivot", F.least("b", "other").alias("b1"), F.greatest("b", "other").alias("b2"), "b", "rep", "v", "copies", "ranked")
-        found = stash(met.groupBy("pivot", "b1", "b2").applyInPandas(_verify(len(points), prefix, need, least), "rep long, links long, root long"))
+        starts, parts = _cells(sizes, min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // BLOCKS))))
+        visits = reps.select("rep", "v", "copies").mapInArrow(_visits(points, starts, parts, dim, least), "rep long, v array<float>, copies long, b int, other int")
+        met = visits.select(F.least("b", "other").alias("b1"), F.greatest("b", "other").alias("b2"), "b", "rep", "v", "copies")
+        found = stash(met.groupBy("b1", "b2").applyInPandas(_verify(least), "rep long, links long, root long"))
         tree = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
         counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
         state = reps.select("v", "rep", "copies").join(counts, "rep", "left").join(tree.withColumnRenamed("id", "rep"), "rep", "left")

@@ -7,9 +7,11 @@ Positions that don't occur count as zero rows of the matrix.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -241,19 +243,37 @@ def patch_motifs(attn: DataFrame, size: int = 5, motifs: int = 4, seed: int = 42
     return attn.groupBy("name").applyInPandas(run, "name string, motif int, patches long, mean double")
 
 
-def stacked_pca(attn: DataFrame, size: int, components: int = 2) -> DataFrame:
-    """(name, pc, score, variance_ratio): principal components of whole matrices as vectors of their first size x size cells.
+def stacked_pca(attn: DataFrame, components: int = 2) -> DataFrame:
+    """(name, pc, score, variance_ratio): principal components of whole matrices as vectors of all their cells.
 
-    Cells are standardised over matrices and inner products of matrices summed
-    by Spark; only the small matrix of products (a row a sequence) is
-    decomposed. Scores' largest entry is made positive.
+    Cells that a shorter matrix doesn't have count as zero. Cells are standardised
+    over matrices and inner products of matrices summed a task at a time; only the
+    small matrix of products (a row a sequence) is decomposed. Scores' largest
+    entry is made positive.
     """
-    cells = attn.where((F.col("i") < size) & (F.col("j") < size)).select(F.col("name").cast("string").alias("name"), "i", "j", "w")
-    over = Window.partitionBy("i", "j")
-    sd = F.stddev_pop("w").over(over)
-    z = cells.withColumn("z", F.when(sd > 1e-12, F.try_divide(F.col("w") - F.avg("w").over(over), sd)).otherwise(0.0)).select("name", "i", "j", "z")
-    other = z.select(F.col("name").alias("b"), "i", "j", F.col("z").alias("y"))
-    gram = z.join(other, ["i", "j"]).groupBy(F.col("name").alias("a"), "b").agg(F.sum(F.col("z") * F.col("y")).alias("g"))
+    cells = attn.select(F.col("name").cast("string").alias("name"), "i", "j", F.coalesce("w", F.lit(0.0)).alias("w"))
+    names = sorted(r[0] for r in cells.select("name").distinct().collect())
+    place = {n: k for k, n in enumerate(names)}
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((len(names), len(names)))
+        for batch in batches:
+            name, w = batch.column(0), batch.column(1)
+            lengths = np.diff(name.offsets.to_numpy())
+            who = name.flatten().dictionary_encode()
+            column = np.array([place[n] for n in who.dictionary.to_pylist()], int)[who.indices.to_numpy()]
+            x = np.zeros((len(lengths), len(names)))
+            np.add.at(x, (np.repeat(np.arange(len(lengths)), lengths), column), w.flatten().to_numpy())
+            x -= x.mean(1, keepdims=True)
+            sd = np.sqrt((x * x).mean(1, keepdims=True))
+            x = np.where(sd > 1e-12, x / np.where(sd > 1e-12, sd, 1), 0.0)
+            g += x.T @ x
+        a, b = np.indices(g.shape)
+        label = pa.array(names, pa.string())
+        yield pa.RecordBatch.from_arrays([label.take(pa.array(a.ravel())), label.take(pa.array(b.ravel())), pa.array(g.ravel())], names=["a", "b", "g"])
+
+    stacks = cells.groupBy("i", "j").agg(F.collect_list(F.struct("name", "w")).alias("c")).select(F.col("c.name").alias("name"), F.col("c.w").alias("w"))
+    gram = stacks.mapInArrow(products, "a string, b string, g double").groupBy("a", "b").agg(F.sum("g").alias("g"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = pdf.pivot(index="a", columns="b", values="g").fillna(0.0).sort_index().sort_index(axis=1)

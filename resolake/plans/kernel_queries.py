@@ -90,7 +90,7 @@ def _(spark, d):
 
 @query("g16_stacked_pca", "name:s pc:l score:d variance_ratio:d")
 def _(spark, d):
-    return kernels.stacked_pca(attn(spark, d), 16)
+    return kernels.stacked_pca(attn(spark, d))
 
 
 @query("a37_bootstrap_mean", "key:s n:l mean:d low:d high:d")

@@ -110,6 +110,23 @@ def test_pivots_equal_brute_force(spark):
     assert all(got[i].n_links <= degree[i] for i in got)  # nothing below the threshold
 
 
+def test_pivots_find_all_links_of_dense_groups(spark):
+    """One near-copy group holds a third of 20,000 rows; the rest is loose, with some pairs about the threshold."""
+    rng = np.random.default_rng(5)
+    n, dim = 20000, 64
+    x = rng.normal(size=(n, dim))
+    x[: n // 3] = rng.normal(size=dim) + np.sqrt(0.03 / 0.97) * x[: n // 3]
+    x[-2000:] = x[-4000:-2000] + 0.3 * x[-2000:]
+    x = x[rng.permutation(n)].astype(np.float32)
+    u = x.astype(np.float64) / np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None]
+    want = np.concatenate([(u[at : at + 2000] @ u.T >= 0.95).sum(1) for at in range(0, n, 2000)]) - 1
+    frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = pivot_components(frame.repartition(8)).toPandas().sort_values("vec_id")
+    assert want.max() > 6000
+    assert (got["n_links"].to_numpy() == want).all()
+    assert (got["component_id"] == got["component_id"].iloc[want.argmax()]).sum() >= n // 3
+
+
 def test_pivots_odd_tables(spark):
     schema = "vec_id long, embedding array<float>"
     assert pivot_components(spark.createDataFrame([], schema)).collect() == []
