@@ -180,3 +180,21 @@ def test_row_order_does_not_matter(spark, attn):
     for f in (attention.matrix_summary, attention.row_entropy, lambda a: attention.sparse_graph(a, "topk", k=2)):
         a, b = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f(x).collect()) for x in (attn, mixed))
         assert a == b
+
+
+def test_stacked_pca_uses_all_cells(spark):
+    """Matrices of 20, 18 and 3 positions against numpy on zero-filled matrices."""
+    rng = np.random.default_rng(5)
+    mats = {"a": rng.random((20, 20)), "b": rng.random((20, 20)), "c": rng.random((18, 18)), "d": rng.random((3, 3))}
+    rows = [(n, i, j, float(m[i, j])) for n, m in mats.items() for i in range(len(m)) for j in range(len(m))]
+    got = kernels.stacked_pca(spark.createDataFrame(rows, "name string, i int, j int, w double").repartition(3)).collect()
+    x = np.array([np.pad(m, (0, 20 - len(m))).ravel() for m in mats.values()])
+    sd = x.std(0)
+    z = (x - x.mean(0)) / np.where(sd > 0, sd, 1)
+    u, s, _ = np.linalg.svd(z, full_matrices=False)
+    for pc in (1, 2):
+        want = u[:, pc - 1] * s[pc - 1]
+        want = want * np.sign(want[np.abs(want).argmax()])
+        mine = {r.name: r for r in got if r.pc == pc}
+        assert [mine[n].score for n in mats] == pytest.approx(want.tolist())
+        assert mine["a"].variance_ratio == pytest.approx(s[pc - 1] ** 2 / (s**2).sum())
