@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,41 +18,125 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: dict[str, str] = {}  # by application: the folder of a session on one machine that names none
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        given = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="resolake-")
-        spark.conf.set("spark.checkpoint.dir", given)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(given)
-    return given
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Compute a table once into the shared checkpoint folder and cut its lineage there.
-
-    The files are a few a task slot, or an eighth of the shuffle partitions
-    where that is more: every file costs the executor a helper process.
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local folder stands in on a single machine (tests);
+    a cluster's executors would not see it, so there it is an error.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="resolake-"))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file systems; nothing to do once the session has ended."""
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    if jvm is not None and context is not None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and its cluster with it
+        _remove(spark, path)
+
+
+class Scratch:
+    """Tables that one operator call computes once and reads again, as Parquet in the shared folder.
+
+    They cut lineage, survive lost executors and are read in splits by bytes.
+    On leaving they are removed, but for kept ones, which the result may still
+    have to read: those go when Python ends.
     """
-    shared_dir(df.sparkSession)
-    spark = df.sparkSession
-    files = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
-    return df.coalesce(files).checkpoint(eager=True)
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/resolake-{uuid.uuid4().hex}", 0
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def folder(self) -> str:
+        self.made += 1
+        return f"{self.root}/{self.made}"
+
+    def table(self, df: DataFrame) -> DataFrame:
+        return self._write(df, self.folder())
 
-#: Bytes of a batch on its way to Python: the JVM and both workers of a small executor hold several at once.
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}-kept-{self.made}"
+        self.made += 1
+        atexit.register(_remove_at_exit, self.spark, path)
+        return self._write(df, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.made:
+            _remove(self.spark, self.root)
+
+
+#: A key is hot in a join when it has more rows than so many, and than two fair shares of a task.
+HOT_ROWS = 1000
+
+
+def skew_join(rows: DataFrame, lookup: DataFrame, on: list[str], spread: str, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows with lookup, which holds each key once; hot keys of rows are dealt to several tasks.
+
+    A key with more than two fair shares of the rows is salted: its rows by the
+    hash of column `spread`, its lookup row by repeating it for each salt. There
+    are fewer such keys than half the shuffle partitions, so their list is
+    small at any size. Hot keys are found by on[0]; counts: (on[0], n), where
+    known already.
+    """
+    spark, key = rows.sparkSession, on[0]
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        total = rows.count()
+    else:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+    fair = max(HOT_ROWS, 2 * total // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hot = counts.where(F.col("n") > fair).select(key, F.ceil(F.col("n") / fair).cast("int").alias("_parts"))
+    found = hot.collect() if total > HOT_ROWS else []
+    if not found:
+        return rows.join(lookup, on, how)
+    hot = F.broadcast(spark.createDataFrame(found, hot.schema))
+    salted = rows.join(hot, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    repeated = lookup.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+#: Bytes of a batch on its way to Python that suit small executors: the JVM and both workers hold several at once.
 BATCH_BYTES = 8 << 20
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The same rows, after lowering the session's Arrow batch size to BATCH_BYTES where it is larger."""
-    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
-    size = re.fullmatch(r"(\d+)b?", conf.get(key) or "")
+def tune_session(spark: SparkSession) -> None:
+    """For applications, before they call operators: Arrow batches of at most BATCH_BYTES. Operators leave settings as they are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(\d+)b?", spark.conf.get(key) or "")
     if not size or int(size[1]) > BATCH_BYTES:
-        conf.set(key, str(BATCH_BYTES))
-    return df
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name of any form, for F.col."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
@@ -66,14 +153,16 @@ def vector_matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dim)
 
 
-def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, v) of the vectors that can be compared: not null, no null or non-finite component, not zero."""
-    return (
-        vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
-        .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-        .where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-        .where(F.exists("v", lambda x: x != 0))
-    )
+def is_usable(v: Column) -> Column:
+    """Whether a vector can be compared: not null, no null or non-finite component, not zero."""
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return v.isNotNull() & F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str, *more: Column) -> DataFrame:
+    """(vec_id, v, more ...) of the vectors that can be compared and have an id."""
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), F.col(quoted(vec_col)).alias("v"), *more)
+    return rows.where(F.col("vec_id").isNotNull() & is_usable(F.col("v")))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -10,8 +10,10 @@ Contract for odd input
 ----------------------
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, neither do rows without an id. Rows that
-repeat an id count once for each distinct vector. Equal scores rank by id. With
-fewer candidates than asked for, all are returned. Other columns are not read.
+repeat an id count once for each distinct vector: each distinct vector of a query
+id has a list of its own, without any row of that id (and shorter by as many of
+them as would have stood in it, but one). Equal scores rank by id. With fewer
+candidates than asked for, all are returned. Other columns are not read.
 An empty table gives no rows.
 """
 
@@ -26,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import list_array, stash, usable_vectors, vector_matrix
+from .common import Scratch, free_name, list_array, skew_join, usable_vectors, vector_matrix
 
 #: Centroids are fitted on at most so many vectors, the first by hash of their id.
 MAX_TRAIN_ROWS = 20_000
-CENTROIDS = 64
+#: Centroids of each half: six times the fourth root of the number of vectors, within these bounds.
+LEAST_CENTROIDS, MOST_CENTROIDS = 64, 256
 ENTRY_BLOCK, QUERY_BLOCK = 50_000, 20_000
 
 
@@ -76,7 +79,7 @@ def cells_by_distance(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, wanted:
 def _assign(c1: np.ndarray, c2: np.ndarray, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = vector_matrix(batch.column(1), dim).astype(np.float64)
+            x = vector_matrix(batch.column(0), dim).astype(np.float64)
             h = len(c1[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_nearest(x[:, :h], c1).astype(np.int32)), pa.array(_nearest(x[:, h:], c2).astype(np.int32))], names=[*batch.schema.names, "c1", "c2"])
 
@@ -84,7 +87,7 @@ def _assign(c1: np.ndarray, c2: np.ndarray, dim: int):
 
 
 def _probe(c1: np.ndarray, c2: np.ndarray, sizes: np.ndarray, wanted: int, dim: int):
-    """(rep, v, first centroid, second centroids to visit) for each query and first centroid."""
+    """(query, v, first centroid, second centroids to visit) for each query and first centroid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,44 +103,63 @@ def _probe(c1: np.ndarray, c2: np.ndarray, sizes: np.ndarray, wanted: int, dim:
                 seconds += by_first.values()
             take = pa.array(at, pa.int64())
             flat = np.array([b for s in seconds for b in s], np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(firsts, pa.int32()), list_array(flat, np.array([len(s) for s in seconds], np.int64))], names=["rep", "v", "c1", "c2s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(firsts, pa.int32()), list_array(flat, np.array([len(s) for s in seconds], np.int64))], names=["query", "v", "c1", "c2s"])
 
     return run
 
 
+def _first_k(who: np.ndarray, score: np.ndarray, rep: np.ndarray, k: int) -> np.ndarray:
+    """Positions of each query's first k by score, the largest first, ties to the smaller rep."""
+    order = np.lexsort((rep, -score, who))
+    who = who[order]
+    starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+    return order[np.arange(len(who)) - np.repeat(starts, np.diff(np.append(starts, len(who)))) < k]
+
+
 def _rerank(k: int):
-    """The best entries of a block for each query of a block: [(score, id), ...], over the cells that the query visits."""
+    """The best entries of a block for each query of a block: [(score, id), ...], over the cells that the query visits.
+
+    A matrix product only screens: whatever may reach a cell's k-th product but
+    for rounding is scored by one exact sum, so that equal vectors tie, and
+    ordered by score and id before it is cut.
+    """
 
     def run(key: tuple, queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-        out: dict[int, list[tuple[float, list]]] = {}
+        rows = []
         if len(queries) and len(entries):
             entries = entries.sort_values("c2", kind="stable")
-            x, q = (np.array(d["v"].tolist(), np.float64) for d in (entries, queries))
+            x, q = (np.stack(d["v"].to_list()).astype(np.float64) for d in (entries, queries))
             cells, first = np.unique(entries["c2"].to_numpy(), return_index=True)
             upto = np.append(first[1:], len(entries))
-            ids, reps = entries["ids"].to_numpy(), queries["rep"].to_numpy()
+            ids, reps = entries["ids"].to_numpy(), queries["query"].to_numpy()
+            own = np.array([i[0] for i in ids], np.int64)
+            slack = 1e-12 * np.sqrt((x * x).sum(axis=1).max() * (q * q).sum(axis=1))
             visits: dict[int, list[int]] = {}
             for i, s in enumerate(queries["c2s"]):
                 for c in s:
                     visits.setdefault(int(c), []).append(i)
+            found = []
             for cell, a, b in zip(cells.tolist(), first.tolist(), upto.tolist(), strict=True):
                 who = np.array(visits.get(cell, ()), np.int64)
                 for part in np.split(who, range(512, len(who), 512)):
                     sims = q[part] @ x[a:b].T
-                    best = np.argpartition(-sims, k - 1, axis=1)[:, :k] if b - a > k else np.broadcast_to(np.arange(b - a), sims.shape)
-                    exact = (q[part][:, None] * x[a + best]).sum(axis=2)  # one way of summing, so that equal vectors tie
-                    for row, i in enumerate(part.tolist()):
-                        out.setdefault(i, []).append((exact[row], a + best[row]))
-        rows = []
-        for i, found in out.items():
-            score, at = np.concatenate([s for s, _ in found]), np.concatenate([p for _, p in found])
-            if len(at) > k:
-                top = np.sort(score)[-k]
-                keep = score >= top
-                score, at = score[keep], at[keep]
-            pairs = sorted(((-s, v) for s, p in zip(score.tolist(), at.tolist(), strict=True) for v in ids[p].tolist()))[:k]
-            rows.append((reps[i], [-s for s, _ in pairs], [v for _, v in pairs]))
-        return pd.DataFrame(rows, columns=["rep", "scores", "ids"])
+                    least = np.partition(sims, b - a - k, axis=1)[:, b - a - k] - slack[part] if b - a > k else np.full(len(part), -np.inf)
+                    i, j = np.nonzero(sims >= least[:, None])
+                    for cut in np.array_split(np.arange(len(i)), len(i) // 65536 + 1):
+                        mine, at = part[i[cut]], a + j[cut]
+                        exact = (q[mine] * x[at]).sum(axis=1)
+                        best = _first_k(mine, exact, own[at], k)
+                        found.append((mine[best], exact[best], at[best]))
+            if found:
+                mine, exact, at = (np.concatenate(c) for c in zip(*found, strict=True))
+                best = _first_k(mine, exact, own[at], k)
+                by_query: dict[int, list] = {}
+                for i, s, p in zip(mine[best].tolist(), exact[best].tolist(), at[best].tolist(), strict=True):
+                    by_query.setdefault(i, []).extend((-s, v) for v in ids[p].tolist())
+                for i, pairs in by_query.items():
+                    pairs = sorted(pairs)[:k]
+                    rows.append((reps[i], [-s for s, _ in pairs], [v for _, v in pairs]))
+        return pd.DataFrame(rows, columns=["query", "scores", "ids"])
 
     return run
 
@@ -155,40 +177,42 @@ def nearest_by_inner_product(vectors: DataFrame, is_query: Column, k: int = 20,
     without structure need about half for 0.95 of the true neighbours; clustered
     ones far less.
     """
-    good = usable_vectors(vectors, id_col, vec_col).withColumn("is_query", F.coalesce(is_query, F.lit(False)))
-    none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    spark = vectors.sparkSession
+    good = usable_vectors(vectors.withColumn(flag := free_name(vectors, "is_query"), F.coalesce(is_query, F.lit(False))), id_col, vec_col, F.col(flag).alias("is_query"))
+    none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if dims is None or dims[0] < 2:
         return none
-    dim = int(dims[0])
-    good = good.where(F.size("v") == dim).select("vec_id", "v", "is_query").distinct()
-    first_ids = good.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    entries = first_ids.groupBy("v").agg(F.min("vec_id").alias("rep"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    sample = good.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(MAX_TRAIN_ROWS).select("v").collect()
-    points = np.array([r[0] for r in sample], np.float64)
-    half = dim // 2
-    c1, c2 = _kmeans(points[:, :half], CENTROIDS), _kmeans(points[:, half:], CENTROIDS)
-    index = stash(entries.select("rep", "v", "ids").mapInArrow(_assign(c1, c2, dim), "rep long, v array<float>, ids array<long>, c1 int, c2 int"))
-    sizes = np.zeros((len(c1), len(c2)), np.int64)
-    for a, b, n in index.groupBy("c1", "c2").count().collect():  # at most CENTROIDS squared
-        sizes[a, b] = n
-    asked = good.where("is_query").select("vec_id", "v")
-    queries = asked.groupBy("v").agg(F.min("vec_id").alias("rep"))
-    n_queries = queries.count()
-    if not n_queries:
-        return none
-    wanted = max(k + 1, int(np.ceil(share * sizes.sum())))
-    tasks = max(8, vectors.sparkSession.sparkContext.defaultParallelism * 2)
-    probes = queries.select("rep", "v").repartition(tasks).mapInArrow(_probe(c1, c2, sizes, wanted, dim), "rep long, v array<float>, c1 int, c2s array<int>")
-    q_blocks = -(-n_queries // QUERY_BLOCK)
-    e_blocks = F.element_at(F.array(*[F.lit(int(-(-n // ENTRY_BLOCK)) or 1) for n in sizes.sum(axis=1)]), F.col("c1") + 1)
-    probes = probes.withColumn("qb", F.pmod(F.xxhash64("rep"), F.lit(q_blocks)).cast("int")).withColumn("eb", F.explode(F.sequence(F.lit(0), e_blocks - 1)))
-    dealt = index.withColumn("eb", F.pmod(F.xxhash64("rep"), e_blocks).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    by = ["c1", "eb", "qb"]
-    found = probes.groupBy(by).cogroup(dealt.select(*by, "c2", "v", "ids").groupBy(by)).applyInPandas(_rerank(k + 1), "rep long, scores array<double>, ids array<long>")
-    near = found.select("rep", F.arrays_zip(F.transform("scores", lambda s: -s).alias("s"), F.col("ids").alias("i")).alias("found")).groupBy("rep").agg(F.flatten(F.collect_list("found")).alias("found"))
-    near = near.select("rep", F.slice(F.array_sort("found"), 1, k + 1).alias("found"))
-    searched = asked.join(queries, "v").select(F.col("vec_id").alias("query_id"), "rep").join(near, "rep")
-    others = F.slice(F.filter("found", lambda x: x["i"] != F.col("query_id")), 1, k)
-    rows = searched.select("query_id", F.posexplode(others).alias("at", "x"))
-    return rows.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    dim, kind = int(dims[0]), good.schema["v"].dataType.simpleString()
+    with Scratch(spark) as scratch:
+        good = scratch.table(good.where(F.size("v") == dim).distinct().withColumn("h", F.xxhash64("v")))
+        n = good.count()
+        first_ids = good.withColumn("n", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+        entries = first_ids.groupBy("h", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+        queries = scratch.table(good.where("is_query").select("h", "v").distinct().withColumn("query", F.monotonically_increasing_id()))
+        n_queries = queries.count()
+        if not n_queries:
+            return none
+        sample = good.select("v", "h", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id", "h").limit(MAX_TRAIN_ROWS).select("v").collect()
+        points, half = np.array([r[0] for r in sample], np.float64), dim // 2
+        kept = int(min(MOST_CENTROIDS, max(LEAST_CENTROIDS, 6 * n**0.25)))
+        c1, c2 = _kmeans(points[:, :half], kept), _kmeans(points[:, half:], kept)
+        index = scratch.table(entries.select("v", "ids").mapInArrow(_assign(c1, c2, dim), f"v {kind}, ids array<long>, c1 int, c2 int"))
+        sizes = np.zeros((len(c1), len(c2)), np.int64)
+        for a, b, size in index.groupBy("c1", "c2").count().collect():  # at most MOST_CENTROIDS squared
+            sizes[a, b] = size
+        wanted = max(k + 1, int(np.ceil(share * sizes.sum())))
+        tasks = max(2 * spark.sparkContext.defaultParallelism, -(-n_queries // 2000))
+        probes = queries.select("query", "v").repartition(tasks).mapInArrow(_probe(c1, c2, sizes, wanted, dim), f"query long, v {kind}, c1 int, c2s array<int>")
+        q_blocks = -(-n_queries // QUERY_BLOCK)
+        e_blocks = F.element_at(F.array(*[F.lit(int(-(-size // ENTRY_BLOCK)) or 1) for size in sizes.sum(axis=1)]), F.col("c1") + 1)
+        probes = probes.withColumn("qb", F.pmod(F.xxhash64("query"), F.lit(q_blocks)).cast("int")).withColumn("eb", F.explode(F.sequence(F.lit(0), e_blocks - 1)))
+        dealt = index.withColumn("eb", F.pmod(F.xxhash64("v"), e_blocks).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+        by = ["c1", "eb", "qb"]
+        found = probes.groupBy(by).cogroup(dealt.select(*by, "c2", "v", "ids").groupBy(by)).applyInPandas(_rerank(k + 1), "query long, scores array<double>, ids array<long>")
+        near = found.select("query", F.arrays_zip(F.transform("scores", lambda s: -s).alias("s"), F.col("ids").alias("i")).alias("found")).groupBy("query").agg(F.flatten(F.collect_list("found")).alias("found"))
+        answers = queries.join(near.select("query", F.slice(F.array_sort("found"), 1, k + 1).alias("found")), "query").select("h", "v", "found")
+        asked = good.where("is_query").select("h", "v", F.col("vec_id").alias("query_id"))
+        others = F.slice(F.filter("found", lambda x: x["i"] != F.col("query_id")), 1, k)
+        rows = skew_join(asked, answers, ["h", "v"], "query_id").select("query_id", F.posexplode(others).alias("at", "x"))
+        return scratch.keep(rows.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score")))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array, small_batches
+from .common import list_array
 from .pretoken import array_slices, tokenizer
 
 WINDOW = 2048
@@ -179,8 +179,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: st
     task keeps at most the unplaced pieces, which are fewer than its shortest
     pool can absorb, and ends with a handful of short windows. Sequence ids
     join the split's number and a count, so a task that runs again after a lost
-    executor gives the same rows.
+    executor gives the same rows where its input has a fixed order, as files have;
+    what comes out of a shuffle should be written first (the pipeline does).
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
-    return small_batches(texts).mapInArrow(_pack(tokenizer_path, separator, keep_space, end_id, with_ids), schema)
+    return texts.mapInArrow(_pack(tokenizer_path, separator, keep_space, end_id, with_ids), schema)

@@ -1,21 +1,27 @@
-"""Embedding near-duplicates through cells around pivots.
+"""Embedding near-duplicates through a pivot-permutation index.
 
-Every vector lies in the cell of its nearest reference point (pivot). Vectors
-meet in every cell that can hold a partner by the distances to the pivots, are
-verified by cosine, and verified links are counted and joined to components.
+Every vector is described by its nearest reference points (pivots). Vectors
+meet in inverted pivot lists; those that share enough pivots are verified by
+cosine, and verified links are counted and joined to components.
+
+Pivots are random directions rather than vectors of the table. How many pivots
+two vectors share then depends on their angle alone, whatever the data: a dense
+group owns no pivots of its own, among which its members would choose at random.
 
 Contract for odd input
 ----------------------
 A vector that is null, zero or holds a null or non-finite component, and one
 whose length differs from most, links with nothing: 0 links, its own component,
-kept. Rows that repeat an id each get a result row. A row with a null id has a
-null component and is kept. Only id and vector columns are read; an empty table
-gives no rows.
+kept. Each row gets a result row, and is a vector of its own where ids repeat: a
+component's id is the smallest of its rows' ids. A row with a null id links with
+nothing, has a null component and is kept. Only id and vector columns are read;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,12 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stash, usable_vectors, vector_matrix
-from .components import connected_components
+from .common import Scratch, is_usable, list_array, quoted, skew_join, vector_matrix
+from .components import connected_components, smallest_names
 
-BLOCKS, LEAST_BLOCK, MOST_BLOCK = 12, 256, 8192
-MAX_PIVOTS = 8192
-_SLACK = 1e-6
+NEAREST, SHARED = 16, 3
+#: Bytes of a block of vectors in single precision.
+BLOCK_BYTES = 4 << 20
+LEAST_PIVOTS, PIVOT_BYTES = 64, 64 << 20
+#: Vectors that one task describes.
+TASK_ROWS = 8192
+#: Rows that are posted at a time.
+POST_ROWS = 65_536
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -36,75 +47,66 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _nearest(pivots: np.ndarray, dim: int):
-    """(pivot) of each vector in a batch: the one at the smallest angle."""
+@lru_cache(maxsize=1)
+def _pivots(n: int, dim: int) -> np.ndarray:
+    """The same n random directions in every worker."""
+    return _unit(np.random.default_rng(17).normal(size=(n, dim))).astype(np.float32)
+
+
+def _describe(n_pivots: int, dim: int):
+    """The nearest pivots of each vector, by angle."""
+    k = min(NEAREST, n_pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, step = _pivots(n_pivots, dim), max(16, (16 << 20) // (4 * n_pivots))
         for batch in batches:
-            x = _unit(vector_matrix(batch.column(0), dim))
-            home = [(x[at : at + 1024] @ pivots.T).argmax(axis=1) for at in range(0, len(x), 1024)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(home or [np.empty(0, int)]).astype(np.int32))], names=["pivot"])
+            x = _unit(vector_matrix(batch.column(1), dim)).astype(np.float32)
+            near = [np.argpartition(-(x[at : at + step] @ pivots.T), k - 1, axis=1)[:, :k] for at in range(0, len(x), step)]
+            flat = np.concatenate(near or [np.empty((0, k))]).astype(np.int32).ravel()
+            yield pa.RecordBatch.from_arrays([*batch.columns, list_array(flat, np.full(len(x), k))], names=[*batch.schema.names, "near"])
 
     return run
 
 
-def _order(pivots: np.ndarray) -> np.ndarray:
-    """Pivots in an order that keeps near ones together: halved again and again between two far ones."""
-    out, todo = [], [np.arange(len(pivots))]
-    while todo:
-        part = todo.pop()
-        if len(part) > 2:
-            far = (pivots[part] @ pivots[part[0]]).argmin()
-            a, b = pivots[part[far]], pivots[part[(pivots[part] @ pivots[part[far]]).argmin()]]
-            part = part[np.argsort(pivots[part] @ (a - b), kind="stable")]
-            todo += [part[: len(part) // 2], part[len(part) // 2 :]]
-        else:
-            out.append(part)
-    return np.concatenate(out)
-
-
-def _cells(sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """First pivot of each block of consecutive cells of about `least` vectors, and the parts it is cut into where one cell holds many more."""
-    starts, parts, held = [0], [], 0
-    for pivot, size in enumerate(sizes.tolist()):
-        if held and held + size > least:
-            parts.append(held)
-            starts.append(pivot)
-            held = 0
-        held += size
-    return np.array(starts), -(-np.maximum([*parts, held], 1) // least)
-
-
-def _visits(pivots: np.ndarray, starts: np.ndarray, parts: np.ndarray, dim: int, least: float):
-    """(rep, vector, copies, own block part, other part) for every part that may hold a partner.
-
-    A partner y whose nearest pivot is c has y.c >= y.p, and differs from x by
-    at most the chord of the threshold: so x.p - x.c <= chord * |p - c|.
+def _post(rank: np.ndarray, blocks: np.ndarray, prefix: int):
+    """A row for each list that a vector enters and each block of that list that it meets.
+
+    Lists are named by their rank in order of length. Vectors that share `shared`
+    of k pivots share one of the first k - shared + 1 of each, so it is enough to
+    enter those lists.
     """
-    chord = np.sqrt(max(2 - 2 * least, 0.0))
-    block = np.repeat(np.arange(len(starts)), np.diff([*starts, len(pivots)]))
-    first, of = np.cumsum(parts) - parts, np.repeat(np.arange(len(parts)), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                rows = batch.slice(at, 1024)
-                x = _unit(vector_matrix(rows.column(1), dim))
-                sim = x @ pivots.T
-                home = sim.argmax(axis=1)
-                apart = np.sqrt(np.maximum(2 - 2 * (pivots[home] @ pivots.T), 0))
-                maybe = sim[np.arange(len(x)), home][:, None] - sim <= chord * apart + _SLACK
-                near = np.logical_or.reduceat(maybe, starts, axis=1)
-                home = block[home]
-                near[np.arange(len(x)), home] = True
-                mine = first[home] + (mix64(np.asarray(rows.column(0)).astype(np.uint64)) % parts[home].astype(np.uint64)).astype(np.int64)
-                i, other = np.nonzero(near[:, of])
-                taken = rows.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(mine[i].astype(np.int32)), pa.array(other.astype(np.int32))], names=["rep", "v", "copies", "b", "other"])
+            every = np.sort(rank[np.asarray(batch.column(3).flatten()).reshape(batch.num_rows, -1)], axis=1)
+            ends = np.cumsum(blocks[every[:, :prefix]].sum(axis=1))
+            at = 0
+            while at < len(every):
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + POST_ROWS, side="right")))
+                rows, ranked = batch.slice(at, upto - at), every[at:upto]
+                lists = ranked[:, :prefix].ravel()
+                own = (np.asarray(rows.column(0)).astype(np.int64)[:, None] % blocks[ranked[:, :prefix]]).ravel()
+                times = blocks[lists]
+                which = np.repeat(np.arange(len(lists)), times)
+                other, mine = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times), own[which]
+                taken = rows.select(["node", "v", "copies"]).take(pa.array(which // prefix))
+                ranks = list_array(ranked[which // prefix].astype(np.int32).ravel(), np.full(len(which), ranked.shape[1]))
+                cells = [lists[which], np.minimum(mine, other), np.maximum(mine, other), mine]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in cells), *taken.columns, ranks], names=["list", "b1", "b2", "b", "node", "v", "copies", "ranked"])
+                at = upto
 
     return run
 
 
+def _masks(lists: np.ndarray, words: int) -> np.ndarray:
+    """Sets of small numbers as bit masks."""
+    out = np.zeros((len(lists), words), np.uint64)
+    rows = np.arange(len(lists))
+    for col in lists.T:
+        out[rows, col >> 6] |= np.uint64(1) << (col & 63).astype(np.uint64)
+    return out
+
+
 def _exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
@@ -125,75 +127,99 @@ def _joined(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def _verify(least: float):
+def _verify(shared: int, least: float):
+    """Links and a pointer of each vector of two blocks of a list: pairs that share enough pivots and reach the cosine.
+
+    Both tests must hold, so the cheaper one, a matrix product, comes first. A
+    pair that shares an earlier list's pivot is left to that list.
+    """
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        b1, b2 = (int(x) for x in key)
-        pdf = pdf.sort_values("rep")
-        first, second = pdf[pdf["b"] == b1], pdf[pdf["b"] == b2]
-        if not len(first) or not len(second):
-            return pd.DataFrame({"rep": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
-
-        def side(x: pd.DataFrame) -> tuple:
-            v = np.stack(x["v"].to_list())
-            return v, _unit(v).astype(np.float32), x["copies"].to_numpy(np.float64)
-
-        va, ua, ca = side(first)
-        vb, ub, cb = (va, ua, ca) if b1 == b2 else side(second)
-        ids = first["rep"].to_numpy() if b1 == b2 else np.concatenate([first["rep"].to_numpy(), second["rep"].to_numpy()])
-        shift = 0 if b1 == b2 else len(first)
+        this, b1, b2 = (int(x) for x in key)
+        pdf = pdf.sort_values("node")
+        sides = [pdf[pdf["b"] == b] for b in dict.fromkeys((b1, b2))]
+        if not all(map(len, sides)):
+            return pd.DataFrame({"node": np.empty(0, np.int64), "links": np.empty(0, np.int64), "root": np.empty(0, np.int64)})
+        ids = np.concatenate([x["node"].to_numpy() for x in sides])
+        v = np.concatenate([np.stack(x["v"].to_list()) for x in sides])
+        copies = np.concatenate([x["copies"].to_numpy(np.float64) for x in sides])
+        ranked = np.concatenate([np.stack(x["ranked"].to_list()) for x in sides])
+        local, codes = np.unique(ranked, return_inverse=True)
+        words = -(-len(local) // 64)
+        sets, unit = _masks(codes.reshape(ranked.shape), words), _unit(v).astype(np.float32)
+        before = _masks(np.arange(np.searchsorted(local, this))[None, :], words)[0]
+        n, shift = len(sides[0]), 0 if b1 == b2 else len(sides[0])
         links, parent = np.zeros(len(ids)), np.arange(len(ids))
-        for at in range(0, len(va), 512):
-            sim = ua[at : at + 512] @ ub.T
+        for at in range(0, n, 256):
+            sim = unit[at : min(at + 256, n)] @ unit[shift:].T
             i, j = np.nonzero(sim >= least - 1e-5)
             if b1 == b2:
                 i, j = i[i + at < j], j[i + at < j]
-            close = np.flatnonzero(sim[i, j] < least + 1e-5)  # too near the threshold for single precision
-            bad = [part[_exact_cosine(va[i[part] + at].astype(np.float64), vb[j[part]].astype(np.float64)) < least] for part in np.array_split(close, len(close) // 65536 + 1)]
-            i, j = np.delete(i, np.concatenate(bad)) + at, np.delete(j, np.concatenate(bad))
-            links += np.bincount(i, cb[j], len(ids)) + np.bincount(j + shift, ca[i], len(ids))
-            parent = _joined(parent, i, j + shift)
+            good = np.zeros(len(i), bool)
+            for part in np.array_split(np.arange(len(i)), len(i) // 65536 + 1):
+                p, q = i[part] + at, j[part] + shift
+                both = sets[p] & sets[q]
+                ok = (np.bitwise_count(both).sum(axis=1) >= shared) & ~(both & before).any(axis=1)
+                close = np.flatnonzero(ok & (sim[i[part], j[part]] < least + 1e-5))  # too near the threshold for single precision
+                ok[close] = _exact_cosine(v[p[close]].astype(np.float64), v[q[close]].astype(np.float64)) >= least
+                good[part] = ok
+            i, j = i[good] + at, j[good] + shift
+            links += np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+            parent = _joined(parent, i, j)
         hit = np.flatnonzero(links)
-        return pd.DataFrame({"rep": ids[hit], "links": links[hit].astype(np.int64), "root": ids[parent[hit]]})
+        return pd.DataFrame({"node": ids[hit], "links": links[hit].astype(np.int64), "root": ids[parent[hit]]})
 
     return run
 
 
-def pivot_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, pivot_factor: float = 2.0) -> DataFrame:
+def _linked(reps: DataFrame, dim: int, least: float, pivot_factor: float, scratch: Scratch) -> DataFrame:
+    """(node, links, root): verified links of the vectors in reps, per pair of blocks."""
+    n, kind = reps.count(), reps.schema["v"].dataType.simpleString()
+    n_pivots = int(max(LEAST_PIVOTS, min(pivot_factor * n**0.5, PIVOT_BYTES / (4 * dim))))
+    k = min(NEAREST, n_pivots)
+    prefix = k - SHARED + 1
+    row = f"node long, v {kind}, copies long"
+    tasks = max(reps.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+    described = scratch.table(reps.select("node", "v", "copies").repartition(tasks).mapInArrow(_describe(n_pivots, dim), f"{row}, near array<int>"))
+    sizes = np.zeros(n_pivots, np.int64)
+    for pivot, c in described.select(F.explode("near").alias("p")).groupBy("p").count().collect():  # a row a pivot
+        sizes[pivot] = c
+    order = np.argsort(sizes, kind="stable")
+    rank = np.empty(n_pivots, np.int64)
+    rank[order] = np.arange(n_pivots)
+    blocks = np.maximum(-(-sizes[order] // max(256, BLOCK_BYTES // (4 * dim))), 1)
+    met = described.mapInArrow(_post(rank, blocks, prefix), f"list int, b1 int, b2 int, b int, {row}, ranked array<int>")
+    return scratch.table(met.groupBy("list", "b1", "b2").applyInPandas(_verify(SHARED, least), "node long, links long, root long"))
+
+
+def pivot_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", least: float = 0.95, pivot_factor: float = 8.0) -> DataFrame:
     """One row per vector: id, n_links, component_id (smallest id reachable), kept.
 
-    Equal vectors collapse to one representative with a count. Each vector
-    belongs to the nearest of pivot_factor * sqrt(n) pivots (64 to MAX_PIVOTS,
-    by hash order), and neighbouring pivots' vectors form blocks (a big cell
-    several). Vectors visit every block that can hold a partner, by a bound
-    that loses none, and each task compares two blocks on exact cosine: all
-    links are found. Tasks return link counts and one pointer per vector,
-    never the pairs. Vectors in tight groups visit few blocks; vectors without
-    structure visit all.
+    Equal vectors collapse to one with a count. Among pivot_factor * sqrt(n)
+    pivots lists hold about 2 sqrt(n) vectors, and the pairs that meet grow as
+    n^1.5. (The pivots' matrix takes PIVOT_BYTES at most; where that bounds their
+    number, lists grow with n instead.) Pairs must share SHARED of their NEAREST
+    pivots. Long lists are cut into blocks and each task meets two blocks; it
+    returns link counts and one pointer per vector, never the pairs. In a large
+    group of near copies that is quadratic work, as each link is counted, but
+    spread over tasks. What is missed is a matter of chance: well under one link
+    in a thousand at the default numbers.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
-    good = usable_vectors(vectors, id_col, vec_col)
-    dims = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    own = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rows = vectors.select(F.col(quoted(id_col)).cast("long").alias("vec_id"), F.col(quoted(vec_col)).alias("v"))
+    rows = rows.withColumn("ok", is_usable(F.col("v")) & F.col("vec_id").isNotNull())
+    dims = rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dim = int(dims[0]) if dims is not None else -1
+    rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == dim))
+    own = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     if dims is not None:
-        dim = int(dims[0])
-        reps = stash(good.where(F.size("v") == dim).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-        n = reps.count()
-        n_pivots = int(min(MAX_PIVOTS, max(64, pivot_factor * n**0.5)))
-        points = np.array([r[0] for r in reps.select("v", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(n_pivots).select("v").collect()], np.float64)
-        points = _unit(points)
-        points = points[_order(points)]
-        sizes = np.zeros(len(points), np.int64)
-        for pivot, c in reps.select("v").mapInArrow(_nearest(points, dim), "pivot int").groupBy("pivot").count().collect():
-            sizes[pivot] = c
-        starts, parts = _cells(sizes, min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // BLOCKS))))
-        visits = reps.select("rep", "v", "copies").mapInArrow(_visits(points, starts, parts, dim, least), "rep long, v array<float>, copies long, b int, other int")
-        met = visits.select(F.least("b", "other").alias("b1"), F.greatest("b", "other").alias("b2"), "b", "rep", "v", "copies")
-        found = stash(met.groupBy("b1", "b2").applyInPandas(_verify(least), "rep long, links long, root long"))
-        tree = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-        counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-        state = reps.select("v", "rep", "copies").join(counts, "rep", "left").join(tree.withColumnRenamed("id", "rep"), "rep", "left")
-        state = state.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-        usable = good.where(F.size("v") == dim).select(F.col("vec_id"), "v").join(state, "v").select("vec_id", "n_links", "component_id")
-        rest = rows.join(usable.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-        own = usable.unionByName(rest)
+        with Scratch(vectors.sparkSession) as scratch:
+            hashed = rows.where("ok").select("vec_id", F.xxhash64("v").alias("h"), "v")
+            grouped = hashed.groupBy("h", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+            reps = scratch.table(grouped.withColumn("node", F.monotonically_increasing_id()))
+            found = _linked(reps, dim, least, pivot_factor, scratch)
+            tree = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), scratch)
+            counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+            state = reps.select("node", "h", "v", "rep", "copies").join(counts, "node", "left").join(smallest_names(tree, reps), "node", "left")
+            state = state.select("h", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+            own = scratch.keep(skew_join(hashed, state, ["h", "v"], "vec_id").select("vec_id", "n_links", "component_id").unionByName(own))
     return own.select(F.col("vec_id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -21,7 +21,8 @@ import pyarrow.compute as pc
 #: Texts with white space other than single spaces between words and single line ends after them, or with marks of special tokens.
 _SPANNING = "^[ \n]|[ \n]$|[ \n][ \n]|[\\x00-\\x09\\x0b-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _FIRST = "\x01"
-MAX_UNITS = 600_000
+#: Units that a worker remembers, each of at most so many characters; longer ones are encoded anew.
+MAX_UNITS, MAX_CHARS = 600_000, 64
 #: Units that can be joined and cut again by bytes: lower-casing and normal forms keep their bytes, and a joined one keeps its own start.
 _EASY = re.compile("[!-;=-~\u00a1-\u012f\u0132-\u017e]+")
 _EASY_SPACED = re.compile("[ \t\n\r\x0b\f]+[^ \t\n\r\x0b\f<]+")
@@ -53,6 +54,15 @@ class UnitMemo:
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.empty(max(n, 2 * len(a)) - len(a), a.dtype)])
 
+    def _append(self, units: list[str]) -> None:
+        ids, lengths = self.encode_units(units)
+        n, m = self.known + len(units), self.used + len(ids)
+        self.flat, self.starts, self.lengths = self._room(self.flat, m), self._room(self.starts, n), self._room(self.lengths, n)
+        self.flat[self.used : m] = ids
+        self.lengths[self.known : n] = lengths
+        self.starts[self.known : n] = self.used + np.cumsum(lengths) - lengths
+        self.used, self.known = m, n
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)."""
         units = [self.split(t) for t in texts]
@@ -61,23 +71,28 @@ class UnitMemo:
 
     def gather(self, units: list[str], at: np.ndarray | None, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same from units: all in order, or distinct ones with `at` their order; counts: units of each text."""
-        own = np.fromiter(map(self.index.__getitem__, units), np.int32, len(units))
-        at = own if at is None else own[at]
+        long = {u: i for i, u in enumerate(dict.fromkeys(u for u in units if len(u) > MAX_CHARS))}
+        if long:  # below 0 until it is known where they go
+            own = np.fromiter((-1 - long[u] if u in long else self.index[u] for u in units), np.int32, len(units))
+        else:
+            own = np.fromiter(map(self.index.__getitem__, units), np.int32, len(units))
         known, used, new = self.known, self.used, []
         if len(self.index) > known:
             new = list(islice(reversed(self.index), len(self.index) - known))[::-1]
-            ids, lengths = self.encode_units(new)
-            n, m = known + len(new), used + len(ids)
-            self.flat, self.starts, self.lengths = self._room(self.flat, m), self._room(self.starts, n), self._room(self.lengths, n)
-            self.flat[used:m] = ids
-            self.lengths[known:n] = lengths
-            self.starts[known:n] = used + np.cumsum(lengths) - lengths
-            self.used, self.known = m, n
+            self._append(new)
+        kept = self.known, self.used
+        if long:
+            own = np.where(own < 0, self.known - 1 - own, own)
+            self._append(list(long))
+        at = own if at is None else own[at]
         each = self.lengths[at]
         ends = np.cumsum(each, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[at] - (ends - each).astype(np.int32), each) + np.arange(total, dtype=np.int32)]
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        self.known, self.used = kept
+        if long and len(self.flat) > 1 << 22 and len(self.flat) > 4 * self.used:
+            self.flat = self.flat[: 2 * self.used + (1 << 16)].copy()
         if self.known > MAX_UNITS:
             if 2 * np.count_nonzero(at >= known) > len(at):  # other texts than before: begin anew
                 self._clear()

@@ -8,25 +8,30 @@ labelled rows don't show. Labels, language, source and ids never enter a score.
 Contract for odd input
 ----------------------
 Null text counts as empty; empty texts get the score of their (boundary)
-features. Labelled rows whose label is null or not 0 or 1 are not learned from.
-Rows that repeat an id, or have none, are each scored. Training data without
+features. Labels that are null or not 0 or 1 count for nothing, and an id that is
+labelled both 0 and 1 is not learned from. Of texts that share a labelled id, the
+one whose features come first in byte order is learned from. Rows that repeat an
+id, or have none, are each scored. Training data without
 both classes gives every text the score of the only class seen (1.0 if there
-are no labels at all). Extra columns are not read. An empty table gives no rows.
+are no labels at all). Extra columns are not read, and may have any name: score
+gets an underscore where a column that is carried along is called so. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import mix64, small_batches
+from .common import free_name, mix64, quoted
 from .pretoken import texts_of
 
 #: At most so many labelled rows are learned from, the first by hash of their id.
@@ -34,7 +39,8 @@ MAX_TRAIN_ROWS = 20_000
 BITS = 18
 GRAMS = 3
 _TAIL = re.compile(r"[^\w\s]+$")
-_CACHE_TOKENS = 120_000
+#: Tokens that a worker keeps the shapes of, each of at most so many characters.
+_CACHE_TOKENS, _CACHE_CHARS = 120_000, 48
 
 
 def shape(token: str) -> str:
@@ -59,7 +65,7 @@ def shape(token: str) -> str:
 class _Shapes(dict):
     def __missing__(self, token: str) -> int:
         value = xxhash.xxh3_64_intdigest(shape(token))
-        if len(self) < _CACHE_TOKENS:  # what comes first is commonest
+        if len(self) < _CACHE_TOKENS and len(token) <= _CACHE_CHARS:  # what comes first is commonest
             self[token] = value
         return value
 
@@ -137,68 +143,108 @@ def _calibrate(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(found: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, c: float = 1.0, blend: float = 0.25, epochs: int = 20, folds: int = 5) -> NbSvm:
-    """Learn from feature rows and 0/1 labels; margins are calibrated on rows of folds that their model had no part in."""
+def _weights(found: list[np.ndarray], y: np.ndarray, which: np.ndarray, smooth: float, c: float, blend: float, epochs: int) -> np.ndarray:
+    """Weights by feature and the bias, learned from the rows `which`."""
     size = 1 << BITS
+    p, q = np.full(size, smooth), np.full(size, smooth)
+    for i in which:
+        (p if y[i] > 0 else q)[found[i]] += 1
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    values = [ratio[found[i]] / np.sqrt(max(len(found[i]), 1)) for i in which]
+    w = _dual_descent([found[i] for i in which], values, y[which], size, c, epochs)
+    mean = np.abs(w[:-1]).mean()
+    return np.append(((1 - blend) * mean + blend * w[:-1]) * ratio, w[-1] * blend)
+
+
+def _margins(w: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
+    return np.array([w[x].sum() / np.sqrt(max(len(x), 1)) + w[-1] for x in found])
+
+
+def _part(found: list[np.ndarray], y: np.ndarray, f: int, folds: int, params: tuple) -> np.ndarray:
+    """Part f of the work: margins of fold f under a model of the others, or, after the last fold, the model of all rows."""
+    fold, every = np.arange(len(y)) % folds, np.arange(len(y))
+    rest = np.flatnonzero(fold != f)
+    w = _weights(found, y, rest if len(set(y[rest])) == 2 else every, *params)
+    return w if f == folds else _margins(w, [found[i] for i in np.flatnonzero(fold == f)])
+
+
+def _in_turn(part: Callable[[int], np.ndarray], n: int) -> list[np.ndarray]:
+    return [part(f) for f in range(n)]
+
+
+def fit(found: list[np.ndarray], labels: np.ndarray, smooth: float = 1.0, c: float = 1.0, blend: float = 0.25, epochs: int = 20, folds: int = 5, run_parts: Callable = _in_turn) -> NbSvm:
+    """Learn from feature rows and 0/1 labels; margins are calibrated on rows of folds that their model had no part in.
+
+    run_parts(part, n) computes part(0), ..., part(n - 1), which don't depend on each other.
+    """
     if len(labels) == 0 or labels.min() == labels.max():
         only = 1.0 if len(labels) == 0 or labels[0] == 1 else 0.0
-        return NbSvm(np.zeros(size), 0.0, 0.0, 30.0 if only else -30.0)
+        return NbSvm(np.zeros(1 << BITS), 0.0, 0.0, 30.0 if only else -30.0)
     y = np.where(labels == 1, 1.0, -1.0)
-
-    def train(which: np.ndarray) -> tuple[np.ndarray, float]:
-        p, q = np.full(size, smooth), np.full(size, smooth)
-        for i in which:
-            (p if y[i] > 0 else q)[found[i]] += 1
-        ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-        values = [ratio[found[i]] / np.sqrt(max(len(found[i]), 1)) for i in which]
-        w = _dual_descent([found[i] for i in which], values, y[which], size, c, epochs)
-        mean = np.abs(w[:-1]).mean()
-        return ((1 - blend) * mean + blend * w[:-1]) * ratio if blend < 1 else w[:-1] * ratio, w[-1] * blend
-
+    *by_fold, w = run_parts(lambda f: _part(found, y, f, folds, (smooth, c, blend, epochs)), folds + 1)
     fold, margins = np.arange(len(y)) % folds, np.zeros(len(y))
-    for f in range(folds):
-        rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-        w, bias = train(rest if len(set(y[rest])) == 2 else np.arange(len(y)))
-        margins[own] = [w[found[i]].sum() / np.sqrt(max(len(found[i]), 1)) + bias for i in own]
-    w, bias = train(np.arange(len(y)))
+    for f, own in enumerate(by_fold):
+        margins[fold == f] = own
     slope, offset = _calibrate(margins, y)
-    return NbSvm(w, bias, slope, offset)
+    return NbSvm(w[:-1], float(w[-1]), slope, offset)
+
+
+def _in_tasks(spark: SparkSession) -> Callable:
+    """Each part in a Spark task of its own; the bounded training rows go to the workers once."""
+
+    def run_parts(part: Callable[[int], np.ndarray], n: int) -> list[np.ndarray]:
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(part))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for f in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([cloudpickle.loads(shared.value)(f).tobytes()], pa.binary())], names=["f", "result"])
+
+        rows = spark.range(0, n, 1, n).mapInArrow(run, "f long, result binary").collect()
+        shared.destroy()
+        return [np.frombuffer(row["result"], np.float64) for row in sorted(rows)]
+
+    return run_parts
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(t).astype(np.int32).tobytes() for t in texts_of(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["label", "found"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["doc_id", "label", "found"])
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_TRAIN_ROWS) -> NbSvm:
     """Fit on labelled documents for which `usable` (over doc_id) holds, at most max_rows of them by hash of the id.
 
-    Features are made by tasks; only the bounded sample's feature numbers reach the driver.
+    Features are made by tasks, and so are the folds' models; only the bounded sample's feature numbers, a row an id, reach the driver.
     """
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & usable)
-    sample = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("label", "text")
-    rows = small_batches(texts).mapInArrow(_feature_batches, "label int, found binary").collect()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & usable)
+    agreed = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("doc_id is not null and label = other")
+    sample = agreed.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    found = texts.mapInArrow(_feature_batches, "doc_id long, label int, found binary")
+    rows = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("found").alias("found")).select("label", "found").collect()  # a row an id of the sample
     rows.sort(key=lambda row: (xxhash.xxh3_64_intdigest(row["found"]), row["label"]))
-    return fit([np.frombuffer(row["found"], np.int32) for row in rows], np.array([row["label"] for row in rows], np.int64))
+    return fit([np.frombuffer(row["found"], np.int32) for row in rows], np.array([row["label"] for row in rows], np.int64), run_parts=_in_tasks(docs.sparkSession))
 
 
-def _score_batches(model):
+def _score_batches(model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
             scores = [own.score(features(t)) for t in texts_of(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], name])
 
     return run
 
 
 def score_quality(docs: DataFrame, model: NbSvm, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` and score, for every row; the model, of fixed size, goes to every worker once."""
+    carried = docs.select(*[F.col(quoted(c)) for c in keep])
+    text, score = free_name(carried, "text_in"), free_name(carried, "score")
+    schema = StructType([*carried.schema.fields, StructField(score, DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(text_col).alias("_text"), *keep)
-    return small_batches(rows).mapInArrow(_score_batches(shared), ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"]))
+    return docs.select(F.col(quoted(text_col)).alias(text), *[F.col(quoted(c)) for c in keep]).mapInArrow(_score_batches(shared, score), schema)
 
 
 def held_out(doc_id: Column) -> Column:

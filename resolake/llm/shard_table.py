@@ -20,6 +20,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 MAX_SLOTS = 1 << 20
 
 
@@ -55,16 +57,16 @@ def assign_shards(rows: DataFrame, key_col: str, shards: list[str], slots: int =
     lookup = rows.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(owners), ",")).alias("slot", "owner"))
     shard = F.element_at(F.array(*map(F.lit, shards)), F.col("owner").cast("int") + 1)
     lookup = lookup.select(F.col("slot").cast("long").alias("slot"), shard.alias("shard"))
-    others = [F.col(f"`{c}`") for c in rows.columns if c.lower() not in ("slot", "shard")]
-    keyed = rows.select(*others, (key_hash(F.col(f"`{key_col}`")) % slots).alias("slot"))
+    others = [F.col(quoted(c)) for c in rows.columns if c.lower() not in ("slot", "shard")]
+    keyed = rows.select(*others, (key_hash(F.col(quoted(key_col))) % slots).alias("slot"))
     return keyed.join(F.broadcast(lookup), "slot").select(*others, "slot", "shard")
 
 
 def write_shards(rows: DataFrame, key_col: str, shards: list[str], path: str, slots: int = 4093, files_per_shard: int = 1) -> None:
-    """One folder a shard; a salt from the key's hash spreads each shard over files_per_shard writers."""
+    """One folder a shard; a salt from each row's hash spreads a shard over files_per_shard writers, hot keys too."""
     placed = assign_shards(rows, key_col, shards, slots)
-    salt = (key_hash(F.col(key_col)) / slots).cast("long") % files_per_shard
-    placed.withColumn("_salt", salt).repartition(len(shards) * files_per_shard, "shard", "_salt").drop("_salt").write.mode("overwrite").partitionBy("shard").parquet(path)
+    salt = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in placed.columns]), F.lit(files_per_shard))
+    placed.repartition(len(shards) * files_per_shard, "shard", salt).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def shard_sql(shards: list[str], slots: int = 4093) -> str:

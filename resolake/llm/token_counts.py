@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 from .pretoken import array_slices
 from .unigram import LONG_UNIT, PieceTrie, best_path, piece_trie, units, utf8_lengths
 
-MAX_UNITS = 500_000
+#: Units that a worker remembers, each of at most so many characters.
+MAX_UNITS, MAX_CHARS = 500_000, 64
 _CHUNK = 65_536
 
 
@@ -92,11 +92,14 @@ class _Counts:
         if len(self.index) > MAX_UNITS:
             self.index.clear()
         split = [units(t) for t in texts]
-        new = list({u for s in split for u in s} - self.index.keys())
+        every = {u for s in split for u in s} - self.index.keys()
+        new, long = [u for u in every if len(u) <= MAX_CHARS], [u for u in every if len(u) > MAX_CHARS]
         for a in range(0, len(new), _CHUNK):
             part = new[a : a + _CHUNK]
             self.index.update(zip(part, trie_counts(self.trie, part).tolist(), strict=True))
         get = self.index.__getitem__
+        if long:
+            get = (self.index | dict(zip(long, trie_counts(self.trie, long).tolist(), strict=True))).__getitem__
         return np.array([sum(map(get, s)) for s in split], np.int64)
 
 
@@ -123,4 +126,4 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     at a time, so memory is bounded and nothing is shuffled.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return small_batches(rows).mapInArrow(_count(model_path), "doc_id long, n_tokens long")
+    return rows.mapInArrow(_count(model_path), "doc_id long, n_tokens long")

@@ -19,7 +19,6 @@ empty table gives no blocks.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import list_array, shared_dir, small_batches
+from .common import Scratch, list_array
 from .pretoken import array_slices, tokenizer
 
 BLOCK_TOKENS = 2_000_000
@@ -109,7 +108,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     files = max(1, -(-docs.select(id_col).count() // DOCS_PER_FILE))
     ordered = texts.repartitionByRange(files, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
-    small_batches(ordered).mapInArrow(_encode(tokenizer_path, separator, keep_space, end_id), BLOCK_SCHEMA).write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(_encode(tokenizer_path, separator, keep_space, end_id), BLOCK_SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +154,9 @@ def read_token_files(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
 
 
 def token_file_digest(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Write the files to a fresh folder of the shared directory and describe each document as read back."""
+    """Write the files to the shared folder and describe each document as read back; the files go once the description is stored."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
-    write_token_files(docs, path, tokenizer_path, end_id)
-    return read_token_files(spark.read.schema(BLOCK_SCHEMA).parquet(path), with_ids=False)
+    with Scratch(spark) as scratch:
+        path = scratch.folder()
+        write_token_files(docs, path, tokenizer_path, end_id)
+        return scratch.keep(read_token_files(spark.read.schema(BLOCK_SCHEMA).parquet(path), with_ids=False))

@@ -162,6 +162,38 @@ def test_pieces_match_the_library(spark, docs, pieces):
     assert sentencepiece_codec.pieces_digest(docs.limit(0), PIECE).count() == 0
 
 
+def test_counts_match_the_library(docs, pieces):
+    """The library encodes with the same scores; a count may differ only where its path has the same score."""
+    trie, scores, sp = pieces
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, PIECE).collect()}
+    ids = {r.doc_id: r.ids for r in sentencepiece_codec.encode_pieces(docs, PIECE).collect()}
+    for r in docs.collect():
+        want = sp.encode(r.text or "")
+        assert got[r.doc_id] == len(want) or path_score(trie, scores, ids[r.doc_id]) == pytest.approx(path_score(trie, scores, want), rel=1e-6)
+
+
+def test_long_texts_without_spaces(spark, pieces):
+    """Texts that are one unit each: exact, and nothing of them is remembered."""
+    trie, scores, sp = pieces
+    texts = [("abcdefghij" * 30_000)[: 200_000 + i] for i in range(3)] + ["\u6f22\u5b57" * 20_000, "x" * 65, "plain words"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for path, keep, end in ((BYTE, True, 2), (WORD, False, 1)):
+        own = pretoken.TextTokenizer(path, "<|endoftext|>", keep)
+        for _ in range(2):
+            ids, lengths = own.encode(texts)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == reference_ids(path, texts)
+        assert sum(map(len, own.memo.index)) < 1000 and own.memo.used < 1000
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, PIECE).collect()}
+    ids = {r.doc_id: r.ids for r in sentencepiece_codec.encode_pieces(docs, PIECE).collect()}
+    assert counts == {i: len(x) for i, x in ids.items()}
+    own = token_counts._Counts(PIECE)
+    assert own.of(texts).tolist() == [counts[i] for i in range(len(texts))] and all(len(u) <= token_counts.MAX_CHARS for u in own.index)
+    assert {r.doc_id: r.text for r in sentencepiece_codec.decode_pieces(spark.createDataFrame(list(ids.items()), "doc_id long, ids array<int>"), PIECE).collect()} == dict(enumerate(texts))
+    assert token_files.token_file_digest(docs, BYTE, 2).agg({"n_tokens": "sum"}).first()[0] == sum(len(x) + 1 for x in reference_ids(BYTE, texts))
+    pieces_of = packing.pack_documents(docs, WORD, end_id=1).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {r[0]: r[1] for r in pieces_of} == {i: len(x) + 1 for i, x in enumerate(reference_ids(WORD, texts))}
+
+
 def test_counts_equal_encoded_lengths(docs):
     n = sorted((r.doc_id or 0, len(r.ids)) for r in sentencepiece_codec.encode_pieces(docs, PIECE).collect())
     assert sorted((r.doc_id or 0, r.n_tokens) for r in token_counts.count_tokens(docs, PIECE).collect()) == n
