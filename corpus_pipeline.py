@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept; all but the last return the columns of documents. Rows with null ids
-pass the filters like others; of rows that repeat an id after near dedup, one
-stays.
+and rows that repeat an id are documents like others; of rows that are equal in
+every column, near dedup keeps one.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resolake.llm.common import table
+from resolake.llm.common import Scratch, table, tune_session
 from resolake.llm.line_dedup import drop_boilerplate_lines
-from resolake.llm.minhash_dedup import minhash_components
+from resolake.llm.minhash_dedup import near_unique
 from resolake.llm.packing import pack_documents
 from resolake.llm.quality_nbsvm import held_out, score_quality, train_quality
 from resolake.llm.queries import public_tokenizer
@@ -23,6 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at 0.3 or more."""
+    tune_session(spark)
     model = train_quality(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
     rest = [c for c in COLUMNS if c != "text"]
     scored = score_quality(docs, model, [*rest, "text"])
@@ -38,13 +39,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    kept = minhash_components(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    unique = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return unique.select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
+    tune_session(spark)
+    return near_unique(docs.select(COLUMNS))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents in sequences of at most 2048 tokens."""
+    tune_session(spark)
     return pack_documents(docs, public_tokenizer("word_bpe_49k.json"), end_id=1)
 
 
@@ -54,7 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over documents; what a stage returns is written once and read again by the next."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
