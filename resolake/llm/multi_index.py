@@ -35,6 +35,8 @@ MAX_TRAIN_ROWS = 20_000
 #: Centroids of each half: six times the fourth root of the number of vectors, within these bounds.
 LEAST_CENTROIDS, MOST_CENTROIDS = 64, 256
 ENTRY_BLOCK, QUERY_BLOCK = 50_000, 20_000
+#: Products of queries and entries that a task holds at a time.
+SIM_CELLS = 2_000_000
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -112,6 +114,8 @@ def _first_k(who: np.ndarray, score: np.ndarray, rep: np.ndarray, k: int) -> np.
     """Positions of each query's first k by score, the largest first, ties to the smaller rep."""
     order = np.lexsort((rep, -score, who))
     who = who[order]
+    if not len(who):
+        return order
     starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
     return order[np.arange(len(who)) - np.repeat(starts, np.diff(np.append(starts, len(who)))) < k]
 
@@ -119,7 +123,7 @@ def _first_k(who: np.ndarray, score: np.ndarray, rep: np.ndarray, k: int) -> np.
 def _rerank(k: int):
     """The best entries of a block for each query of a block: [(score, id), ...], over the cells that the query visits.
 
-    A matrix product only screens: whatever may reach a cell's k-th product but
+    A matrix product only screens: whatever may reach a query's k-th product but
     for rounding is scored by one exact sum, so that equal vectors tie, and
     ordered by score and id before it is cut.
     """
@@ -127,38 +131,32 @@ def _rerank(k: int):
     def run(key: tuple, queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(queries) and len(entries):
-            entries = entries.sort_values("c2", kind="stable")
             x, q = (np.stack(d["v"].to_list()).astype(np.float64) for d in (entries, queries))
-            cells, first = np.unique(entries["c2"].to_numpy(), return_index=True)
-            upto = np.append(first[1:], len(entries))
-            ids, reps = entries["ids"].to_numpy(), queries["query"].to_numpy()
+            cell, ids, names = entries["c2"].to_numpy(), entries["ids"].to_numpy(), queries["query"].to_numpy()
             own = np.array([i[0] for i in ids], np.int64)
             slack = 1e-12 * np.sqrt((x * x).sum(axis=1).max() * (q * q).sum(axis=1))
-            visits: dict[int, list[int]] = {}
-            for i, s in enumerate(queries["c2s"]):
-                for c in s:
-                    visits.setdefault(int(c), []).append(i)
-            found = []
-            for cell, a, b in zip(cells.tolist(), first.tolist(), upto.tolist(), strict=True):
-                who = np.array(visits.get(cell, ()), np.int64)
-                for part in np.split(who, range(512, len(who), 512)):
-                    sims = q[part] @ x[a:b].T
-                    least = np.partition(sims, b - a - k, axis=1)[:, b - a - k] - slack[part] if b - a > k else np.full(len(part), -np.inf)
-                    i, j = np.nonzero(sims >= least[:, None])
-                    for cut in np.array_split(np.arange(len(i)), len(i) // 65536 + 1):
-                        mine, at = part[i[cut]], a + j[cut]
-                        exact = (q[mine] * x[at]).sum(axis=1)
-                        best = _first_k(mine, exact, own[at], k)
-                        found.append((mine[best], exact[best], at[best]))
-            if found:
-                mine, exact, at = (np.concatenate(c) for c in zip(*found, strict=True))
-                best = _first_k(mine, exact, own[at], k)
+            step = max(16, SIM_CELLS // len(x))
+            for at in range(0, len(q), step):
+                part = slice(at, min(at + step, len(q)))
+                visits = np.zeros((part.stop - at, int(cell.max()) + 1), bool)
+                for row, cells in enumerate(queries["c2s"].iloc[part]):
+                    visits[row, cells[cells < visits.shape[1]]] = True
+                sims = np.where(visits[:, cell], q[part] @ x.T, -np.inf)
+                least = np.partition(sims, len(x) - k, axis=1)[:, len(x) - k] - slack[part] if len(x) > k else np.full(len(sims), -np.inf)
+                i, j = np.nonzero((sims >= least[:, None]) & (sims > -np.inf))
+                found = []
+                for cut in np.array_split(np.arange(len(i)), len(i) // 65536 + 1):
+                    exact = (q[at + i[cut]] * x[j[cut]]).sum(axis=1)
+                    best = _first_k(i[cut], exact, own[j[cut]], k)
+                    found.append((i[cut][best], exact[best], j[cut][best]))
+                who, exact, where = (np.concatenate(c) for c in zip(*found, strict=True))
+                best = _first_k(who, exact, own[where], k)
                 by_query: dict[int, list] = {}
-                for i, s, p in zip(mine[best].tolist(), exact[best].tolist(), at[best].tolist(), strict=True):
-                    by_query.setdefault(i, []).extend((-s, v) for v in ids[p].tolist())
+                for i, s, p in zip(who[best].tolist(), exact[best].tolist(), where[best].tolist(), strict=True):
+                    by_query.setdefault(at + i, []).extend((-s, v) for v in ids[p].tolist())
                 for i, pairs in by_query.items():
                     pairs = sorted(pairs)[:k]
-                    rows.append((reps[i], [-s for s, _ in pairs], [v for _, v in pairs]))
+                    rows.append((names[i], [-s for s, _ in pairs], [v for _, v in pairs]))
         return pd.DataFrame(rows, columns=["query", "scores", "ids"])
 
     return run
