@@ -15,6 +15,7 @@ RESIDUE_ALIASES = {"HSP": "HIS", "HSD": "HIS", "HSE": "HIS", "CYX": "CYS", "ASH"
 THREE_TO_ONE = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
     "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
+    "SEC": "U", "PYL": "O",
 }
 
 

@@ -191,9 +191,10 @@ def differential_categories(a: DataFrame, b: DataFrame, rank: str = "pct_rank",
 
 def matrix_difference(attn: DataFrame, reference: DataFrame) -> DataFrame:
     """Cell-wise |A - reference| for every named matrix against one reference matrix (i, j, w), and the overall range."""
-    d = attn.join(F.broadcast(reference.select("i", "j", F.col("w").alias("_ref"))), ["i", "j"]).select("name", "i", "j", F.abs(F.col("w") - F.col("_ref")).alias("diff"))
-    everything = Window.partitionBy()
-    return d.withColumn("low", F.min("diff").over(everything)).withColumn("high", F.max("diff").over(everything))
+    own = reference.select("i", "j", F.col("w").alias("_ref"))
+    d = attn.join(own, ["i", "j"]).select("name", "i", "j", F.abs(F.col("w") - F.col("_ref")).alias("diff"))
+    span = d.agg(F.min("diff").alias("low"), F.max("diff").alias("high"))
+    return d.crossJoin(F.broadcast(span))  # one row
 
 
 def distances_below(points: DataFrame, cutoff: float, name: str = "name", i: str = "i", xyz: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -211,18 +212,31 @@ def component_summary(regions: DataFrame) -> DataFrame:
 
 
 def bootstrap_mean(df: DataFrame, x: str, key: str, resamples: int = 1000, least: int = 10, seed: int = 42) -> DataFrame:
-    """Mean and 2.5 and 97.5 % bootstrap percentiles of x over each key's rows (per-sequence scores, so few); null below `least`."""
+    """Mean and 2.5 and 97.5 % bootstrap percentiles of x over each key's rows; null below `least`.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf[x].dropna().to_numpy(float))
-        low = high = None
-        if len(v) >= least:
-            rng = np.random.default_rng(seed)
-            means = np.array([v[rng.integers(len(v), size=len(v))].mean() for _ in range(resamples)])
-            low, high = np.percentile(means, [2.5, 97.5])
-        return pd.DataFrame({key: [str(pdf[key].iat[0])], "n": [len(v)], "mean": [v.mean() if len(v) else None], "low": [low], "high": [high]})
-
-    return df.select(key, x).groupBy(key).applyInPandas(run, f"{key} string, n long, mean double, low double, high double")
+    Each row counts in each resample as often as a Poisson draw of mean 1 says,
+    which tends to drawing with replacement. Tasks sum their own rows by key and
+    resample, so a key's rows are never gathered.
+    """
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for pdf in batches:
+            for name, part in pdf.groupby("key"):
+                weight, total = np.zeros(resamples), np.zeros(resamples)
+                v = part["x"].to_numpy(float)
+                for cut in np.array_split(v, len(v) // 4096 + 1):
+                    times = rng.poisson(1.0, (len(cut), resamples))
+                    weight += times.sum(axis=0)
+                    total += cut @ times
+                yield pd.DataFrame({"key": name, "resample": np.arange(resamples), "weight": weight, "total": total})
+
+    known = df.where(F.col(x).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"))
+    drawn = known.mapInPandas(draw, "key string, resample int, weight double, total double").groupBy("key", "resample").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
+    means = drawn.groupBy("key").agg(F.percentile(F.try_divide("total", "weight"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    plain = df.groupBy(F.col(key).cast("string").alias("key")).agg(F.count(x).alias("n"), F.avg(x).alias("mean"))
+    bound = lambda k: F.when(F.col("n") >= least, F.col("q")[k])
+    return plain.join(means, "key", "left").select(F.col("key").alias(key), "n", "mean", bound(0).alias("low"), bound(1).alias("high"))
 
 
 def patch_motifs(attn: DataFrame, size: int = 5, motifs: int = 4, seed: int = 42) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import order_statistics
+
 
 def _by(name: str, *order: Column | str):
     w = Window.partitionBy(name)
@@ -76,11 +78,8 @@ def quantile_clip(df: DataFrame, x: str, low: float = 0.05, high: float = 0.95,
 def quartile_label(df: DataFrame, x: str, name: str | None = None) -> DataFrame:
     """Q1..Q4 against the order statistics at n/4, n/2 and 3n/4 (not interpolated), <= inclusive."""
     keys = [name] if name else []
-    ranked = df.select(*keys, x).where(F.col(x).isNotNull())
-    w = Window.partitionBy(*keys)
-    at = ranked.withColumn("_r", F.row_number().over(w.orderBy(x)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    cuts = at.groupBy(*keys).agg(*[F.min(F.when(F.col("_r") == F.floor(F.col("_n") * k / 4), F.col(x))).alias(f"_q{k}") for k in (1, 2, 3)])
-    joined = df.join(F.broadcast(cuts), keys) if keys else df.crossJoin(F.broadcast(cuts))  # one row of cuts
+    cuts = order_statistics(df, x, {f"_q{k}": F.floor(F.col("n") * k / 4) for k in (1, 2, 3)}, keys)
+    joined = df.join(cuts, keys, "left") if keys else df.crossJoin(F.broadcast(cuts))  # one row of cuts
     label = F.when(F.col(x) <= F.col("_q1"), "Q1").when(F.col(x) <= F.col("_q2"), "Q2").when(F.col(x) <= F.col("_q3"), "Q3").when(F.col(x).isNotNull(), "Q4")
     return joined.withColumn("quartile", label).drop("_q1", "_q2", "_q3")
 

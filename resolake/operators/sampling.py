@@ -41,17 +41,23 @@ def weighted_sample(df: DataFrame, weight: str, key: str, n: int, seed: int = 42
     """n draws with replacement, chances in proportion to weight: uniforms looked up in the running sum.
 
     The running sum is made per hash bucket of keys, then offset by the buckets'
-    totals, so no single task orders all rows.
+    totals, so no task orders all rows. Draws and the keys' intervals meet by
+    equality on cells of the unit interval, as many as there are draws: keys and
+    cells together bound what is joined.
     """
-    buckets = 64
-    b = df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    b = df.where(F.col(weight) > 0).select(key, F.col(weight).cast("double").alias("_w"), F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_b"))
     w = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = b.withColumn("_hi", F.sum(weight).over(w))
-    totals = b.groupBy("_b").agg(F.sum(weight).alias("_t"))
-    totals = totals.withColumn("_base", F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_t")).withColumn("_all", F.sum("_t").over(Window.partitionBy()))
+    totals = b.groupBy("_b").agg(F.sum("_w").alias("_t"))
+    rising = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a bucket
+    totals = totals.withColumn("_base", F.sum("_t").over(rising) - F.col("_t")).withColumn("_all", F.sum("_t").over(Window.partitionBy()))
+    placed = b.withColumn("_in", F.sum("_w").over(w)).join(F.broadcast(totals), "_b")
+    high = (F.col("_base") + F.col("_in")) / F.col("_all")
+    ranges = placed.select(key, (F.col("_base") + F.col("_in") - F.col("_w")).alias("_lo0"), "_all", high.alias("_hi")).withColumn("_lo", F.col("_lo0") / F.col("_all"))
+    cell = lambda c: F.least(F.floor(c * n), F.lit(max(n - 1, 0))).cast("long")
+    ranges = ranges.select(key, "_lo", "_hi", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))).alias("_cell"))
     u = F.conv(F.substring(hashed_order(F.col("id"), seed=seed), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), u.alias("_u"))
-    placed = draws.join(F.broadcast(totals), (F.col("_u") * F.col("_all") >= F.col("_base")) & (F.col("_u") * F.col("_all") < F.col("_base") + F.col("_t")))
-    local = placed.select("draw", "_b", (F.col("_u") * F.col("_all") - F.col("_base")).alias("_x"))
-    ranges = inner.select("_b", key, (F.col("_hi") - F.col(weight)).alias("_lo"), "_hi")
-    return local.join(ranges, "_b").where((F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))).select("draw", key)
+    draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), u.alias("_u")).withColumn("_cell", cell(F.col("_u")))
+    hit = draws.join(ranges, "_cell").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi")))
+    # neighbouring buckets' bounds can differ in the last bit: of two keys at a seam the smaller counts
+    return hit.groupBy("draw").agg(F.min(key).alias(key))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import mid_rank, order_statistics, value_ranks
+
 
 def _varying(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
     """Rows of the groups in which every column varies; correlations of others are undefined."""
@@ -120,15 +122,20 @@ def hub_overlap(df: DataFrame, hub: str, marked: str, keys: list[str]) -> DataFr
 
 
 def kruskal_wallis(df: DataFrame, x: str, group: str, keys: list[str] | None = None, least: int = 5) -> DataFrame:
-    """Tie-corrected H, k, n and eta squared over groups of at least that many rows; nulls with fewer than two."""
+    """Tie-corrected H, k, n and eta squared over groups of at least that many rows; nulls with fewer than two.
+
+    Rows are counted by group and value first; ranks are those of the values.
+    """
     keys = keys or []
-    w = Window.partitionBy(*keys)
-    known = df.where(F.col(x).isNotNull() & F.col(group).isNotNull()).withColumn("_g", F.count(F.lit(1)).over(Window.partitionBy(*keys, group))).where(F.col("_g") >= least)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
-    ranked = known.withColumn("_t", ties.cast("double")).withColumn("_r", F.rank().over(w.orderBy(x)) + (ties - 1) / 2.0)
-    by = ranked.groupBy(*keys, group).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.avg("_r").alias("_m"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_c"))
-    by = by.withColumn("_all", F.sum("_n").over(w))
-    h = by.groupBy(*keys).agg(F.max("_all").cast("long").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("_n") * F.pow(F.col("_m") - (F.col("_all") + 1) / 2, F.lit(2))).alias("_s"), F.sum("_c").alias("_c"))
+    by_value = df.where(F.col(x).isNotNull() & F.col(group).isNotNull()).groupBy(*keys, group, x).agg(F.count(F.lit(1)).alias("_w"))
+    sizes = by_value.groupBy(*keys, group).agg(F.sum("_w").alias("_g")).where(F.col("_g") >= least)
+    known = by_value.join(sizes.drop("_g"), [*keys, group])
+    ranks = value_ranks(known, x, keys, weight="_w")
+    by = known.join(ranks, [*keys, x]).groupBy(*keys, group).agg(F.sum("_w").cast("double").alias("_n"), (F.sum(F.col("_w") * mid_rank()) / F.sum("_w")).alias("_m"))
+    t = F.col("ties").cast("double")
+    ties = ranks.groupBy(*keys).agg(F.sum(t * (t * t - 1)).alias("_c"), F.sum("ties").cast("double").alias("_all"))
+    by = by.join(ties, keys) if keys else by.crossJoin(F.broadcast(ties))  # one row
+    h = by.groupBy(*keys).agg(F.max("_all").cast("long").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("_n") * F.pow(F.col("_m") - (F.col("_all") + 1) / 2, F.lit(2))).alias("_s"), F.max("_c").alias("_c"))
     n = F.col("n").cast("double")
     value = F.try_divide(12 * F.col("_s") / (n * (n + 1)), 1 - F.col("_c") / (n * n * n - n))
     h = h.withColumn("h", F.when(F.col("k") >= 2, value))
@@ -139,16 +146,17 @@ def wilcoxon(df: DataFrame, delta: str, keys: list[str] | None = None, least: in
     """Signed-rank sums of the non-zero differences, the median difference of all rows, and the normal z of W+."""
     keys = keys or []
     known = df.where(F.col(delta).isNotNull())
-    every = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile(delta, 0.5).alias("median"))
-    d = known.where(F.col(delta) != 0).withColumn("_a", F.abs(F.col(delta)))
-    w = Window.partitionBy(*keys)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_a"))
-    r = d.withColumn("_r", F.rank().over(w.orderBy("_a")) + (ties - 1) / 2.0).withColumn("_t", ties.cast("double"))
-    s = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.sum(F.when(F.col(delta) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_c"))
+    every = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    middle = order_statistics(known, delta, {"_lo": F.floor((F.col("n") - 1) / 2), "_hi": F.ceil((F.col("n") - 1) / 2)}, keys)
+    both = lambda a, b: a.join(b, keys, "left") if keys else a.join(b, F.lit(True), "left")  # noqa: E731  (one row each without keys)
+    d = known.where(F.col(delta) != 0).groupBy(*keys, F.abs(F.col(delta)).alias("_a"), (F.col(delta) > 0).alias("_up")).agg(F.count(F.lit(1)).alias("_w"))
+    ranks = value_ranks(d, "_a", keys, weight="_w")
+    s = d.join(ranks, [*keys, "_a"]).groupBy(*keys).agg(F.sum("_w").alias("m"), F.sum(F.when(F.col("_up"), F.col("_w") * mid_rank()).otherwise(0.0)).alias("w_plus"))
+    t = F.col("ties").cast("double")
+    s = both(s, ranks.groupBy(*keys).agg(F.sum(t * (t * t - 1)).alias("_c")))
     m = F.col("m").cast("double")
-    z = F.try_divide(F.col("w_plus") - m * (m + 1) / 4, F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("_c") / 48))
-    s = s.withColumn("z", z).drop("_c")
-    joined = every.join(s, keys, "left") if keys else every.join(s, F.lit(True), "left")
+    s = s.withColumn("z", F.try_divide(F.col("w_plus") - m * (m + 1) / 4, F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("_c") / 48))).drop("_c")
+    joined = both(both(every, middle), s).withColumn("median", (F.col("_lo") + F.col("_hi")) / 2)
     enough = F.col("n") >= least
     return joined.select(*keys, "n", "median", F.when(enough, F.col("w_plus")).alias("w_plus"), F.when(enough, F.col("z")).alias("z"))
 
@@ -166,12 +174,15 @@ def linear_trend(df: DataFrame, y: str, x: str, keys: list[str] | None = None) -
 
 
 def qq_points(df: DataFrame, x: str, key: str) -> DataFrame:
-    """Ordered values against normal quantiles at (rank - 0.5) / n; one ordered pass over the residuals."""
+    """Ordered values, ties by key, against normal quantiles at (rank - 0.5) / n; only rows of one value are ordered together."""
     from ..functions.pvalues import normal_ppf
 
-    ranked = df.where(F.col(x).isNotNull()).select(key, x, F.row_number().over(Window.orderBy(x, key)).alias("r"))
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    return ranked.withColumn("p", (F.col("r") - 0.5) / n).withColumn("theoretical", normal_ppf("p"))
+    ranks = value_ranks(df, x)
+    n = F.broadcast(ranks.agg(F.sum("ties").alias("_n")))  # one row
+    within = F.row_number().over(Window.partitionBy(x).orderBy(key))
+    ranked = df.where(F.col(x).isNotNull()).select(key, x).join(ranks, x).withColumn("r", (F.col("before") + within).cast("int"))
+    placed = ranked.crossJoin(n).withColumn("p", (F.col("r") - 0.5) / F.col("_n"))
+    return placed.withColumn("theoretical", normal_ppf("p")).select(key, x, "r", "p", "theoretical")
 
 
 def summary(x: str) -> list[Column]:

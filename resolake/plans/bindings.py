@@ -18,10 +18,13 @@ from ..sources.tables import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: Vectors of one label whose ids fall into a span of so many form a sequence, so that sequences and their matrices are bounded at any size.
+SPAN = 2048
+
 # SQL sides of the bound tables below, by name; each may use those before it.
 CTES = {
     "series": "series as (select user_id as name, row_number() over (partition by user_id order by ts, event_id) - 1 as i, event_id, event_type as cat, value, ts from events)",
-    "vecs": "vecs as (select label as name, row_number() over (partition by label order by vec_id) - 1 as i, vec_id, embedding::double[] as v from embeddings)",
+    "vecs": f"vecs as (select label + 1000 * (vec_id // {SPAN}) as name, row_number() over (partition by label, vec_id // {SPAN} order by vec_id) - 1 as i, vec_id, embedding::double[] as v from embeddings)",
     "attn": "attn as (select name, i, j, round(s / sum(s) over (partition by name, i), 9) as w from (select a.name, a.i, b.i as j, (list_cosine_similarity(a.v, b.v) + 1) / 2 as s from vecs a join vecs b on a.name = b.name))",
     "half": "half as (select name, i, j, round(s / sum(s) over (partition by name, i), 9) as w from (select a.name, a.i, b.i as j, (list_cosine_similarity(a.v[1:32], b.v[1:32]) + 1) / 2 as s from vecs a join vecs b on a.name = b.name))",
     "res": "res as (select v.name, v.i, v.vec_id, d.lang as cat, d.source, d.n_chars::double as value, d.text, l.quality from vecs v join documents d on d.doc_id = v.vec_id left join (select doc_id, max(quality) as quality from labels group by 1) l on l.doc_id = v.vec_id)",
@@ -56,10 +59,11 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions with vectors: each label's embeddings by id."""
+    """Positions with vectors: each label's embeddings by id, a sequence a span of ids."""
     e = table(spark, sf_dir, "embeddings")
-    i = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return e.select(F.col("label").alias("name"), i.alias("i"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    name = F.col("label") + 1000 * F.floor(F.col("vec_id") / SPAN)
+    i = F.row_number().over(Window.partitionBy(name).orderBy("vec_id")) - 1
+    return e.select(name.alias("name"), i.alias("i"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
 def attn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars
 from ..operators import attention as at
-from ..operators import estimators, kernels, sampling
+from ..operators import checks, estimators, kernels, sampling
 from ..sources.tables import table
 from .attention_queries import _seqs
 from .bindings import attn, query, res, series, vecs
@@ -150,8 +151,69 @@ def _(spark, d):
     return estimators.sequence_clusters(_seqs(spark, d))
 
 
-@query("p19_failure_table", "status:s n:l", "select case when value is null then 'no value' when value < 1 then 'too small' else 'ok' end as status, count(*) as n from events group by 1")
+def _checked(pdf):
+    """A record's own work, which fails on some."""
+    if (pdf["value"] < 1).any():
+        raise ValueError("value below 1")
+    return pdf.groupby("name", as_index=False).agg(n=("value", "size"))
+
+
+@query("p19_failure_table", "status:s n:l rows:l", """
+with r as (select user_id, min(value) < 1 as bad, count(*) as c from events group by 1) select case when bad then 'ValueError: value below 1' else 'ok' end as status, count(*) as n, sum(case when bad then 0 else c end) as rows from r group by 1""")
+def _(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("name"), "value")
+    done = checks.captured(e, "name", _checked, StructType([StructField("name", LongType()), StructField("n", LongType())]))
+    return done.groupBy(F.coalesce("error", F.lit("ok")).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
+def _lengths(spark, d):
+    return series(spark, d).groupBy("name").agg((F.max("i") + 1 - F.col("name") % 3).alias("length"))
+
+
+_LENGTHS = "with n as (select name, max(i) + 1 - name % 3 as length from series group by 1)"
+
+
+@query("p16_valid_positions", "name:l n:l", _LENGTHS + " select s.name, count(*) as n from series s join n on n.name = s.name where s.i < n.length group by 1", "series")
+def _(spark, d):
+    return checks.valid_positions(series(spark, d), _lengths(spark, d)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p16_invalid_report", "name:l n_invalid:l examples:s", _LENGTHS + " select s.name, count(*) as n_invalid, string_agg(s.i::varchar, ',' order by s.i) as examples from series s join n on n.name = s.name where s.i >= n.length group by 1", "series")
+def _(spark, d):
+    r = checks.invalid_report(series(spark, d), _lengths(spark, d))
+    return r.withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), ","))
+
+
+@query("p17_unpadded", "cat:s n:l", "select cat, count(*) as n from res where quality is not null group by 1", "res")
+def _(spark, d):
+    return checks.unpadded(res(spark, d).withColumn("label", F.coalesce("quality", F.lit(-1))), "label").groupBy("cat").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sites(spark, d):
+    """Sites that expect their event's letter; some are numbered one too high."""
+    letter = F.upper(F.substring("cat", 1, 1))
+    s = series(spark, d)
+    sequences = s.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", letter.alias("a")))), lambda r: r["a"]), "").alias("sequence"))
+    return s.select("name", (F.col("i") + (F.col("value") > 99).cast("int")).alias("i"), letter.alias("expected")), sequences
+
+
+_NUMBERED = """with t as (select name, i, upper(substr(cat, 1, 1)) as a, value > 99 as up, upper(substr(lead(cat) over (partition by name order by i), 1, 1)) as b from series),
+c as (select name, count(*) as total, count(*) filter (up and b is null) as out_of_range, count(*) filter (up and b <> a) as mismatch from t group by 1)"""
+
+
+@query("a40_site_numbering", "name:l total:l out_of_range:l mismatch:l passed:b", _NUMBERED + " select *, out_of_range + mismatch = 0 as passed from c", "series")
+def _(spark, d):
+    return checks.numbering_checks(*_sites(spark, d), ["name"])
+
+
+@query("p18_strict_numbering", "name:l n:l", _NUMBERED + " select name, total as n from c where out_of_range + mismatch = 0", "series")
+def _(spark, d):
+    return checks.strict_numbering(*_sites(spark, d)).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f3_three_letter_codes", "letter:s n:l", """
+select ['A', 'U', 'O', 'H', 'H', 'C', 'D', 'X', 'W'][p_partkey % 9 + 1] as letter, count(*) as n from part group by 1""")
 def _(spark, d):
-    v = F.col("value")
-    status = F.when(v.isNull(), "no value").when(v < 1, "too small").otherwise("ok")
-    return table(spark, d, "events").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    codes = F.array(*map(F.lit, ["ALA", "sec", " PYL", "HIS", "HSD", "CYX", "ASH", "UNK", "TRP"]))
+    letter = scalars.residue_letter(F.element_at(codes, (F.col("p_partkey") % 9 + 1).cast("int")))
+    return table(spark, d, "part").groupBy(letter.alias("letter")).agg(F.count(F.lit(1)).alias("n"))

@@ -160,9 +160,9 @@ def fasta(spark: SparkSession, path: str, first_token: bool = False) -> DataFram
 
 
 def run_directory(spark: SparkSession, pattern: str, runs: tuple[str, ...] = ("Neq_R1", "Neq_R2", "Neq_R3")) -> DataFrame:
-    """(name, aa, neq) of per-protein TSV files: the id is the file's name before _Neq, neq the mean of its runs."""
+    """(name, aa, neq) of per-protein TSV files: the id is the name before _Neq of the file, or of the folder that Spark wrote it to; neq the mean of its runs."""
     t = spark.read.csv(pattern, sep="\t", header=True)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)_Neq\.tsv$", 1)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)_Neq\.tsv(?:/[^/]*)?$", 1)
     mean = sum((F.col(c).cast("double") for c in runs), F.lit(0.0)) / len(runs)
     return t.select(F.url_decode(name).alias("name"), F.col(t.columns[0]).alias("aa"), mean.alias("neq"))
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
-    """A headed CSV; `single` puts small result tables into one file."""
-    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True)
+    """A headed CSV, quotes doubled as readers expect; `single` puts small result tables into one file."""
+    (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_json(df: DataFrame, path: str, by: str | None = None) -> None:

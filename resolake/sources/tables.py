@@ -1,9 +1,42 @@
-"""The driver's parquet tables."""
+"""The driver's tables, and folders for what is written on the way."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}  # by application: the folder of a session on one machine that names none
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a local folder stands in on a single machine only."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="resolake-"))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone, and its cluster with it
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for found in files.globStatus(where.suffix("*")) or []:
+            files.delete(found.getPath(), True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is written there, or under names that begin so, is removed when Python ends."""
+    path = f"{shared_dir(spark)}/resolake-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
