@@ -225,3 +225,84 @@ def test_sequence_clusters_compare_all_of_a_bucket(spark, monkeypatch):
     texts += [(n + 100, t[:-1] + "z") for n, t in texts]
     got = {r.name: r.representative for r in estimators.sequence_clusters(spark.createDataFrame(texts, "name long, seq string"), bands=1).collect()}
     assert got == {n: n % 100 for n, _ in texts}
+
+
+def test_value_ranks_over_ranges_equal_a_plain_order(spark):
+    from resolake.operators import ranking
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=900), np.repeat(0.25, 300), rng.integers(0, 5, 300)])
+    frame = spark.createDataFrame([(int(i % 3), float(v)) for i, v in enumerate(x)] + [(0, None)], "g int, x double").repartition(5)
+    got = {r.x: (r.before, r.ties) for r in ranking.value_ranks(frame, "x").collect()}
+    assert got == {float(v): (int((x < v).sum()), int((x == v).sum())) for v in np.unique(x)}
+    by_group = {(r.g, r.x): r.before for r in ranking.value_ranks(frame, "x", ["g"]).collect()}
+    g = np.arange(len(x)) % 3
+    assert by_group == {(k, float(v)): int((x[g == k] < v).sum()) for k in range(3) for v in np.unique(x[g == k])}
+    cuts = ranking.order_statistics(frame, "x", {"lo": F.lit(0), "mid": F.floor(F.col("n") / 2), "hi": F.col("n") - 1}).first()
+    assert tuple(cuts) == (x.min(), np.sort(x)[len(x) // 2], x.max())
+    assert ranking.value_ranks(frame.limit(0), "x").count() == 0
+
+
+def test_weighted_draws_follow_the_weights(spark):
+    from resolake.operators import sampling
+
+    frame = spark.createDataFrame([(i, w) for i, w in enumerate([5.0, 0.0, 1.0, 4.0] + [0.0] * 50)], "k long, w double")
+    got = sampling.weighted_sample(frame, "w", "k", 4000).toPandas()
+    assert sorted(got["draw"]) == list(range(4000))
+    share = got["k"].value_counts(normalize=True)
+    assert set(share.index) == {0, 2, 3} and abs(share[0] - 0.5) < 0.04 and abs(share[2] - 0.1) < 0.03
+
+
+def test_bootstrap_interval_is_that_of_the_mean(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(3.0, 2.0, 400)
+    frame = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0), ("b", None)], "key string, x double").repartition(3)
+    got = {r.key: r for r in kernels.bootstrap_mean(frame, "x", "key").collect()}
+    assert got["a"].n == 400 and got["a"].mean == pytest.approx(x.mean())
+    half = 1.96 * x.std() / 20
+    assert got["a"].low == pytest.approx(x.mean() - half, abs=0.06) and got["a"].high == pytest.approx(x.mean() + half, abs=0.06)
+    assert (got["b"].n, got["b"].low, got["b"].high) == (1, None, None)
+
+
+def test_checks_report_what_fails(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from resolake.operators import checks
+
+    lengths = spark.createDataFrame([("p", 3)], "name string, length int")
+    at = spark.createDataFrame([("p", i) for i in (0, 2, 3, -1, 9, 9)] + [("q", 0)], "name string, i int")
+    assert sorted(r.i for r in checks.valid_positions(at, lengths).collect()) == [0, 2]
+    report = {r.name: (r.n_invalid, r.examples) for r in checks.invalid_report(at, lengths, first=2).collect()}
+    assert report == {"p": (4, [-1, 3]), "q": (1, [0])}
+    marks = spark.createDataFrame([(0,), (-1,), (-100,), (None,), (2,)], "label int")
+    assert sorted(r.label for r in checks.unpadded(marks, "label").collect()) == [0, 2]
+    sites = spark.createDataFrame([("p", 0, "A"), ("p", 1, "X"), ("p", 5, "C"), ("r", 0, None)], "name string, i int, expected string")
+    seqs = spark.createDataFrame([("p", "ACD", "AXD"), ("r", "K", None)], "name string, sequence string, second string")
+    got = {r.name: tuple(r)[1:] for r in checks.numbering_checks(sites, seqs, ["name"], other="second").collect()}
+    assert got == {"p": (3, 1, 1, 1, 0, False), "r": (1, 0, 0, 0, 0, True)}
+    assert [r.name for r in checks.strict_numbering(sites, seqs).collect()] == ["r"]
+
+    def fails_on_b(pdf):
+        if pdf["k"].iat[0] == "b":
+            raise KeyError("b")
+        return pdf.groupby("k", as_index=False).agg(n=("v", "size"))
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
+    done = checks.captured(rows, "k", fails_on_b, StructType([StructField("k", StringType()), StructField("n", LongType())]))
+    assert [tuple(r) for r in checks.succeeded(done).collect()] == [("a", 2)]
+    assert [tuple(r) for r in checks.failures(done).collect()] == [("b", "KeyError: 'b'")]
+
+
+def test_rank_k_signal_and_loadings_equal_numpy(spark):
+    """A matrix's principal parts against a plain decomposition of it."""
+    rng = np.random.default_rng(12)
+    a = rng.random((8, 8))
+    frame = spark.createDataFrame([("m", i, j, float(a[i, j])) for i in range(8) for j in range(8)], "name string, i int, j int, w double")
+    centred = a - a.mean(axis=0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    got = kernels.pca_loadings(frame).toPandas()
+    for pc, part in got.groupby("pc"):
+        part = part.sort_values("i")
+        own, want = part["loading"].to_numpy(), vt[int(pc) - 1]
+        assert min(np.abs(own - want).max(), np.abs(own + want).max()) < 1e-6
+        assert part["variance_ratio"].iat[0] == pytest.approx(s[int(pc) - 1] ** 2 / (s * s).sum())
