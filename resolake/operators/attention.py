@@ -47,33 +47,54 @@ def head_mean(tensor: DataFrame, specials: Column) -> DataFrame:
     return row_normalised(tensor.where(~specials).groupBy("name", "i", "j").agg(F.avg("w").alias("w")))
 
 
+def by_key_position(attn: DataFrame) -> DataFrame:
+    """(name, i, max_in, sum_in, max_received, sum_received): attention received with and without the position's own, in one pass."""
+    other = F.when(F.col("i") != F.col("j"), F.col("w"))
+    return attn.groupBy("name", F.col("j").alias("i")).agg(F.max("w").alias("max_in"), F.sum("w").alias("sum_in"), F.coalesce(F.max(other), F.lit(0.0)).alias("max_received"), F.coalesce(F.sum(other), F.lit(0.0)).alias("sum_received"))
+
+
 def received(attn: DataFrame) -> DataFrame:
-    """By key position: attention received with and without itself, and given; lengths from the positions seen."""
-    n = attn.groupBy("name").agg((F.max("i") + 1).alias("length"))
+    """By key position: attention received with and without itself, and given; lengths from the positions seen.
+
+    Cells are read once by row and once by column; all else works on a row a position.
+    """
     other = F.when(F.col("i") != F.col("j"), F.col("w"))
-    col = attn.groupBy("name", F.col("j").alias("i")).agg(F.max("w").alias("max_in"), F.sum("w").alias("sum_in"), F.coalesce(F.max(other), F.lit(0.0)).alias("max_received"), F.coalesce(F.sum(other), F.lit(0.0)).alias("sum_received"))
+    col = by_key_position(attn)
     row = attn.groupBy("name", "i").agg(F.sum("w").alias("sum_out"), F.coalesce(F.max(other), F.lit(0.0)).alias("max_given"), F.coalesce(F.sum(other), F.lit(0.0)).alias("sum_given"))
-    both = col.join(row, ["name", "i"]).join(n, "name")
+    row = row.withColumn("length", F.max("i").over(Window.partitionBy("name")) + 1)
+    both = col.join(row, ["name", "i"])
     less = F.nullif(F.col("length") - 1, F.lit(0))
     both = both.withColumn("avg_in", F.col("sum_in") / F.col("length"))
     both = both.withColumn("avg_received", F.coalesce(F.try_divide(F.col("sum_received"), less), F.lit(0.0))).withColumn("avg_given", F.coalesce(F.try_divide(F.col("sum_given"), less), F.lit(0.0)))
     return both.withColumn("energy", (F.col("sum_in") + F.col("sum_out")) / (2 * F.col("length")))
 
 
+def entropy(least: float = 1e-12) -> Column:
+    """Of the weights of a group, in bits; weights up to `least` don't count."""
+    return F.coalesce(F.sum(F.when(F.col("w") > least, -F.col("w") * F.log2("w"))), F.lit(0.0))
+
+
 def row_entropy(attn: DataFrame, least: float = 1e-12) -> DataFrame:
-    return attn.groupBy("name", "i").agg(F.coalesce(F.sum(F.when(F.col("w") > least, -F.col("w") * F.log2("w"))), F.lit(0.0)).alias("entropy"))
+    return attn.groupBy("name", "i").agg(entropy(least).alias("entropy"))
 
 
 def matrix_summary(attn: DataFrame, sparse: float = 0.01) -> DataFrame:
-    """By sequence: mean, max, diagonal and off-diagonal mean, sparsity, and mean and deviation of row entropies and column maxima."""
-    diag = F.col("i") == F.col("j")
-    cells = attn.groupBy("name").agg(
-        F.avg("w").alias("mean"), F.max("w").alias("max"), F.avg(F.when(diag, F.col("w"))).alias("diag_mean"),
-        F.avg(F.when(~diag, F.col("w"))).alias("off_diag_mean"), F.avg((F.col("w") < sparse).cast("double")).alias("sparsity"),
+    """By sequence: mean, max, diagonal and off-diagonal mean, sparsity, and mean and deviation of row entropies and column maxima.
+
+    Cells are read once by row and once by column; the sequence's figures come from those of its rows.
+    """
+    diag = F.when(F.col("i") == F.col("j"), F.col("w"))
+    row = attn.groupBy("name", "i").agg(
+        F.count("w").alias("n"), F.sum("w").alias("sum"), F.max("w").alias("max"), F.count(diag).alias("on_n"), F.sum(diag).alias("on"),
+        F.sum(F.when(F.col("i") != F.col("j"), F.col("w"))).alias("off"), F.count_if(F.col("w") < sparse).alias("low"), entropy().alias("entropy"),
+    )
+    over = lambda a, n: F.try_divide(F.sum(a), F.sum(n))
+    cells = row.groupBy("name").agg(
+        over("sum", "n").alias("mean"), F.max("max").alias("max"), over("on", "on_n").alias("diag_mean"), over("off", F.col("n") - F.col("on_n")).alias("off_diag_mean"),
+        over("low", "n").alias("sparsity"), F.avg("entropy").alias("entropy_mean"), F.stddev_pop("entropy").alias("entropy_std"),
     )
-    rows = row_entropy(attn).groupBy("name").agg(F.avg("entropy").alias("entropy_mean"), F.stddev_pop("entropy").alias("entropy_std"))
     cols = attn.groupBy("name", "j").agg(F.max("w").alias("m")).groupBy("name").agg(F.avg("m").alias("col_max_mean"), F.stddev_pop("m").alias("col_max_std"))
-    return cells.join(rows, "name").join(cols, "name")
+    return cells.join(cols, "name")
 
 
 def homophily(attn: DataFrame, categories: DataFrame, labels: list[str], cat: str = "cat") -> DataFrame:

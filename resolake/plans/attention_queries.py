@@ -15,7 +15,7 @@ from .bindings import attn, half, query, res, vecs
 
 def flagship(spark, d):
     """Attention matrix by group, hubs in the top tenth of attention received, and their enrichment by category."""
-    hubs = positions.top_percent(at.received(attn(spark, d)), "max_received", 10.0, out="hub")
+    hubs = positions.top_percent(at.by_key_position(attn(spark, d)), "max_received", 10.0, out="hub")
     joined = hubs.select("name", "i", "hub").join(res(spark, d).select("name", "i", "cat"), ["name", "i"])
     return independence_enrichment(counts(joined, "hub", "cat"), "hub", "cat")
 
