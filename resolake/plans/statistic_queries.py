@@ -128,7 +128,7 @@ k as (select name, count(*) as length, count(*) filter (hub) as n_hub, count(*)
 def _hubs(spark, d):
     from ..operators.positions import top_percent
 
-    hubs = top_percent(attention.received(attn(spark, d)), "max_received", 10.0, out="hub")
+    hubs = top_percent(attention.by_key_position(attn(spark, d)), "max_received", 10.0, out="hub")
     marked = res(spark, d).select("name", "i", (F.col("value") > 3000).alias("marked"))
     return statistics.hub_overlap(hubs.join(marked, ["name", "i"]), "hub", "marked", ["name"])
 
