@@ -53,7 +53,7 @@ def cluster_profiles(attn: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
         n = len(a)
         scale = lambda m: m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
         if n < k:
-            return pd.DataFrame({"name": [], "i": [], "cluster": [], "energy": []})
+            return pd.DataFrame([], columns=["name", "i", "cluster", "energy"])
         x = scale(np.hstack([scale(a), scale(a.T)]))
         return pd.DataFrame({"name": str(pdf["name"].iat[0]), "i": np.arange(n), "cluster": kmeans(x, k, seed=seed), "energy": (a.sum(1) + a.sum(0)) / (2 * n)})
 
@@ -245,7 +245,7 @@ def patch_motifs(attn: DataFrame, size: int = 5, motifs: int = 4, seed: int = 42
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a = dense(pdf)
         if len(a) < size:
-            return pd.DataFrame({"name": [], "motif": [], "patches": [], "mean": []})
+            return pd.DataFrame([], columns=["name", "motif", "patches", "mean"])
         step = max(1, size // 2)
         raw = np.array([a[r : r + size, c : c + size].ravel() for r in range(0, len(a) - size + 1, step) for c in range(0, len(a) - size + 1, step)])
         sd = raw.std(0)

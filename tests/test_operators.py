@@ -306,3 +306,79 @@ def test_rank_k_signal_and_loadings_equal_numpy(spark):
         own, want = part["loading"].to_numpy(), vt[int(pc) - 1]
         assert min(np.abs(own - want).max(), np.abs(own + want).max()) < 1e-6
         assert part["variance_ratio"].iat[0] == pytest.approx(s[int(pc) - 1] ** 2 / (s * s).sum())
+
+
+def test_segments_around_a_letter(spark):
+    from resolake.operators import motifs
+
+    seqs = spark.createDataFrame([(1, "wabcdefgw"), (2, "aw"), (3, ""), (4, None), (5, "abc"), (6, "abcwwdefgh")], "name long, seq string")
+    cut = sorted(tuple(r) for r in motifs.segments_around(seqs, "w", 3).collect())
+    assert cut == [(1, "efgw", 3), (1, "wabc", 0), (2, "aw", 1), (6, "abcwwde", 3), (6, "bcwwdef", 3)]
+    moved = sorted(tuple(r) for r in motifs.segments_around(seqs, "w", 3, shifted=True).collect())
+    assert moved == [(1, "bcdefgw", 6), (1, "wabcdef", 0), (2, "aw", 1), (6, "abcwwde", 3), (6, "bcwwdef", 3)]
+
+
+def _frame(spark, matrices):
+    return spark.createDataFrame([(n, i, j, float(a[i, j])) for n, a in matrices.items() for i in range(len(a)) for j in range(len(a))], "name string, i int, j int, w double")
+
+
+def test_stacked_pca_equals_numpy(spark):
+    """Components of whole matrices of unlike sizes, against a decomposition of the standardised stack."""
+    rng = np.random.default_rng(21)
+    matrices = {n: rng.random((k, k)) for n, k in (("a", 6), ("b", 6), ("c", 4), ("d", 5))}
+    stack = np.zeros((4, 36))
+    for r, a in enumerate(matrices.values()):
+        padded = np.zeros((6, 6))
+        padded[: len(a), : len(a)] = a
+        stack[r] = padded.ravel()
+    x = (stack - stack.mean(0)) / stack.std(0)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    got = kernels.stacked_pca(_frame(spark, matrices)).toPandas().sort_values("name")
+    for pc, part in got.groupby("pc"):
+        own, want = part["score"].to_numpy(), u[:, pc - 1] * s[pc - 1]
+        assert min(np.abs(own - want).max(), np.abs(own + want).max()) < 1e-6
+        assert part["variance_ratio"].iat[0] == pytest.approx(s[pc - 1] ** 2 / (s * s).sum())
+
+
+def test_patch_motifs_find_planted_patches(spark):
+    """A matrix tiled with two kinds of patches: each kind is one motif, with the patches' own mean."""
+    rng = np.random.default_rng(5)
+    kinds = np.array([[0, 1, 0], [1, 1, 0], [0, 0, 1]])
+    a = np.kron(kinds, np.ones((4, 4))) * 4 + rng.random((12, 12)) * 1e-3
+    got = sorted((r.patches, r.mean) for r in kernels.patch_motifs(_frame(spark, {"m": a}), size=1, motifs=2).collect())
+    assert [n for n, _ in got] == [64, 80]
+    assert [m for _, m in got] == pytest.approx([a[a > 2].mean(), a[a < 2].mean()])
+    assert kernels.patch_motifs(_frame(spark, {"m": a[:3, :3]}), size=5).count() == 0
+
+
+def test_background_subclusters_split_blocks(spark):
+    """Background positions in three blocks: the blocks are found from the background's own cells, ranked by energy."""
+    a = np.full((14, 14), 0.01)
+    for low, high, w in ((0, 4, 1.0), (4, 8, 3.0), (8, 12, 2.0)):
+        a[low:high, low:high] = w
+    a[12:, :] = a[:, 12:] = 50.0
+    patterns = spark.createDataFrame([("m", i, "Bg" if i < 12 else "PatA") for i in range(14)], "name string, i int, pattern string")
+    got = kernels.subclusters(_frame(spark, {"m": a}), patterns).orderBy("i").collect()
+    assert [r.pattern for r in got] == ["Bg3"] * 4 + ["Bg1"] * 4 + ["Bg2"] * 4
+    assert kernels.cluster_profiles(_frame(spark, {"m": a[:2, :2]})).count() == 0
+    assert kernels.bright_components(_frame(spark, {"m": a[:1, :1]})).count() == 0
+
+
+def test_classifiers_on_held_out_rows(spark):
+    """Logistic regression is right about a linear rule, the forest about one that no line tells, the grid prefers the light penalty."""
+    rng = np.random.default_rng(9)
+    x = rng.uniform(-1, 1, (600, 2))
+    cat = rng.choice(["p", "q"], 600)
+    rows = [(float(a), float(b), str(c), float(a + b + (0.5 if c == "p" else -0.5) > 0), float(a * b > 0)) for (a, b), c in zip(x, cat, strict=True)]
+    t = spark.createDataFrame(rows, "a double, b double, c string, line double, cross double")
+    train, test = t.limit(400).cache(), t.subtract(t.limit(400)).cache()
+
+    def right(estimator, label):
+        p = estimators.feature_pipeline(["a", "b"], ["c"], estimator).fit(train).transform(test)
+        return p.agg(F.avg((F.col("prediction") == F.col(label)).cast("int"))).first()[0]
+
+    assert right(estimators.logistic("line", regParam=0.001), "line") > 0.95
+    assert right(estimators.logistic("cross"), "cross") < 0.7 < 0.9 < right(estimators.forest("cross"), "cross")
+    lr = estimators.logistic("line", maxIter=20)
+    found = estimators.grid_search(estimators.feature_pipeline(["a", "b"], ["c"], lr), lr, {"regParam": [0.001, 1000.0]}, label="line", folds=2).fit(train)
+    assert found.avgMetrics[0] > 0.9 > found.avgMetrics[1] - 0.2 and found.avgMetrics[0] > found.avgMetrics[1]
