@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from ..functions.scalars import kmers, letters
 
 
+def segments_around(seqs: DataFrame, letter: str, half: int, shifted: bool = False, name: str = "name", seq: str = "seq") -> DataFrame:
+    """(name, segment, left): the window of half letters on either side of each occurrence of a letter in whole sequences.
+
+    Windows are cut off at the ends, or moved to stay inside with `shifted` (the
+    whole sequence, where it is shorter). `left` counts the letters before the centre.
+    """
+    width, n = 2 * half + 1, F.length(seq)
+    hits = F.filter(F.transform(letters(F.col(seq)), lambda c, i: F.when(c == letter, i)), lambda i: i.isNotNull())
+    # all windows in one pass; a substring by position would walk the text anew for each
+    text = F.col(seq) if shifted else F.concat(F.repeat(F.lit(" "), half), seq, F.repeat(F.lit(" "), half))
+    t = seqs.where(n > 0).select(name, seq, hits.alias("_hits"), kmers(text, width).alias("_all"))
+    if shifted:
+        start = lambda i: F.greatest(F.least(i - half, n - width), F.lit(0))
+        found = lambda i: F.struct(F.when(n >= width, F.get("_all", start(i))).otherwise(F.col(seq)).alias("segment"), (i - start(i)).alias("left"))
+    else:
+        found = lambda i: F.struct(F.trim(F.get("_all", i)).alias("segment"), F.least(i, F.lit(half)).alias("left"))
+    return t.select(name, F.explode(F.transform("_hits", found)).alias("_w")).select(name, "_w.segment", "_w.left")
+
+
 def position_weights(segments: DataFrame, half: int, segment: str = "segment", centred: bool = True, offset: str = "left") -> DataFrame:
     """(pos, letter, n, p) over segments. With `centred`, `offset` holds how many letters stand left of the centre;
     otherwise a truncated segment is put at half - length // 2."""

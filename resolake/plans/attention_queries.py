@@ -185,12 +185,12 @@ def _(spark, d):
 
 
 @query("j15_contact_pairs", "name:l pairs:l mean:d", """
-with p as (select label as name, vec_id as i, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings), d as (select a.name, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as d from p a join p b on a.name = b.name and a.i <> b.i)
-select name, count(*) as pairs, avg(d) as mean from d where d < 0.1 group by 1""")
+with p as (select name, i, list_sum(v[1:21]) as x, list_sum(v[22:42]) as y, list_sum(v[43:64]) as z from vecs), d as (select a.name, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) as d from p a join p b on a.name = b.name and a.i <> b.i)
+select name, count(*) as pairs, avg(d) as mean from d where d < 0.4 group by 1""", "vecs")
 def _(spark, d):
-    e = table(spark, d, "embeddings")
-    p = e.select(F.col("label").alias("name"), F.col("vec_id").alias("i"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")])
-    return at.distances_below(p, 0.1).groupBy("name").agg(F.count(F.lit(1)).alias("pairs"), F.avg("distance").alias("mean"))
+    total = lambda first, n: F.aggregate(F.slice("v", first, n), F.lit(0.0), lambda a, x: a + x)
+    p = vecs(spark, d).select("name", "i", total(1, 21).alias("x"), total(22, 21).alias("y"), total(43, 22).alias("z"))
+    return at.distances_below(p, 0.4).groupBy("name").agg(F.count(F.lit(1)).alias("pairs"), F.avg("distance").alias("mean"))
 
 
 _SEQ = "with t as (select doc_id as name, regexp_replace(lower(text), '[^a-z]', '', 'g') as seq from documents)"
@@ -206,23 +206,23 @@ def _(spark, d):
     return motifs.kmer_counts(_seqs(spark, d), 3)
 
 
-@query("w23_truncated_segments", "name:l segment:s", _SEQ + " select name, substr(seq, greatest(len(seq) - 2 - 3, 0) + 1, least(len(seq) - 2 + 4, len(seq)) - greatest(len(seq) - 2 - 3, 0)) as segment from t where len(seq) >= 3")
+_AT = _SEQ + ", c as (select name, seq, i, len(seq) as n from (select name, seq, unnest(range(len(seq))) as i from t) where substr(seq, i + 1, 1) = 'w')"
+
+
+@query("w23_truncated_segments", "name:l segment:s left:l", _AT + " select name, substr(seq, greatest(i - 3, 0) + 1, least(i + 4, n) - greatest(i - 3, 0)) as segment, least(i, 3) as left from c")
 def _(spark, d):
-    s = _seqs(spark, d).where("length(seq) >= 3")
-    return s.select("name", scalars.segment_truncated(F.col("seq"), F.length("seq") - 2, 3).alias("segment"))
+    return motifs.segments_around(_seqs(spark, d), "w", 3)
 
 
-@query("w24_shifted_segments", "name:l segment:s", _SEQ + " select name, substr(seq, greatest(least(1 - 3, len(seq) - 7), 0) + 1, 7) as segment from t where len(seq) >= 3")
+@query("w24_shifted_segments", "name:l segment:s left:l", _AT + " select name, substr(seq, greatest(least(i - 3, n - 7), 0) + 1, 7) as segment, i - greatest(least(i - 3, n - 7), 0) as left from c")
 def _(spark, d):
-    s = _seqs(spark, d).where("length(seq) >= 3")
-    return s.select("name", scalars.segment_shifted(F.col("seq"), F.lit(1), 7).alias("segment"))
+    return motifs.segments_around(_seqs(spark, d), "w", 3, shifted=True)
 
 
-@query("f28_o4_position_weights", "pos:l letter:s n:l p:d rank:l", _SEQ + """, c as (select k as pos, substr(seq, k + 1, 1) as letter from t, (select unnest(range(7)) as k) where len(seq) >= 7), n as (select pos, letter, count(*) as n from c group by 1, 2),
-p as (select *, n / sum(n) over (partition by pos) as p from n) select * from (select *, row_number() over (partition by pos order by p desc, letter) as rank from p) where rank <= 3""")
+@query("f28_o4_position_weights", "pos:l letter:s n:l p:d rank:l", _AT + """, l as (select k as pos, substr(seq, i + k - 2, 1) as letter from c, (select unnest(range(7)) as k) where i + k - 3 between 0 and n - 1), w as (select pos, letter, count(*) as n from l group by 1, 2),
+p as (select *, n / sum(n) over (partition by pos) as p from w) select * from (select *, row_number() over (partition by pos order by p desc, letter) as rank from p) where rank <= 3""")
 def _(spark, d):
-    seg = _seqs(spark, d).where("length(seq) >= 7").select(F.substring("seq", 1, 7).alias("segment"), F.lit(3).alias("left"))
-    return motifs.top_letters(motifs.position_weights(seg, 3))
+    return motifs.top_letters(motifs.position_weights(motifs.segments_around(_seqs(spark, d), "w", 3), 3))
 
 
 @query("f29_f30_weighted_profile", "pos:l cat:s w:d p:d enrichment:d up:d down:d", """

@@ -44,7 +44,8 @@ def query(name: str, columns: str, sql: str | None = None, *ctes: str):
             need = list(dict.fromkeys(x for c in ctes for x in [*_NEEDS.get(c, []), c]))
             body = sql.strip()
             pre = ", ".join(CTES[c] for c in need)
-            inner = f"with {pre}, {body[5:]}" if pre and body.startswith("with ") else f"with {pre} {body}" if pre else body
+            head = "with recursive " if body.startswith("with recursive ") else "with "
+            inner = f"{head}{pre}, {body[len(head):]}" if pre and body.startswith("with ") else f"with {pre} {body}" if pre else body
             SQL[name] = f"select {', '.join(_DUCK[k].format(f'q.{c}') + f' as {c}' for c, k in kinds)} from ({inner}) q"
         return f
 

@@ -68,12 +68,23 @@ def _(spark, d):
     return at.top_interactions(kernels.rank_k_signal(attn(spark, d)), 20)
 
 
-@query("g3_betweenness", "name:s i:l betweenness:d")
+@query("g3_betweenness", "name:s i:l betweenness:d", """
+with recursive u as (select name, i as src, j as dst from (select *, row_number() over (partition by name, i order by w desc, j) as r from attn) where r <= 5 and i <> j), n as (select name, count(*) as n from vecs group by 1),
+walk as (select name, i as s, i as v, 0 as d from vecs union select walk.name, s, dst, d + 1 from walk join n on n.name = walk.name join u on u.name = walk.name and u.src = v where d < n),
+near as (select name, s, v, min(d) as d from walk group by 1, 2, 3),
+path as (select name, i as s, i as v, 0 as d, 1.0::double as c from vecs union all select path.name, path.s, u.dst, path.d + 1, sum(c) from path join u on u.name = path.name and u.src = path.v join near on near.name = path.name and near.s = path.s and near.v = u.dst and near.d = path.d + 1 group by 1, 2, 3, 4),
+b as (select x.name, x.v as i, sum(x.c * y.c / z.c) as b from path x join path y on y.name = x.name and y.s = x.v join path z on z.name = x.name and z.s = x.s and z.v = y.v and z.d = x.d + y.d where x.d > 0 and y.d > 0 group by 1, 2)
+select vecs.name, vecs.i, case when n > 2 then coalesce(b, 0) / ((n - 1) * (n - 2)) else 0 end as betweenness from vecs join n on n.name = vecs.name left join b on b.name = vecs.name and b.i = vecs.i""", "vecs", "attn")
 def _(spark, d):
     return kernels.betweenness(at.sparse_graph(attn(spark, d), "topk", k=5), vecs(spark, d))
 
 
-@query("g5_g6_bright_regions", "name:s component:l size:l center_i:l center_j:l span_i:l span_j:l mean_w:d max_w:d")
+@query("g5_g6_bright_regions", "name:s component:l size:l center_i:l center_j:l span_i:l span_j:l mean_w:d max_w:d", """
+with recursive o as (select *, row_number() over (partition by name order by w) - 1 as r, count(*) over (partition by name) as n from attn where i <> j), cut as (select name, w as cut from o where r = least(greatest(floor(n * (1 - 10.0::double / 100)), 0), n - 1)),
+m as (select o.name, i, j, w from o join cut on cut.name = o.name where w >= cut), reach as (select name, i, j, i as a, j as b from m union select m.name, m.i, m.j, a, b from reach join m on m.name = reach.name and abs(m.i - reach.i) <= 1 and abs(m.j - reach.j) <= 1),
+f as (select name, i, j, min([a, b]) as first from reach group by 1, 2, 3), c as (select name, first, row_number() over (partition by name order by first) - 1 as component from f group by 1, 2 having count(*) >= 2)
+select m.name, component, count(*) as size, round_even(avg(m.i), 0) as center_i, round_even(avg(m.j), 0) as center_j, max(m.i) - min(m.i) + 1 as span_i, max(m.j) - min(m.j) + 1 as span_j, avg(w) as mean_w, max(w) as max_w
+from m join f on f.name = m.name and f.i = m.i and f.j = m.j join c on c.name = f.name and c.first = f.first group by 1, 2""", "attn")
 def _(spark, d):
     return kernels.component_summary(kernels.bright_components(attn(spark, d), 10.0, 2))
 
