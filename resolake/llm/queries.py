@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance_resampling, line_dedup, multi_index, packing, quality_nbsvm, sentencepiece_codec, shard_table, token_counts, token_files
+from . import divergence_audit, importance_resampling, line_dedup, multi_index, packing, quality_nbsvm, sentencepiece_codec, shard_table, token_counts, token_files
 from .common import table, tune_session
 from .minhash_dedup import minhash_components
 from .pivot_dedup import pivot_components
@@ -66,6 +66,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.divergence_audit(table(spark, sf_dir, "documents"))
+
+
 def _tuned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """A registered query is an application: it sets up its session, which the operators do not touch."""
 
@@ -77,9 +81,9 @@ def _tuned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict:
-    found = [op1_inverted_multi_index, op2_line_dedup, op3_shard_lookup, op4_token_files, op5_quality_nbsvm, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_sentencepiece_codec, op9_sequence_packing, op10_token_counts, op11_importance_resampling]
+    found = [op1_inverted_multi_index, op2_line_dedup, op3_shard_lookup, op4_token_files, op5_quality_nbsvm, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_sentencepiece_codec, op9_sequence_packing, op10_token_counts, op11_importance_resampling, op13_divergence_audit]
     return {f.__name__: _tuned(f) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.line_dedup_sql(), "op3_shard_lookup": shard_table.shard_sql(SHARDS), "op11_importance_resampling": importance_resampling.resample_sql()}
+    return {"op2_line_dedup": line_dedup.line_dedup_sql(), "op3_shard_lookup": shard_table.shard_sql(SHARDS), "op11_importance_resampling": importance_resampling.resample_sql(), "op13_divergence_audit": divergence_audit.divergence_sql()}
