@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence_audit, importance_resampling, line_dedup, multi_index, packing, quality_nbsvm, sentencepiece_codec, shard_table, token_counts, token_files
+from . import divergence_audit, importance_resampling, line_dedup, multi_index, packing, quality_nbsvm, robust_outliers, sentencepiece_codec, shard_table, token_counts, token_files
 from .common import table, tune_session
 from .minhash_dedup import minhash_components
 from .pivot_dedup import pivot_components
@@ -66,6 +66,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_outliers.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit.divergence_audit(table(spark, sf_dir, "documents"))
 
@@ -81,7 +85,7 @@ def _tuned(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 def queries() -> dict:
-    found = [op1_inverted_multi_index, op2_line_dedup, op3_shard_lookup, op4_token_files, op5_quality_nbsvm, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_sentencepiece_codec, op9_sequence_packing, op10_token_counts, op11_importance_resampling, op13_divergence_audit]
+    found = [op1_inverted_multi_index, op2_line_dedup, op3_shard_lookup, op4_token_files, op5_quality_nbsvm, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_sentencepiece_codec, op9_sequence_packing, op10_token_counts, op11_importance_resampling, op12_robust_outliers, op13_divergence_audit]
     return {f.__name__: _tuned(f) for f in found}
 
 
