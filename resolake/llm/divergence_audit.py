@@ -78,9 +78,9 @@ class _Tries:
         self.documents[lang].update(set(words))
         self.counts[lang, source].update(words)
 
-    def settle(self, least: int = STAGED) -> int:
-        """Move staged counts into the tries if there are at least so many; entries of the tries."""
-        if sum(map(len, self.counts.values())) >= least:
+    def settle(self, least: int | None = None) -> int:
+        """Move staged counts into the tries if there are at least so many (STAGED); entries of the tries."""
+        if sum(map(len, self.counts.values())) >= (STAGED if least is None else least):
             for lang, terms in self.documents.items():
                 trie = self.tries[lang]
                 for term, n in terms.items():
