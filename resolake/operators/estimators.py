@@ -1,24 +1,18 @@
-"""Classical classifiers over per-position features, on Spark ML, and sequence clustering by shared k-mers."""
+"""Classical classifiers over per-position features, on Spark ML."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .positions import neighbours, relative_position
 
 SEED = 42
-#: Sequences of one length class that a task holds on either side.
-PART = 512
 
 
 def neighbour_features(df: DataFrame, value: str, category: str, k: int = 1) -> DataFrame:
@@ -50,98 +44,3 @@ def grid_search(pipeline: Pipeline, estimator, grid: dict[str, list], label: str
     for name, values in grid.items():
         g = g.addGrid(estimator.getParam(name), values)
     return CrossValidator(estimator=pipeline, estimatorParamMaps=g.build(), evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"), numFolds=folds, seed=SEED, parallelism=parallelism)
-
-
-def _alike(identity: float, coverage: float):
-    """Pairs of two parts that share a bucket key, cover each other and share enough k-mers: the shorter's name, the longer's, the share."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = list(zip(pdf["step"].tolist(), pdf["part"].tolist(), strict=True))
-        one, two = (int(key[0]), int(key[1])), (int(key[2]), int(key[3]))
-        flat = np.concatenate(pdf["km"].to_list())
-        codes = np.split(np.unique(flat, return_inverse=True)[1], np.cumsum(pdf["km"].map(len).to_numpy())[:-1])
-        names, lengths, keys, leads = (pdf[c].tolist() for c in ("name", "len", "keys", "leads"))
-        mark, meets, out = np.zeros(len(flat), bool), {}, []
-        for j, at in enumerate(own):
-            if at == two:
-                for x in keys[j]:
-                    meets.setdefault(x, []).append(j)
-        for i, at in enumerate(own):
-            if at != one:
-                continue
-            some = []
-            for j in sorted({j for x in keys[i] for j in meets.get(x, ())}):
-                if j == i or (one == two and j < i):
-                    continue
-                low, top = (i, j) if (-lengths[j], names[j]) < (-lengths[i], names[i]) else (j, i)
-                if lengths[low] >= coverage * lengths[top] and not leads[low]:
-                    some.append((j, low, top))
-            if not some:
-                continue
-            mark[codes[i]] = True
-            sizes = np.array([len(codes[j]) for j, _, _ in some])
-            shared = np.add.reduceat(mark[np.concatenate([codes[j] for j, _, _ in some])].astype(np.int64), np.cumsum(sizes) - sizes)
-            mark[codes[i]] = False
-            out += [(names[low], names[top], n / len(codes[low])) for (_, low, top), n in zip(some, shared.tolist(), strict=True) if n / len(codes[low]) >= identity]
-        return pd.DataFrame(out, columns=["name", "rep", "share"])
-
-    return run
-
-
-def sequence_clusters(seqs: DataFrame, k: int = 5, identity: float = 0.3, coverage: float = 0.8, bands: int = 16, name: str = "name", seq: str = "seq") -> DataFrame:
-    """(representative, name): sequences that share enough k-mers with a longer or equal one, greedily by length.
-
-    A stand-in for alignment-based clustering: candidates share one of `bands`
-    smallest k-mer hashes (one a residue class of the hash), the length ratio
-    gives coverage, and the share of the shorter one's k-mers stands for identity.
-
-    Equal sequences count as one. Members of a bucket are first compared with
-    the bucket's longest of their own and the next length class (a step of the
-    coverage ratio). All that found no representative there are compared with
-    all that share a bucket with them, part by part of two neighbouring classes
-    inside tasks: quadratic in those. A representative is nobody's member.
-    """
-    from ..functions.scalars import kmers
-
-    long = seqs.where(F.length(seq) >= k).select(F.col(name).alias("name"), F.col(seq).alias("seq"), F.sha2(seq, 256).alias("same"))
-    one = long.groupBy("same").agg(F.min(F.struct("name", "seq")).alias("s")).select("same", "s.*")
-    copies = long.select("name", "same").join(one.select("same", F.col("name").alias("first")), "same").select("name", "first")
-    step = F.floor(F.log("len") / -math.log(coverage)) if 0 < coverage < 1 else F.col("len") if coverage >= 1 else F.lit(0)
-    base = one.select("name", F.length("seq").alias("len"), F.array_distinct(F.transform(kmers(F.col("seq"), k), lambda x: F.xxhash64(x))).alias("km")).withColumn("step", step.cast("int")).checkpoint()
-    h = base.select("name", "len", "step", F.explode("km").alias("h"))
-    pool = h.groupBy("name", "len", "step", F.pmod("h", F.lit(bands)).alias("band")).agg(F.min("h").alias("h")).checkpoint()
-
-    top = pool.groupBy("band", "h", "step").agg(F.min(F.struct((-F.col("len")).alias("low"), F.col("name").alias("rep"))).alias("top"))
-    top = top.select("band", "h", F.explode(F.array(F.col("step"), F.col("step") - 1)).alias("step"), F.col("top.rep").alias("rep"), (-F.col("top.low")).alias("rep_len"))
-    ahead = (F.col("rep_len") > F.col("len")) | ((F.col("rep_len") == F.col("len")) & (F.col("rep") < F.col("name")))
-    pairs = pool.join(top, ["band", "h", "step"]).where(ahead & (F.col("len") >= coverage * F.col("rep_len"))).select("name", "rep").distinct()
-    a = base.select(F.col("name").alias("rep"), F.col("km").alias("rep_km"))
-    share = F.size(F.array_intersect("km", "rep_km")) / F.size("km")
-    links = pairs.join(base.select("name", "km"), "name").join(a, "rep").select("name", "rep", share.alias("share")).where(F.col("share") >= identity).checkpoint()
-    best = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("share"), "rep"))
-
-    def settle(links: DataFrame) -> DataFrame:
-        """The best link of each to one that has no link itself."""
-        free = links.join(links.select(F.col("name").alias("rep")).distinct(), "rep", "left_anti")
-        return free.withColumn("_n", best).where("_n = 1").select("name", "rep").checkpoint()
-
-    found = settle(links)
-    rest = base.join(found.select("name"), "name", "left_anti").join(found.select(F.col("rep").alias("name"), F.lit(True).alias("leads")).distinct(), "name", "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
-    rest = rest.join(pool.groupBy("name").agg(F.collect_list(F.xxhash64("band", "h")).alias("keys")), "name")
-    parts = {r["step"]: -(-r["count"] // PART) for r in base.groupBy("step").count().collect()}
-    if parts:
-        of = F.create_map(*[F.lit(x) for p in parts.items() for x in p])
-        rest = rest.withColumn("part", F.pmod(F.xxhash64("name"), of[F.col("step")]).cast("int"))
-        rest = rest.withColumn("other_step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1) if coverage < 1 else F.array("step"))).where(of[F.col("other_step")].isNotNull())
-        rest = rest.withColumn("other_part", F.explode(F.sequence(F.lit(0), of[F.col("other_step")].cast("int") - 1)))
-        mine, other = F.struct(F.col("step").alias("s"), F.col("part").alias("p")), F.struct(F.col("other_step").alias("s"), F.col("other_part").alias("p"))
-        rest = rest.withColumn("x", F.least(mine, other)).withColumn("y", F.greatest(mine, other))
-        kind = base.schema["name"].dataType.simpleString()
-        met = rest.groupBy(F.col("x.s").alias("s1"), F.col("x.p").alias("p1"), F.col("y.s").alias("s2"), F.col("y.p").alias("p2"))
-        links = met.applyInPandas(_alike(identity, coverage), f"name {kind}, rep {kind}, share double").checkpoint()
-        while not links.isEmpty():
-            new = settle(links)
-            found = found.unionByName(new)
-            links = links.join(new.select("name"), "name", "left_anti").join(new.select(F.col("name").alias("rep")), "rep", "left_anti").join(new.select(F.col("rep").alias("name")).distinct(), "name", "left_anti").checkpoint()
-    own = copies.join(found.select(F.col("name").alias("first"), "rep"), "first", "left").select(F.col("name").alias(name), F.coalesce("rep", "first").alias("rep"))
-    return seqs.select(name).join(own, name, "left").select(F.coalesce("rep", name).alias("representative"), name)

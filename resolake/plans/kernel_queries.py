@@ -7,7 +7,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars
 from ..operators import attention as at
-from ..operators import checks, estimators, kernels, sampling
+from ..operators import checks, clustering, estimators, kernels, sampling
 from ..sources.tables import table
 from .attention_queries import _seqs
 from .bindings import attn, query, res, series, vecs
@@ -159,7 +159,7 @@ def _(spark, d):
 
 @query("o12_sequence_clusters", "representative:l name:l")
 def _(spark, d):
-    return estimators.sequence_clusters(_seqs(spark, d))
+    return clustering.sequence_clusters(_seqs(spark, d), every=4)
 
 
 def _checked(pdf):

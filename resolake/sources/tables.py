@@ -31,7 +31,7 @@ def _remove(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may be gone, and its cluster with it
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for found in files.globStatus(where.suffix("*")) or []:
+        for found in files.globStatus(where if path.endswith("/") else where.suffix("*")) or []:
             files.delete(found.getPath(), True)
 
 
@@ -40,3 +40,44 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/resolake-{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
+
+
+class Scratch:
+    """Tables that one operator call computes once and reads again, as Parquet in the shared folder.
+
+    They cut lineage, survive lost executors and are read in splits by bytes.
+    On leaving they are removed, but for kept ones, which the result may still
+    have to read: those go when Python ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/resolake-{uuid.uuid4().hex}", 0
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def folder(self) -> str:
+        self.made += 1
+        return f"{self.root}/{self.made}"
+
+    def table(self, df: DataFrame) -> DataFrame:
+        return self._write(df, self.folder())
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove a table before the others."""
+        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            _remove(self.spark, f"{path}/")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}-kept-{self.made}"
+        self.made += 1
+        atexit.register(_remove, self.spark, path)
+        return self._write(df, path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.made:
+            _remove(self.spark, f"{self.root}/")

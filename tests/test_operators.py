@@ -200,33 +200,6 @@ def test_stacked_pca_uses_all_cells(spark):
         assert mine["a"].variance_ratio == pytest.approx(s[pc - 1] ** 2 / (s**2).sum())
 
 
-def test_sequence_clusters_keep_copies_together(spark):
-    """Copies and near copies beside longer unrelated texts that hold all their smallest k-mers."""
-    rng = np.random.default_rng(3)
-    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
-    a, b = word(200), word(190)
-    hidden = a + b + "".join(word(40) for _ in range(40))
-    texts = [(1, hidden), (2, a), (3, a), (4, a[:198]), (6, b), (7, b), (8, "ab"), (9, "ab")]
-    for bands in (1, 16):
-        got = {r.name: r.representative for r in estimators.sequence_clusters(spark.createDataFrame(texts, "name long, seq string"), bands=bands).collect()}
-        same = lambda x, y: got[x] == got[y]  # noqa: E731, B023
-        assert same(2, 3) and same(2, 4) and same(6, 7) and not same(2, 6) and not same(8, 9) and got[1] == 1
-
-
-def test_sequence_clusters_compare_all_of_a_bucket(spark, monkeypatch):
-    """Near copies that share the only bucket with a longer text of their own length class, in small parts."""
-    from resolake.functions.scalars import kmers
-
-    monkeypatch.setattr(estimators, "PART", 3)
-    rng = np.random.default_rng(4)
-    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
-    most = spark.createDataFrame([(word(20000),)], "s string").select(F.explode(kmers(F.col("s"), 5)).alias("m")).orderBy(F.xxhash64("m")).first().m
-    texts = [(n, most + word(300 - n)) for n in range(12)]
-    texts += [(n + 100, t[:-1] + "z") for n, t in texts]
-    got = {r.name: r.representative for r in estimators.sequence_clusters(spark.createDataFrame(texts, "name long, seq string"), bands=1).collect()}
-    assert got == {n: n % 100 for n, _ in texts}
-
-
 def test_value_ranks_over_ranges_equal_a_plain_order(spark):
     from resolake.operators import ranking
 
