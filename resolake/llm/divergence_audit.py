@@ -20,21 +20,22 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, list_array, quoted, skew_join
-from .pretoken import texts_of
+from .common import Scratch, quoted, skew_join
+from .pretoken import array_slices
 from .radix_trie import RadixTrie
-from .words import LETTERS, split_words
+from .words import LETTERS
 
-#: A task's tries are streamed out beyond so many pairs of a term and a source; counts are put in them after so many.
-TRIE_ENTRIES, STAGED = 250_000, 150_000
+#: A task's tries are streamed out beyond so many leaves and counters, or names of sources; texts are read so many bytes at a time.
+TRIE_SIZE, MAX_NAMES, SLICE_BYTES = 1_500_000, 1 << 19, 4_000_000
 #: Cells of a block of terms by sources, and of the pair sums that a task holds.
 CELLS, PAIR_CELLS = 1 << 18, 1 << 22
 #: Groups (a language and a source) up to this many go to every executor, at some 30 bytes each; more are joined by shuffle.
@@ -43,93 +44,135 @@ UNIT = 1_000_000_000
 LEAF = "lang string, term string, documents long, sources array<string>, counts array<long>"
 
 
-def _leaf_batches(leaves: Iterator[tuple[str, bytes, int, dict[str, int]]], size: int = 8192) -> Iterator[pa.RecordBatch]:
-    rows: list = []
-
-    def batch() -> pa.RecordBatch:
-        langs, terms, documents, sources = zip(*rows, strict=True)
-        sizes = np.array([len(s) for s in sources], np.int64)
-        names = pa.array([x for s in sources for x in s], pa.string())
-        counts = np.array([n for s in sources for n in s.values()], np.int64)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([t.decode() for t in terms], pa.string()), pa.array(documents, pa.int64()), pa.ListArray.from_arrays(offsets, names), list_array(counts, sizes)], names=["lang", "term", "documents", "sources", "counts"])
-
-    for leaf in leaves:
-        rows.append(leaf)
-        if len(rows) == size:
-            yield batch()
-            rows.clear()
-    if rows:
-        yield batch()
-
-
-class _Tries:
-    """A task's tries by language; counts of a text reach them through plain counters, a distinct term at a time."""
+def words_of(column: pa.Array, table: bytes) -> tuple[pa.Array, np.ndarray]:
+    """(all words of a text column one after another, the row of each); bytes that `table` makes spaces part them."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    buffers = column.buffers()
+    ends = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if ends[0] == ends[-1]:
+        return pa.array([], pa.binary()), np.empty(0, np.int64)
+    raw = np.frombuffer(table, np.uint8)[np.frombuffer(buffers[2], np.uint8)[ends[0] : ends[-1]]]
+    ends = ends - ends[0]
+    inside = np.zeros(len(raw) + 1, bool)
+    inside[:-1] = raw != 0x20
+    first = inside[:-1].copy()
+    first[1:] &= ~inside[:-2]
+    at = ends[:-1][ends[:-1] < len(raw)]
+    first[at] = inside[at]  # no word goes on from one text to the next
+    starts = np.flatnonzero(first)
+    data = raw[inside[:-1]]
+    offsets = np.append((np.cumsum(inside[:-1]) - 1)[starts], len(data)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return words, np.searchsorted(ends, starts, side="right") - 1
+
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, the sum of n of each)."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+    return keys[starts], np.add.reduceat(n[order], starts)
+
+
+class _Counted:
+    """A language's trie, with the documents of its leaves and their occurrences by source in arrays."""
 
     def __init__(self):
-        self.tries: dict[str, RadixTrie] = defaultdict(RadixTrie)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.documents: dict[str, Counter] = defaultdict(Counter)
-        self.counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-
-    def add(self, lang: str, source: str, words: list[bytes]) -> None:
-        self.documents[lang].update(set(words))
-        self.counts[lang, source].update(words)
-
-    def settle(self, least: int | None = None) -> int:
-        """Move staged counts into the tries if there are at least so many (STAGED); entries of the tries."""
-        if sum(map(len, self.counts.values())) >= (STAGED if least is None else least):
-            for lang, terms in self.documents.items():
-                trie = self.tries[lang]
-                for term, n in terms.items():
-                    trie.add(term, None, 0, n)
-            for (lang, source), terms in self.counts.items():
-                trie = self.tries[lang]
-                for term, n in terms.items():
-                    trie.add(term, source, n)
-            self._clear()
-        return sum(t.entries for t in self.tries.values())
-
-    def drain(self) -> Iterator[pa.RecordBatch]:
-        self.settle(0)
-        yield from _leaf_batches((lang, *leaf) for lang in sorted(self.tries) for leaf in self.tries[lang])
-        self.tries.clear()
+        self.trie = RadixTrie()
+        self.documents: list[tuple[np.ndarray, np.ndarray]] = []
+        self.entries: list[tuple[np.ndarray, np.ndarray]] = []  # leaf and source as one number, occurrences
+
+    def add(self, terms: pa.Array, codes: np.ndarray, docs: np.ndarray, sources: np.ndarray) -> None:
+        """Words as codes of terms, each with its document and that one's source (numbers below 2^20)."""
+        used, codes = np.unique(codes, return_inverse=True)
+        leaves = np.fromiter(map(self.trie.leaf, terms.take(pa.array(used)).to_pylist()), np.int64, len(used))
+        once = np.unique(codes * (docs.max() + 1) + docs)
+        self.documents.append((leaves, np.bincount(once // (docs.max() + 1), minlength=len(used))))
+        keys, n = np.unique(leaves[codes] << 20 | sources, return_counts=True)
+        self.entries.append((keys, n))
+
+    def size(self) -> int:
+        return self.trie.leaves + sum(len(k) for k, _ in self.entries)
+
+    def batches(self, lang: str, names: list[str], size: int = 16384) -> Iterator[pa.RecordBatch]:
+        """Leaves in byte order."""
+        terms, numbers = zip(*self.trie, strict=True)
+        numbers = np.array(numbers, np.int64)
+        place = np.empty(len(numbers), np.int64)
+        place[numbers] = np.arange(len(numbers))
+        _, documents = _sums(*map(np.concatenate, zip(*[(place[k], n) for k, n in self.documents], strict=True)))
+        keys, counts = _sums(*map(np.concatenate, zip(*[(place[k >> 20] << 20 | k & 0xFFFFF, n) for k, n in self.entries], strict=True)))
+        offsets = np.searchsorted(keys, np.arange(len(terms) + 1) << 20)
+        sources = pa.array(names, pa.string()).take(pa.array(keys & 0xFFFFF))
+        for i in range(0, len(terms), size):
+            own = terms[i : i + size]
+            a, b = offsets[i], offsets[i + len(own)]
+            lists = pa.array((offsets[i : i + len(own) + 1] - a).astype(np.int32))
+            columns = [pa.array([lang] * len(own), pa.string()), pa.array(own, pa.binary()).cast(pa.string()), pa.array(documents[i : i + len(own)]), pa.ListArray.from_arrays(lists, sources.slice(a, b - a)), pa.ListArray.from_arrays(lists, pa.array(counts[a:b]))]
+            yield pa.RecordBatch.from_arrays(columns, names=_LEAF_NAMES)
+
+
+_LEAF_NAMES = ["lang", "term", "documents", "sources", "counts"]
+
+
+def _drain(found: dict[str, _Counted], names: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    for lang in sorted(found):
+        yield from found[lang].batches(lang, list(names))
+    found.clear()
+    names.clear()
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = _Tries()
+    found: dict[str, _Counted] = defaultdict(_Counted)
+    names: dict[str, int] = {}
     for batch in batches:
-        langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang, source, text in zip(langs, sources, texts_of(batch.column(2)), strict=True):
-            own.add(lang, source, split_words(text, LETTERS))
-        if own.settle() >= TRIE_ENTRIES:
-            yield from own.drain()
-    yield from own.drain()
+        for a, b in array_slices(batch.column(2), SLICE_BYTES):
+            part = batch.slice(a, b - a)
+            words, docs = words_of(part.column(2), LETTERS)
+            coded = words.dictionary_encode()
+            terms, codes = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+            langs = np.array(part.column(0).to_pylist(), object)
+            sources = np.array([names.setdefault(x, len(names)) for x in part.column(1).to_pylist()], np.int64)
+            for lang in dict.fromkeys(langs.tolist()):
+                own = (langs == lang)[docs]
+                if own.any():
+                    found[lang].add(terms, codes[own], docs[own], sources[docs[own]])
+            if sum(c.size() for c in found.values()) >= TRIE_SIZE or len(names) >= MAX_NAMES:
+                yield from _drain(found, names)
+    yield from _drain(found, names)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, int, dict[str, int]]]:
+def _merge_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sum neighbouring leaves of one term; leaves come in order of language and term."""
-    key, documents, sources = None, 0, Counter()
+    held = None  # the last term of a batch, which may go on in the next
     for batch in batches:
-        lists = batch.column(3), batch.column(4)
-        at = np.asarray(lists[0].offsets)
-        names, counts = lists[0].values.to_pylist(), np.asarray(lists[1].values).tolist()
-        for i, (lang, term, n) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
-            if (lang, term) != key:
-                if key:
-                    yield key[0], key[1].encode(), documents, sources
-                key, documents, sources = (lang, term), 0, Counter()
-            documents += n
-            for name, count in zip(names[at[i] : at[i + 1]], counts[at[i] : at[i + 1]], strict=True):
-                sources[name] += count
-    if key:
-        yield key[0], key[1].encode(), documents, sources
-
-
-def _merge_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _leaf_batches(_merged(batches))
+        if not batch.num_rows:
+            continue
+        rows = pa.concat_batches([held, batch]) if held is not None else batch
+        lang, term = rows.column(0), rows.column(1)
+        other = pc.or_(pc.not_equal(lang.slice(1), lang.slice(0, len(lang) - 1)), pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)))
+        starts = np.flatnonzero(np.concatenate([[True], np.asarray(other)]))
+        held = rows.slice(int(starts[-1]))
+        if len(starts) > 1:
+            yield _summed(rows.slice(0, int(starts[-1])), starts[:-1])
+    if held is not None:
+        yield _summed(held, np.zeros(1, np.int64))
+
+
+def _summed(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+    """One row for the rows from each start to the next."""
+    names = rows.column(3).flatten().dictionary_encode()
+    width = max(len(names.dictionary), 1)
+    group = np.repeat(np.arange(len(starts)), np.diff(starts, append=rows.num_rows))
+    entries = np.repeat(group, np.asarray(rows.column(3).value_lengths()))
+    keys, counts = _sums(entries * width + np.asarray(names.indices).astype(np.int64), np.asarray(rows.column(4).flatten()))
+    lists = pa.array(np.searchsorted(keys, np.arange(len(starts) + 1) * width).astype(np.int32))
+    first = pa.array(starts)
+    documents = np.add.reduceat(np.asarray(rows.column(2)), starts)
+    columns = [rows.column(0).take(first), rows.column(1).take(first), pa.array(documents), pa.ListArray.from_arrays(lists, names.dictionary.take(pa.array(keys % width))), pa.ListArray.from_arrays(lists, pa.array(counts))]
+    return pa.RecordBatch.from_arrays(columns, names=_LEAF_NAMES)
 
 
 def term_counts(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -1,77 +1,50 @@
-"""A byte radix trie of terms whose leaves count documents, and occurrences by source."""
+"""A radix trie over byte strings that numbers its leaves."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-
-class _Node:
-    __slots__ = ("edges", "documents", "sources")
-
-    def __init__(self):
-        self.edges: dict[int, tuple[bytes, _Node]] | None = None  # by a label's first byte
-        self.documents = 0
-        self.sources: dict[str, int] | None = None  # of a term's node: its leaf counters
-
-
-def _shared(a: bytes, b: bytes, at: int) -> int:
-    """How many first bytes of a are those of b from `at` on."""
-    n = 0
-    for x, y in zip(a, memoryview(b)[at:], strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
+#: Bytes of an edge between two inner nodes; an edge to a lone leaf holds all that is left of its term.
+STEP = 4
 
 
 class RadixTrie:
-    """Terms are UTF-8 bytes, so a traversal by byte is one in the order of code points."""
+    """Terms as bytes; a traversal of UTF-8 by byte is one in the order of code points.
 
-    def __init__(self):
-        self.root, self.entries = _Node(), 0  # entries: pairs of a term and a source
+    An inner node maps the next STEP bytes to another node, or to (what is left
+    of the only term there, its leaf's number). Counters are kept outside, in
+    arrays by leaf number.
+    """
 
-    def _node(self, term: bytes) -> _Node:
-        node, at = self.root, 0
-        while at < len(term):
-            if node.edges is None:
-                node.edges = {}
-            label, child = node.edges.get(term[at], (None, None))
+    def __init__(self):
+        self.root: dict = {}
+        self.leaves = 0
+
+    def leaf(self, term: bytes) -> int:
+        """The number of a term's leaf; new terms get the next one."""
+        node, at = self.root, STEP
+        while True:
+            edge, rest = term[at - STEP : at], term[at:]
+            child = node.get(edge)
             if child is None:
-                child = _Node()
-                node.edges[term[at]] = (term[at:], child)
-                return child
-            if not term.startswith(label, at):  # the label parts from the term within: cut it there
-                k = _shared(label, term, at)
-                upper = _Node()
-                upper.edges = {label[k]: (label[k:], child)}
-                node.edges[term[at]] = (label[:k], upper)
-                label, child = label[:k], upper
-            node, at = child, at + len(label)
-        return node
-
-    def add(self, term: bytes, source: str | None, n: int, documents: int = 0) -> None:
-        """Count n occurrences of a term in a source, and documents that hold it."""
-        node = self._node(term)
-        node.documents += documents
-        if node.sources is None:
-            node.sources = {}
-        if source is not None:
-            before = len(node.sources)
-            node.sources[source] = node.sources.get(source, 0) + n
-            self.entries += len(node.sources) - before
-
-    def merge(self, other: RadixTrie) -> None:
-        for term, documents, sources in other:
-            self.add(term, None, 0, documents)
-            for source, n in sources.items():
-                self.add(term, source, n)
-
-    def __iter__(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
-        """(term, documents, occurrences by source) in byte order."""
-        stack = [(b"", self.root)]
+                node[edge] = (rest, self.leaves)
+                self.leaves += 1
+                return self.leaves - 1
+            if type(child) is tuple:
+                other, number = child
+                if other == rest:
+                    return number
+                child = node[edge] = {other[:STEP]: (other[STEP:], number)}  # two terms now: one edge further down
+            node, at = child, at + STEP
+
+    def __iter__(self) -> Iterator[tuple[bytes, int]]:
+        """(term, leaf number) in byte order."""
+        stack: list = [(b"", self.root)]
         while stack:
             term, node = stack.pop()
-            if node.sources is not None:
-                yield term, node.documents, node.sources
-            if node.edges:
-                stack.extend((term + label, child) for _, (label, child) in sorted(node.edges.items(), key=lambda e: -e[0]))
+            if type(node) is int:
+                yield term, node
+            else:
+                for edge in sorted(node, reverse=True):
+                    child = node[edge]
+                    stack.append((term + edge + child[0], child[1]) if type(child) is tuple else (term + edge, child))

@@ -213,24 +213,21 @@ def test_labelled_documents(spark):
 
 # divergence audit
 
-TERMS = st.lists(st.tuples(st.text("abé中", min_size=1, max_size=6), st.sampled_from(["s", "t", ""]), st.integers(1, 9)), max_size=60)
-
-
-@given(TERMS, TERMS)
-@settings(max_examples=150, deadline=None)
-def test_trie_counts_in_byte_order(left, right):
-    want = defaultdict(Counter)
-    tries = []
-    for part in (left, right):
-        trie = RadixTrie()
-        for term, source, n in part:
-            trie.add(term.encode(), source, n, 1)
-            want[term.encode()][source] += n
-        tries.append(trie)
-    tries[0].merge(tries[1])
-    assert [(t, dict(c)) for t, _, c in tries[0]] == [(t, dict(want[t])) for t in sorted(want)]
-    assert sum(n for _, n, _ in tries[0]) == len(left) + len(right)
-    assert tries[0].entries == sum(map(len, want.values()))
+@given(st.lists(st.text("abé中", max_size=14), max_size=80))
+@settings(max_examples=200, deadline=None)
+def test_trie_numbers_terms_in_byte_order(terms):
+    trie, numbers = RadixTrie(), {}
+    for term in terms:
+        assert trie.leaf(term.encode()) == numbers.setdefault(term.encode(), len(numbers))
+    assert list(trie) == sorted(numbers.items())
+
+
+@given(st.lists(st.one_of(st.none(), st.text("aZé中9 -", max_size=12)), max_size=12), st.integers(0, 3))
+@settings(max_examples=200, deadline=None)
+def test_words_of_columns(texts, skip):
+    words, rows = D.words_of(pa.array([None] * skip + texts, pa.string()).slice(skip), D.LETTERS)
+    want = [(w.encode(), i) for i, t in enumerate(texts) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", ascii_lower(t))]
+    assert list(zip(words.to_pylist(), rows.tolist(), strict=True)) == want
 
 
 def audited(docs, least, top):
@@ -271,15 +268,16 @@ def test_audit_of_empty_and_single(spark):
 
 def test_tries_that_overflow(monkeypatch):
     """Leaves of tries that were streamed out and begun anew add up."""
-    monkeypatch.setattr(D, "TRIE_ENTRIES", 5)
-    monkeypatch.setattr(D, "STAGED", 3)
+    monkeypatch.setattr(D, "TRIE_SIZE", 5)
     docs = [d for d in odd_documents() if d[0] != 400]
     columns = [pa.array([(d[k] or "") if k > 1 else d[1] for d in docs], pa.string()) for k in (2, 3, 1)]
     whole = pa.RecordBatch.from_arrays(columns, names=["lang", "source", "text"])
     parts = list(D._count_terms(iter([whole.slice(i, 10) for i in range(0, len(docs), 10)])))
     assert len(parts) > 3
     leaves = pa.Table.from_batches(parts).sort_by([("lang", "ascending"), ("term", "ascending")]).combine_chunks().to_batches(max_chunksize=7)
-    got = {(lang, t.decode()): (n, dict(c)) for lang, t, n, c in D._merged(iter(leaves))}
+    merged = pa.Table.from_batches(D._merge_leaves(iter(leaves))).to_pylist()
+    got = {(r["lang"], r["term"]): (r["documents"], dict(zip(r["sources"], r["counts"], strict=True))) for r in merged}
+    assert len(got) == len(merged)
     want = {}
     for _, text, lang, source in docs:
         for term, n in Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", ascii_lower(text))).items():
