@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array
+from .common import list_array, quoted
 from .pretoken import array_slices, tokenizer
 
 WINDOW = 2048
@@ -182,6 +182,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: st
     executor gives the same rows where its input has a fixed order, as files have;
     what comes out of a shuffle should be written first (the pipeline does).
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
     return texts.mapInArrow(_pack(tokenizer_path, separator, keep_space, end_id, with_ids), schema)

@@ -104,7 +104,7 @@ class UnitMemo:
 
 
 class TextTokenizer:
-    """A tokenizers file, encoding texts without special tokens; their strings in a text are ordinary text."""
+    """A tokenizers file, encoding texts as the library does with add_special_tokens=False: a special token's string in a text is that token."""
 
     def __init__(self, path: str, separator: str, keep_space: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -113,6 +113,11 @@ class TextTokenizer:
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = True
         self.separator, self.mark = separator, self.plain.token_to_id(separator)
+        added = sorted(self.plain.get_added_tokens_decoder().items(), key=lambda x: -len(x[1].content))
+        self.added = {t.content: i for i, t in added}  # the longest first, as the library prefers them
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, self.added))})") if added else None
+        #: Added tokens that are more than a fixed string; texts that may hold them go to the library whole.
+        self.loose = any(t.single_word or t.lstrip or t.rstrip or t.normalized for _, t in added)
         self.keep_space = keep_space
         #: Bytes of each token: byte-level tokens have a character a byte, and word ends a mark.
         n = self.plain.get_vocab_size()
@@ -178,6 +183,31 @@ class TextTokenizer:
         column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
         if not len(column):
             return np.empty(0, np.int32), np.empty(0, np.int64)
+        held = np.zeros(len(column), bool)
+        for content in self.added:
+            held |= np.asarray(pc.match_substring(column, content, ignore_case=self.loose))
+        if not held.any():
+            return self._encode(column)
+        ids, lengths = self._encode(pc.if_else(pa.array(held), "", column))
+        parts = np.split(ids, np.cumsum(lengths)[:-1])
+        for i in np.flatnonzero(held).tolist():
+            parts[i] = self._with_added(column[i].as_py())
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _with_added(self, text: str) -> np.ndarray:
+        """The ids of a text that holds added tokens: each is its id, and what lies between is encoded by itself."""
+        if self.loose:
+            self.plain.encode_special_tokens = False
+            ids = self._ids([text])
+            self.plain.encode_special_tokens = True
+            return ids
+        pieces = self.at_added.split(text)
+        ids, lengths = self._encode(pa.array(pieces[::2], pa.string()))
+        tokens = np.array([self.added[x] for x in pieces[1::2]], np.int32)
+        return np.insert(ids, np.cumsum(lengths)[:-1], tokens)
+
+    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts without added tokens, none null."""
         if not self.keep_space:
             return self._split(pc.replace_substring(column, "\n", " "))
         odd = pc.match_substring_regex(column, _SPANNING)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_array
+from .common import list_array, quoted
 from .pretoken import UnitMemo, array_slices
 from .unigram import LONG_UNIT, MARK, PieceTrie, best_path, piece_trie, units
 
@@ -147,7 +147,7 @@ def _encode(path: str):
 
 def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every whole text; each task works alone on its split."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     return rows.mapInArrow(_encode(model_path), "doc_id long, ids array<int>")
 
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
 from .pretoken import array_slices
 from .unigram import LONG_UNIT, PieceTrie, best_path, piece_trie, units, utf8_lengths
 
@@ -125,5 +126,5 @@ def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     Each task builds tries of the pre-tokens of its own split, a slice of texts
     at a time, so memory is bounded and nothing is shuffled.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     return rows.mapInArrow(_count(model_path), "doc_id long, n_tokens long")

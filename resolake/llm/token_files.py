@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, list_array
+from .common import Scratch, list_array, quoted
 from .pretoken import array_slices, tokenizer
 
 BLOCK_TOKENS = 2_000_000
@@ -105,8 +105,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     One range shuffle of the texts puts them in order; tokens, ranks and codes
     are made where the file is written.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    files = max(1, -(-docs.select(id_col).count() // DOCS_PER_FILE))
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
+    files = max(1, -(-docs.select(F.col(quoted(id_col))).count() // DOCS_PER_FILE))
     ordered = texts.repartitionByRange(files, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
     ordered.mapInArrow(_encode(tokenizer_path, separator, keep_space, end_id), BLOCK_SCHEMA).write.mode("overwrite").parquet(path)
 
