@@ -44,7 +44,7 @@ def cosine_links(rows, least):
     return degree, components([i for i, _ in rows], links)
 
 
-def boilerplate(rows, ratio):
+def boilerplate(rows, ratio, least=1):
     """Kept texts of (id, text, host) rows."""
     pages, seen = {}, {}
     for _, text, host in rows:
@@ -52,5 +52,5 @@ def boilerplate(rows, ratio):
         pages[host] = pages.get(host, 0) + 1
         for line in {x.strip(" ") for x in (text or "").split("\n")} - {""}:
             seen[host, line] = seen.get((host, line), 0) + 1
-    bad = {k for k, n in seen.items() if n > 1 and n / pages[k[0]] > ratio}
+    bad = {k for k, n in seen.items() if n >= least and n / pages[k[0]] > ratio}
     return {i: None if t is None else "\n".join(x for x in t.split("\n") if (h or "", x.strip(" ")) not in bad) for i, t, h in rows}
