@@ -31,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their source's boilerplate lines."""
-    kept = drop_boilerplate_lines(docs.select(COLUMNS))
+    """All documents, without their source's boilerplate lines; what one page alone holds stays, however few pages a source has."""
+    kept = drop_boilerplate_lines(docs.select(COLUMNS), least_pages=2)
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(COLUMNS)
 
