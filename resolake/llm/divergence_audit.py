@@ -77,33 +77,36 @@ def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Counted:
-    """A language's trie, with the documents of its leaves and their occurrences by source in arrays."""
+    """A language's terms with their documents and occurrences by source, by parts of a task; they meet at the leaves of one trie."""
 
     def __init__(self):
-        self.trie = RadixTrie()
-        self.documents: list[tuple[np.ndarray, np.ndarray]] = []
-        self.entries: list[tuple[np.ndarray, np.ndarray]] = []  # leaf and source as one number, occurrences
+        self.terms: list[pa.Array] = []
+        self.documents: list[np.ndarray] = []
+        self.entries: list[tuple[np.ndarray, np.ndarray]] = []  # place of a term and source as one number, occurrences
+        self.size = self.placed = 0
 
     def add(self, terms: pa.Array, codes: np.ndarray, docs: np.ndarray, sources: np.ndarray) -> None:
         """Words as codes of terms, each with its document and that one's source (numbers below 2^20)."""
         used, codes = np.unique(codes, return_inverse=True)
-        leaves = np.fromiter(map(self.trie.leaf, terms.take(pa.array(used)).to_pylist()), np.int64, len(used))
         once = np.unique(codes * (docs.max() + 1) + docs)
-        self.documents.append((leaves, np.bincount(once // (docs.max() + 1), minlength=len(used))))
-        keys, n = np.unique(leaves[codes] << 20 | sources, return_counts=True)
+        keys, n = np.unique((self.placed + codes) << 20 | sources, return_counts=True)
+        self.terms.append(terms.take(pa.array(used)))
+        self.documents.append(np.bincount(once // (docs.max() + 1), minlength=len(used)))
         self.entries.append((keys, n))
-
-    def size(self) -> int:
-        return self.trie.leaves + sum(len(k) for k, _ in self.entries)
+        self.placed += len(used)
+        self.size += len(used) + len(keys)
 
     def batches(self, lang: str, names: list[str], size: int = 16384) -> Iterator[pa.RecordBatch]:
         """Leaves in byte order."""
-        terms, numbers = zip(*self.trie, strict=True)
-        numbers = np.array(numbers, np.int64)
+        trie, coded = RadixTrie(), pa.concat_arrays(self.terms).dictionary_encode()
+        leaves = np.fromiter(map(trie.leaf, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        terms, numbers = zip(*trie, strict=True)
         place = np.empty(len(numbers), np.int64)
-        place[numbers] = np.arange(len(numbers))
-        _, documents = _sums(*map(np.concatenate, zip(*[(place[k], n) for k, n in self.documents], strict=True)))
-        keys, counts = _sums(*map(np.concatenate, zip(*[(place[k >> 20] << 20 | k & 0xFFFFF, n) for k, n in self.entries], strict=True)))
+        place[np.array(numbers, np.int64)] = np.arange(len(numbers))
+        place = place[leaves][np.asarray(coded.indices)]  # of each part's terms among the leaves
+        _, documents = _sums(place, np.concatenate(self.documents))
+        keys, counts = (np.concatenate(x) for x in zip(*self.entries, strict=True))
+        keys, counts = _sums(place[keys >> 20] << 20 | keys & 0xFFFFF, counts)
         offsets = np.searchsorted(keys, np.arange(len(terms) + 1) << 20)
         sources = pa.array(names, pa.string()).take(pa.array(keys & 0xFFFFF))
         for i in range(0, len(terms), size):
@@ -139,7 +142,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = (langs == lang)[docs]
                 if own.any():
                     found[lang].add(terms, codes[own], docs[own], sources[docs[own]])
-            if sum(c.size() for c in found.values()) >= TRIE_SIZE or len(names) >= MAX_NAMES:
+            if sum(c.size for c in found.values()) >= TRIE_SIZE or len(names) >= MAX_NAMES:
                 yield from _drain(found, names)
     yield from _drain(found, names)
 
