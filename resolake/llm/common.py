@@ -2,86 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resolake.sources.tables import Scratch, shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_local: dict[str, str] = {}  # by application: the folder of a session on one machine that names none
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a local folder stands in on a single machine (tests);
-    a cluster's executors would not see it, so there it is an error.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if given:
-        return given
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="resolake-"))
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Spark's own file systems; nothing to do once the session has ended."""
-    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
-    if jvm is not None and context is not None:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context.hadoopConfiguration()).delete(where, True)
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may be gone, and its cluster with it
-        _remove(spark, path)
-
-
-class Scratch:
-    """Tables that one operator call computes once and reads again, as Parquet in the shared folder.
-
-    They cut lineage, survive lost executors and are read in splits by bytes.
-    On leaving they are removed, but for kept ones, which the result may still
-    have to read: those go when Python ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.made = spark, f"{shared_dir(spark)}/resolake-{uuid.uuid4().hex}", 0
-
-    def _write(self, df: DataFrame, path: str) -> DataFrame:
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def folder(self) -> str:
-        self.made += 1
-        return f"{self.root}/{self.made}"
-
-    def table(self, df: DataFrame) -> DataFrame:
-        return self._write(df, self.folder())
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}-kept-{self.made}"
-        self.made += 1
-        atexit.register(_remove_at_exit, self.spark, path)
-        return self._write(df, path)
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        if self.made:
-            _remove(self.spark, self.root)
+__all__ = ["Scratch", "shared_dir", "table"]  # and what is defined here
 
 
 #: A key is hot in a join when it has more rows than so many, and than two fair shares of a task.

@@ -27,16 +27,14 @@ each. An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resolake.functions.pvalues import chi2_tail
-
 from .common import Scratch, quoted, skew_join
 from .pretoken import texts_of
 
@@ -170,11 +168,20 @@ _SUM_NAMES = ["n", *[f"s{i}" for i in range(DIMS)], *[f"c{i}{j}" for i, j in _PA
 
 
 def _nearest(binned: DataFrame, share: float) -> DataFrame:
-    """Sums over the bins, from the nearest, that hold `share` of a group; a group has at most BINS * (HIGH - LOW) bins."""
+    """(g, starts): for each start the sums over the bins, from the nearest, that hold `share` of the group, the middle row's bin, and the last determinant.
+
+    A group has at most 2 BINS (HIGH - LOW) bins; one shuffle brings them together.
+    """
     w = Window.partitionBy("g", "start")
-    before = F.sum("n").over(w.orderBy("bin")) - F.col("n")
-    near = binned.withColumn("before", before).withColumn("all", F.sum("n").over(w)).where(F.col("before") < F.ceil(F.col("all") * share))
-    return near.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in _SUM_NAMES])
+    placed = binned.repartition("g").withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
+    near = F.col("upto") - F.col("n") < F.ceil(F.col("all") * share)
+    middle = F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("bin"))).alias("middle")
+    summed = placed.groupBy("g", "start").agg(*[F.sum(F.when(near, F.col(c))).alias(c) for c in _SUM_NAMES], middle, F.max("was").alias("was"))
+    return summed.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("start", *_SUM_NAMES, "middle", "was"))).alias("starts"))
+
+
+_FITTED = ["start", *[f"m{i}" for i in range(DIMS)], *[f"p{i}{j}" for i, j in _PAIRS], "logdet", "was", "middle"]
+_PARAMS = "g string, starts array<struct<" + ", ".join(f"{c}: {'int' if c in ('start', 'middle') else 'double'}" for c in _FITTED) + ">>"
 
 
 def _scatter(share: float):
@@ -183,26 +190,36 @@ def _scatter(share: float):
     factor = share / (1 - chi2_tail(cut, DIMS + 2))
     least = np.diag([(s * UNITS) ** 2 for s in LEAST_SCALE])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            n = rows["n"].to_numpy(float)
-            mean = rows[[f"s{i}" for i in range(DIMS)]].to_numpy(float) / n[:, None]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            get = lambda c: np.asarray(flat.field(c)).astype(float)  # noqa: B023, E731
+            n = get("n")
+            mean = np.stack([get(f"s{i}") / n for i in range(DIMS)], 1)
             cov = np.empty((len(n), DIMS, DIMS))
             for i, j in _PAIRS:
-                cov[:, i, j] = cov[:, j, i] = rows[f"c{i}{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
+                cov[:, i, j] = cov[:, j, i] = get(f"c{i}{j}") / n - mean[:, i] * mean[:, j]
             cov = factor * cov + least
-            out = rows[["g", "start"]].copy()
             inverse = np.linalg.inv(cov)
-            for i in range(DIMS):
-                out[f"m{i}"] = mean[:, i]
-            for i, j in _PAIRS:
-                out[f"p{i}{j}"] = inverse[:, i, j]
-            out["logdet"] = np.linalg.slogdet(cov)[1]
-            yield out
+            columns = [*mean.T.copy(), *[inverse[:, i, j] for i, j in _PAIRS], np.linalg.slogdet(cov)[1]]
+            fitted = pa.StructArray.from_arrays([flat.field("start"), *map(pa.array, columns), flat.field("was"), flat.field("middle")], names=_FITTED)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, fitted)], names=["g", "starts"])
 
     return run
 
 
+def chi2_tail(x: float, df: int) -> float:
+    """Probability above x, by the finite sums for whole degrees of freedom."""
+    if df % 2:
+        first, term, total = math.erfc(math.sqrt(x / 2)), math.sqrt(2 * x / math.pi) * math.exp(-x / 2), 0.0
+        for k in range(1, df // 2 + 1):
+            total, term = total + term, term * x / (2 * k + 1)
+        return first + total
+    return math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(df // 2))
+
+
 def chi2_quantile(p: float, df: int) -> float:
     """By bisection of the tail."""
     low, high = 0.0, 1000.0
@@ -212,9 +229,6 @@ def chi2_quantile(p: float, df: int) -> float:
     return (low + high) / 2
 
 
-_PARAMS = "g string, start int, " + ", ".join([*(f"m{i} double" for i in range(DIMS)), *(f"p{i}{j} double" for i, j in _PAIRS), "logdet double"])
-
-
 def robust_scatter(vectors: DataFrame, scratch: Scratch, share: float = 0.75) -> DataFrame:
     """(g, m0.., p00.., scale) of each group in vectors (g, x0.., spread): minimum-covariance-determinant estimates.
 
@@ -222,27 +236,24 @@ def robust_scatter(vectors: DataFrame, scratch: Scratch, share: float = 0.75) ->
     """
     first = scratch.table(_starting_points(vectors, scratch))
     n_groups = first.count()
-    near = _attach(vectors, first, ["g"], n_groups).select("g", *[f"x{i}" for i in range(DIMS)], F.posexplode(_first_distances()).alias("start", "d2"))
-    keys, last = ["g", "start", _bin(F.col("d2")).alias("bin")], None
+    x = [f"x{i}" for i in range(DIMS)]
+    near = _attach(vectors, first, ["g"], n_groups).select("g", *x, F.lit(None).cast("double").alias("was"), F.posexplode(_first_distances()).alias("start", "d2"))
+    last = None
     for step in range(STEPS + 1):
         part = 0.5 if step == 0 else share
-        binned = scratch.table(near.groupBy(*keys).agg(*_sums()))
-        params = scratch.table(_nearest(binned, part).mapInPandas(_scatter(part), _PARAMS))
-        if last is not None and step > 1:
-            moved = params.join(last.select("g", "start", F.col("logdet").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
-            if moved is None or moved <= TOLERANCE:
-                break
+        binned = near.groupBy("g", "start", _bin(F.col("d2")).alias("bin")).agg(*_sums(), F.max("was").alias("was"))
+        params = scratch.table(_nearest(binned, part).mapInArrow(_scatter(part), _PARAMS))
+        if last is not None:
+            scratch.drop(last)
+        moved = params.agg(F.max(F.array_max(F.transform("starts", lambda s: F.abs(s["logdet"] - s["was"]))))).first()[0]
+        if step > 0 and (moved is None or step > 1 and moved <= TOLERANCE):  # none moved: there is no group
+            break
         last = params
-        starts = params.groupBy("g").agg(F.collect_list(F.struct(*[c for c in params.columns if c != "g"])).alias("starts"))  # two a group
-        each = _attach(vectors, starts, ["g"], n_groups).select("g", *[f"x{i}" for i in range(DIMS)], F.explode("starts").alias("s"))
-        near = each.select("g", *[f"x{i}" for i in range(DIMS)], "s.*").select("g", "start", *[f"x{i}" for i in range(DIMS)], squared_distance().alias("d2"))
-    best = params.groupBy("g").agg(F.min(F.struct("logdet", "start", *[c for c in params.columns if c[0] in "mp"])).alias("s")).select("g", "s.*")
-    w = Window.partitionBy("g", "start")
-    placed = binned.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    middle = placed.where(F.col("upto") * 2 >= F.col("all")).groupBy("g", "start").agg(F.min("bin").alias("bin"))
-    median = F.pow(F.lit(2.0), (F.col("bin") + 0.5) / BINS)
-    scaled = best.join(middle, ["g", "start"]).withColumn("scale", F.greatest(F.lit(1.0), median / chi2_quantile(0.5, DIMS)))
-    return scaled.drop("bin", "start", "logdet")
+        each = _attach(vectors, params, ["g"], n_groups).select("g", *x, F.explode("starts").alias("s"))
+        near = each.select("g", *x, "s.*").select("g", "start", *x, F.col("logdet").alias("was"), squared_distance().alias("d2"))
+    best = params.select("g", F.array_min(F.transform("starts", lambda s: F.struct(s["logdet"].alias("logdet"), s["start"].alias("start"), *[s[c].alias(c) for c in _FITTED if c[0] in "mp"]))).alias("s"))
+    median = F.pow(F.lit(2.0), (F.col("s.middle") + 0.5) / BINS)
+    return best.select("g", *[F.col(f"s.{c}").alias(c) for c in _FITTED if c[0] in "mp" and c != "middle"], F.greatest(F.lit(1.0), median / chi2_quantile(0.5, DIMS)).alias("scale"))
 
 
 def quality_rules(docs: DataFrame, least_words: int = 10, repeat_percent: int = 20, share: float = 0.75, quantile: float = 0.9999, least_rows: int = 100, **columns: str) -> DataFrame:
