@@ -136,5 +136,6 @@ def sequence_sampling_weights(df: DataFrame, label: str, name: str = "name", int
     minor = n.crossJoin(F.broadcast(median)).where(F.col("n") < F.col("m")).select(label, F.lit(1).alias("minor"))
     share = df.join(F.broadcast(minor), label, "left").groupBy(name).agg(F.avg(F.coalesce("minor", F.lit(0)).cast("double")).alias("share"))
     raw = F.when(F.col("share") == 0, floor).when(F.col("share") < 1, intensity).otherwise(1.0)
-    everything = Window.partitionBy()
-    return share.withColumn("raw", raw).withColumn("weight", F.col("raw") / F.sum("raw").over(everything) * F.count(F.lit(1)).over(everything))
+    weighed = share.withColumn("raw", raw)
+    total = weighed.agg(F.sum("raw").alias("_sum"), F.count(F.lit(1)).alias("_n"))  # one row
+    return weighed.crossJoin(F.broadcast(total)).withColumn("weight", F.col("raw") / F.col("_sum") * F.col("_n")).drop("_sum", "_n")

@@ -40,17 +40,24 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def _text_key(text: str):
+    """What texts meet by: a digest, so that no shuffle is keyed by whole texts and none of the other side travels."""
+    return F.sha2(F.col(text), 256)
+
+
 def join_on_text(a: DataFrame, b: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """Equal texts meet; of several rows of b with one text, the last counts."""
-    return a.join(last_wins(b, [text], order), text)
+    """Equal texts meet; of several rows of b with one text, the last counts. Null texts meet nothing."""
+    rest = [c for c in b.columns if c != text]
+    last = b.select(_text_key(text).alias("_key"), *rest).groupBy("_key").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_b")).select("_key", "_b.*")
+    return a.withColumn("_key", _text_key(text)).join(last, "_key").drop("_key")
 
 
 def join_id_or_text(a: DataFrame, b: DataFrame, key: str, text: str, values: list[str]) -> DataFrame:
     """Rows of a with b's values by id, else by text: two equi joins, never one with OR."""
     by_id = b.select(F.col(key), *[F.col(v).alias(f"_i_{v}") for v in values], F.lit(True).alias("_by_id"))
-    by_text = first_wins(b, [text], [key]).select(F.col(text), *[F.col(v).alias(f"_t_{v}") for v in values], F.lit(True).alias("_by_text"))
-    both = a.join(by_id, key, "left").join(by_text, text, "left").where("_by_id or _by_text")
-    pick = [F.when(F.col("_by_id"), F.col(f"_i_{v}")).otherwise(F.col(f"_t_{v}")).alias(v) for v in values]
+    first = b.groupBy(_text_key(text).alias("_key")).agg(F.min_by(F.struct(*values), key).alias("_t"), F.lit(True).alias("_by_text"))
+    both = a.join(by_id, key, "left").withColumn("_key", _text_key(text)).join(first, "_key", "left").where("_by_id or _by_text")
+    pick = [F.when(F.col("_by_id"), F.col(f"_i_{v}")).otherwise(F.col("_t")[v]).alias(v) for v in values]
     return both.select(*a.columns, *pick)
 
 

@@ -6,16 +6,18 @@ Positions that don't occur count as zero rows of the matrix.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import Scratch
+
 
 def dense(pdf: pd.DataFrame) -> np.ndarray:
     n = int(max(pdf["i"].max(), pdf["j"].max())) + 1
@@ -27,13 +29,18 @@ def dense(pdf: pd.DataFrame) -> np.ndarray:
 def kmeans(x: np.ndarray, k: int, starts: int = 10, rounds: int = 100, seed: int = 42) -> np.ndarray:
     """Labels of the best of several k-means++ runs."""
     rng, best, found = np.random.default_rng(seed), np.inf, np.zeros(len(x), int)
+    squares = (x * x).sum(1)[:, None]
+
+    def distances(centers: np.ndarray) -> np.ndarray:
+        return np.maximum(squares - 2 * (x @ centers.T) + (centers * centers).sum(1), 0)
+
     for _ in range(starts):
         centers = x[[rng.integers(len(x))]]
         while len(centers) < k:
-            d = ((x[:, None] - centers) ** 2).sum(2).min(1)
+            d = distances(centers).min(1)
             centers = np.vstack([centers, x[rng.choice(len(x), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(x))]])
         for _ in range(rounds):
-            d = ((x[:, None] - centers) ** 2).sum(2)
+            d = distances(centers)
             labels = d.argmin(1)
             new = np.array([x[labels == c].mean(0) if (labels == c).any() else centers[c] for c in range(k)])
             if np.allclose(new, centers):
@@ -170,36 +177,33 @@ def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def bright_components(attn: DataFrame, percent: float = 1.0, least_size: int = 4, window: int = 0) -> DataFrame:
-    """(name, component, i, j, w): 8-connected regions of cells at or above the order-statistic cutoff, near-diagonal cells left out."""
+    """(name, component, i, j, w): 8-connected regions of cells at or above the order-statistic cutoff, near-diagonal cells left out.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = dense(pdf)
-        i, j = np.indices(a.shape)
-        far = np.abs(i - j) > window
-        order = np.sort(a[far])
-        rows = []
-        if len(order):
-            cut = order[min(max(int(len(order) * (1 - percent / 100)), 0), len(order) - 1)]
-            left = set(zip(*map(np.ndarray.tolist, np.nonzero(far & (a >= cut))), strict=True))
-            number = 0
-            for cell in sorted(left):
-                if cell not in left:
-                    continue
-                left.discard(cell)
-                region, todo = [], [cell]
-                while todo:
-                    r, c = todo.pop()
-                    region.append((r, c))
-                    for near in ((r + x, c + y) for x in (-1, 0, 1) for y in (-1, 0, 1)):
-                        if near in left:
-                            left.discard(near)
-                            todo.append(near)
-                if len(region) >= least_size:
-                    rows += [(str(pdf["name"].iat[0]), number, r, c, a[r, c]) for r, c in region]
-                    number += 1
-        return pd.DataFrame(rows, columns=["name", "component", "i", "j", "w"])
-
-    return attn.groupBy("name").applyInPandas(run, "name string, component int, i int, j int, w double")
+    The cutoff is among the cells given; cells that are not given belong to no
+    region. Only bright cells are joined with their neighbours: each round a cell
+    takes the smallest label about it, then the label of the cell that it names,
+    so rounds grow with the logarithm of a region's length. Components are
+    numbered by their first cell.
+    """
+    from .positions import index_cutoff
+
+    far = attn.where(F.abs(F.col("i") - F.col("j")) > window).select(F.col("name").cast("string").alias("name"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "w")
+    with Scratch(attn.sparkSession) as scratch:
+        own = F.struct("i", "j")
+        cells = scratch.table(index_cutoff(far, "w", percent, out="_bright").where("_bright").select("name", "i", "j", "w", own.alias("label")))
+        near = F.explode(F.array(*[F.struct((F.col("i") + x).alias("i"), (F.col("j") + y).alias("j")) for x in (-1, 0, 1) for y in (-1, 0, 1)])).alias("at")
+        while True:
+            offered = cells.select("name", near, "label").groupBy("name", F.col("at.i").alias("i"), F.col("at.j").alias("j")).agg(F.min("label").alias("least"))
+            lower = scratch.table(cells.join(offered, ["name", "i", "j"]))
+            named = lower.select("name", F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("least").alias("further"))
+            jumped = lower.join(named, (lower["name"] == named["name"]) & (F.col("least.i") == F.col("_i")) & (F.col("least.j") == F.col("_j"))).drop(named["name"])
+            cells = scratch.table(jumped.select("name", "i", "j", "w", F.least("least", "further").alias("label"), (F.col("further") < F.col("label")).alias("moved")))
+            if not cells.agg(F.max("moved")).first()[0]:
+                break
+            cells = cells.drop("moved")
+        sizes = cells.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_size)
+        numbered = sizes.select("name", "label", (F.row_number().over(Window.partitionBy("name").orderBy("label")) - 1).alias("component"))
+        return scratch.keep(cells.join(numbered, ["name", "label"]).select("name", "component", "i", "j", "w"))
 
 
 def component_summary(regions: DataFrame) -> DataFrame:
@@ -211,27 +215,44 @@ def component_summary(regions: DataFrame) -> DataFrame:
     )
 
 
-def bootstrap_mean(df: DataFrame, x: str, key: str, resamples: int = 1000, least: int = 10, seed: int = 42) -> DataFrame:
+#: Up to this many times does a row count in a resample; chance of more than one in 10^11.
+_MOST_DRAWS = 13
+
+
+def _poisson_draws(rows: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """(rows, resamples): Poisson numbers of mean 1 that depend on a row's hash, the resample and the seed alone."""
+    each = (np.arange(resamples, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        h = rows.view(np.uint64)[:, None] ^ each
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        h ^= h >> np.uint64(31)
+    upto = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(_MOST_DRAWS)])
+    return np.searchsorted(upto, (h >> np.uint64(11)) * 2.0**-53, side="right")
+
+
+def bootstrap_mean(df: DataFrame, x: str, key: str, row: list[str], resamples: int = 1000, least: int = 10, seed: int = 42) -> DataFrame:
     """Mean and 2.5 and 97.5 % bootstrap percentiles of x over each key's rows; null below `least`.
 
     Each row counts in each resample as often as a Poisson draw of mean 1 says,
-    which tends to drawing with replacement. Tasks sum their own rows by key and
-    resample, so a key's rows are never gathered.
+    which tends to drawing with replacement. A draw is a hash of the columns
+    `row`, which tell rows apart, and of the resample, so no partitioning or
+    retry changes it. Tasks sum their own rows by key and resample, so a key's
+    rows are never gathered.
     """
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
         for pdf in batches:
             for name, part in pdf.groupby("key"):
                 weight, total = np.zeros(resamples), np.zeros(resamples)
-                v = part["x"].to_numpy(float)
-                for cut in np.array_split(v, len(v) // 4096 + 1):
-                    times = rng.poisson(1.0, (len(cut), resamples))
+                v, h = part["x"].to_numpy(float), part["h"].to_numpy(np.int64)
+                for at in range(0, len(v), 1024):
+                    times = _poisson_draws(np.ascontiguousarray(h[at : at + 1024]), resamples, seed)
                     weight += times.sum(axis=0)
-                    total += cut @ times
+                    total += v[at : at + 1024] @ times
                 yield pd.DataFrame({"key": name, "resample": np.arange(resamples), "weight": weight, "total": total})
 
-    known = df.where(F.col(x).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"))
+    known = df.where(F.col(x).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(x).cast("double").alias("x"), F.xxhash64(*row).alias("h"))
     drawn = known.mapInPandas(draw, "key string, resample int, weight double, total double").groupBy("key", "resample").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
     means = drawn.groupBy("key").agg(F.percentile(F.try_divide("total", "weight"), F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     plain = df.groupBy(F.col(key).cast("string").alias("key")).agg(F.count(x).alias("n"), F.avg(x).alias("mean"))
@@ -239,24 +260,6 @@ def bootstrap_mean(df: DataFrame, x: str, key: str, resamples: int = 1000, least
     return plain.join(means, "key", "left").select(F.col("key").alias(key), "n", "mean", bound(0).alias("low"), bound(1).alias("high"))
 
 
-def patch_motifs(attn: DataFrame, size: int = 5, motifs: int = 4, seed: int = 42) -> DataFrame:
-    """(name, motif, patches, mean): k-means of each matrix's patches after scaling every cell of the patch over patches."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = dense(pdf)
-        if len(a) < size:
-            return pd.DataFrame([], columns=["name", "motif", "patches", "mean"])
-        step = max(1, size // 2)
-        raw = np.array([a[r : r + size, c : c + size].ravel() for r in range(0, len(a) - size + 1, step) for c in range(0, len(a) - size + 1, step)])
-        sd = raw.std(0)
-        x = (raw - raw.mean(0)) / np.where(sd > 0, sd, 1)
-        labels = kmeans(x, min(motifs, len(x)), starts=3, rounds=50, seed=seed)
-        kinds = np.unique(labels)
-        return pd.DataFrame({"name": str(pdf["name"].iat[0]), "motif": kinds, "patches": [int((labels == k).sum()) for k in kinds], "mean": [raw[labels == k].mean() for k in kinds]})
-
-    return attn.groupBy("name").applyInPandas(run, "name string, motif int, patches long, mean double")
-
-
 def stacked_pca(attn: DataFrame, components: int = 2) -> DataFrame:
     """(name, pc, score, variance_ratio): principal components of whole matrices as vectors of all their cells.
 

@@ -62,9 +62,9 @@ def kmer_counts(texts: DataFrame, k: int, text: str = "seq", *keys: str) -> Data
 def kmer_enrichment(hits: DataFrame, background: DataFrame, brightness: str = "brightness") -> DataFrame:
     """(kmer, hits, fraction, bg_fraction, ratio, brightness sum and mean) of hit k-mers against background counts (kmer, n)."""
     h = hits.groupBy("kmer").agg(F.count(F.lit(1)).alias("hits"), F.sum(brightness).alias("brightness_sum"), F.avg(brightness).alias("brightness_mean"))
-    everything = Window.partitionBy()
-    h = h.withColumn("fraction", F.col("hits") / F.sum("hits").over(everything))
-    b = background.withColumn("bg_fraction", F.col("n") / F.sum("n").over(everything)).drop("n")
+    total = lambda df, c: F.broadcast(df.agg(F.sum(c).alias("_all")))  # noqa: E731  (one row)
+    h = h.crossJoin(total(h, "hits")).withColumn("fraction", F.col("hits") / F.col("_all")).drop("_all")
+    b = background.crossJoin(total(background, "n")).select("kmer", (F.col("n") / F.col("_all")).alias("bg_fraction"))
     return h.join(b, "kmer", "left").withColumn("ratio", F.try_divide(F.col("fraction"), F.col("bg_fraction")))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import Scratch
+
 #: Ranges of values; a group's offsets are a row a range.
 RANGES = 64
 
@@ -30,6 +32,23 @@ def _range_of(x: Column, cuts: list[float]) -> Column:
     return F.when(x <= F.lit(cuts[mid]), below).otherwise(above)
 
 
+def running_totals(counts: DataFrame, x: str, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """counts, which has each x of a group once, with `c`_upto for each column c: its sum over the values up to x, ascending.
+
+    The counts are stored once: cuts, running sums and offsets read them there.
+    """
+    keys = keys or []
+    counts = Scratch(counts.sparkSession).keep(counts)
+    placed = counts.withColumn("_range", _range_of(F.col(x).cast("double"), _cuts(counts, x)))
+    w = Window.partitionBy(*keys, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = placed.withColumns({f"{c}_upto": F.sum(c).over(w) for c in columns})
+    offsets = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_{c}_t") for c in columns])
+    v = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    offsets = offsets.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}_t").over(v), F.lit(0)).alias(f"_{c}_base") for c in columns])
+    joined = inner.join(F.broadcast(offsets) if not keys else offsets, [*keys, "_range"])
+    return joined.withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"_{c}_base") for c in columns}).drop("_range", *[f"_{c}_base" for c in columns])
+
+
 def value_ranks(df: DataFrame, x: str, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """(keys, x, ties, before): how many rows of the group have each distinct non-null value, and how many a smaller one.
 
@@ -38,13 +57,7 @@ def value_ranks(df: DataFrame, x: str, keys: list[str] | None = None, weight: st
     keys = keys or []
     rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(rows.alias("ties"))
-    placed = counts.withColumn("_range", _range_of(F.col(x).cast("double"), _cuts(counts, x)))
-    w = Window.partitionBy(*keys, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = placed.withColumn("_in", F.sum("ties").over(w) - F.col("ties"))
-    offsets = placed.groupBy(*keys, "_range").agg(F.sum("ties").alias("_t"))
-    v = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a range
-    offsets = offsets.withColumn("_base", F.sum("_t").over(v) - F.col("_t")).drop("_t")
-    return inner.join(offsets, [*keys, "_range"]).withColumn("before", F.col("_base") + F.col("_in")).drop("_range", "_in", "_base")
+    return running_totals(counts, x, ["ties"], keys).withColumn("before", F.col("ties_upto") - F.col("ties")).drop("ties_upto")
 
 
 def mid_rank() -> Column:

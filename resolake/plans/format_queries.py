@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
+from xml.etree import ElementTree
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_header
-from ..sources import readers, sinks
+from ..operators import attention
+from ..sources import json_arrays, readers, sinks
 from ..sources.tables import scratch_path, table
 from ..streaming import resume
 from .bindings import attn, query, series, vecs
@@ -25,11 +31,8 @@ def _tsv(df: DataFrame, path: str) -> str:
     return path
 
 
-def _json_arrays(records: DataFrame, path: str, bucket, wrap: str | None = None) -> str:
-    """Files that hold one JSON array each (or one object with the array under a name): a file a bucket, so buckets must be few."""
-    rows = records.withColumn("bucket", bucket).groupBy("bucket").agg(F.collect_list(F.struct(*records.columns)).alias("r"))
-    text = F.to_json(F.struct(F.col("r").alias(wrap))) if wrap else F.to_json("r")
-    rows.select("bucket", text.alias("value")).write.partitionBy("bucket").text(path)
+def _json_arrays(records: DataFrame, path: str, wrap: str | None = None) -> str:
+    json_arrays.write_arrays(records, path, wrap)
     return path
 
 
@@ -98,7 +101,7 @@ def _(spark, d):
     m = rows.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda r: r["row"]).alias("attention_weights"))
     n = F.col("name")
     records = m.select(n.cast("string").alias("name"), F.when(n % 3 != 0, F.lit("SEQ")).alias("sequence"), F.when(n % 4 != 1, F.col("attention_weights")).alias("attention_weights"))
-    t = readers.attention_records(spark, _json_arrays(records, scratch_path(spark, "s12"), F.col("name").cast("int") % 4))
+    t = readers.attention_records(spark, _json_arrays(records, scratch_path(spark, "s12")))
     cells = t.select("name", "sequence", F.explode(F.flatten("attention_weights")).alias("w"))
     return cells.groupBy("name", "sequence").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"))
 
@@ -111,7 +114,7 @@ def _interpro(spark: SparkSession, d: str, name: str) -> str:
     location = F.struct(start, end, F.array(site).alias("sites"))
     xref = F.when(k % 4 != 0, F.array(F.struct(F.concat(F.lit("p"), k).alias("id"), F.lit("n").alias("name"))))
     r = table(spark, d, "supplier").select(F.concat(F.lit("m"), k).alias("md5"), xref.alias("xref"), F.array(F.struct(F.array(location).alias("locations"))).alias("matches"))
-    return _json_arrays(r, scratch_path(spark, name), F.abs(F.hash("md5")) % 8, wrap="results")
+    return _json_arrays(r, scratch_path(spark, name), wrap="results")
 
 
 _SITES = "with x as (select s_suppkey as k, s_suppkey % 40 + 1 as s, case when s_suppkey % 5 <> 0 then s_suppkey % 40 + 1 + s_suppkey % 7 else s_suppkey % 40 + 1 end as e from supplier)"
@@ -201,20 +204,38 @@ def _(spark, d):
     return spark.read.json(path)
 
 
-@query("s31_graphml_sink", "name:l nodes:l edges:l", "select name, count(*) as nodes, count(*) - 1 as edges from vecs group by 1", "vecs")
+def _graph_counts(pdfs):
+    """Nodes, edges and weights that an XML parser finds in each file."""
+    for pdf in pdfs:
+        rows = []
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            graph = ElementTree.fromstring(content)
+            tag = "{http://graphml.graphdrawing.org/xmlns}"
+            rows.append((int(path.rsplit("/", 1)[1].split(".")[0]), len(graph.findall(f".//{tag}node")), len(graph.findall(f".//{tag}edge")), sum(float(x.text) for x in graph.findall(f".//{tag}data"))))
+        yield pd.DataFrame(rows, columns=["name", "nodes", "edges", "total"])
+
+
+@query("s31_graphml_sink", "name:l nodes:l edges:l total:d", """
+with n as (select name, count(*) as nodes from vecs group by 1), e as (select name, count(*) as edges, sum(w) as total from (select *, row_number() over (partition by name, i order by w desc, j) as r from attn) where r <= 5 and i <> j group by 1)
+select n.name, nodes, edges, total from n join e on e.name = n.name""", "vecs", "attn")
 def _(spark, d):
     path = scratch_path(spark, "s31")
-    edges = attn(spark, d).where("j = i + 1").select("name", F.col("i").alias("src"), F.col("j").alias("dst"), "w")
-    sinks.write_graphml(edges, vecs(spark, d), path)
-    count = lambda tag: F.regexp_count("value", F.lit(f"<{tag} "))
-    return spark.read.text(path).select("name", count("node").alias("nodes"), count("edge").alias("edges"))
+    sinks.write_graphml(attention.sparse_graph(attn(spark, d), "topk", k=5), vecs(spark, d), path)
+    return spark.read.format("binaryFile").load(f"{path}/*.graphml").mapInPandas(_graph_counts, "name long, nodes long, edges long, total double")
+
+
+def _matrix_sums(pdfs):
+    for pdf in pdfs:
+        matrices = [np.load(io.BytesIO(x)) for x in pdf["content"]]
+        names = [int(p.rsplit("/", 1)[1].split(".")[0]) for p in pdf["path"]]
+        yield pd.DataFrame({"name": names, "n": [m.size for m in matrices], "total": [m.sum() for m in matrices], "corner": [m[0, -1] for m in matrices]})
 
 
-@query("s32_matrix_sink", "name:l n:l total:d", "select name, count(*) as n, sum(w) as total from attn group by 1", "attn")
+@query("s32_matrix_sink", "name:l n:l total:d corner:d", "select name, count(*) as n, sum(w) as total, arg_max(w, j) filter (i = 0) as corner from attn group by 1", "attn")
 def _(spark, d):
     path = scratch_path(spark, "s32")
-    sinks.write_matrix(attn(spark, d), path)
-    return spark.read.parquet(path).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"))
+    sinks.write_npy(attn(spark, d), path)
+    return spark.read.format("binaryFile").load(f"{path}/*.npy").mapInPandas(_matrix_sums, "name long, n long, total double, corner double")
 
 
 @query("s33_text_report", "line:l text:s", """

@@ -7,7 +7,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars
 from ..operators import attention as at
-from ..operators import checks, clustering, estimators, kernels, sampling
+from ..operators import checks, clustering, crf, estimators, kernels, patches, sampling
 from ..sources.tables import table
 from .attention_queries import _seqs
 from .bindings import attn, query, res, series, vecs
@@ -95,9 +95,31 @@ def _(spark, d):
     return kernels.component_summary(attn(spark, d).where("w >= 0.023").withColumn("component", F.lit(0)))
 
 
-@query("g17_patch_motifs", "name:s motif:l patches:l mean:d")
+@query("g17_patch_motifs", "name:s motif:l patches:l distance:d")
 def _(spark, d):
-    return kernels.patch_motifs(attn(spark, d))
+    assigned, _ = patches.patch_motifs(attn(spark, d))
+    return assigned.groupBy("name", "motif").agg(F.count(F.lit(1)).alias("patches"), F.avg("distance").alias("distance"))
+
+
+@query("g17_patch_prototypes", "motif:l row:l column:l value:d")
+def _(spark, d):
+    return patches.patch_motifs(attn(spark, d))[1]
+
+
+@query("g17_patch_totals", "name:l patches:l mean_distance:d", """
+with n as (select name, max(i) + 1 as n from attn group by 1) select n.name, (n - 4) * (n - 4) as patches, s.m as mean_distance from n join (select a.name, avg(abs(a.i - a.j)) as m from attn a join n on n.name = a.name where a.i between 2 and n - 3 and a.j between 2 and n - 3 group by 1) s on s.name = n.name""", "attn")
+def _(spark, d):
+    assigned, _ = patches.patch_motifs(attn(spark, d))
+    return assigned.groupBy("name").agg(F.count(F.lit(1)).alias("patches"), F.avg(F.abs(F.col("i") - F.col("j"))).alias("mean_distance"))
+
+
+@query("g17_motif_classes", "motif:l category:s patches:l share:d mean_distance:d", """
+with n as (select name, max(i) + 1 as n from attn group by 1), p as (select a.name, a.i, a.j, (a.i + 2 * a.j) % 3 as motif, a.w from attn a join n on n.name = a.name where a.i between 2 and n - 3 and a.j between 2 and n - 3),
+c as (select motif, r.cat as category, count(*) as patches, sum(abs(p.i - p.j)) as far from p left join res r on r.name = p.name and r.i = p.i group by 1, 2)
+select motif, category, patches, case when category is not null then patches / sum(patches) filter (category is not null) over (partition by motif) end as share, sum(far) over (partition by motif) / sum(patches) over (partition by motif) as mean_distance from c""", "attn", "res")
+def _(spark, d):
+    p = patches.patches(attn(spark, d)).select("name", "i", "j", ((F.col("i") + 2 * F.col("j")) % 3).alias("motif"))
+    return patches.motif_classes(p, res(spark, d), "cat")
 
 
 @query("g16_stacked_pca", "name:s pc:l score:d variance_ratio:d")
@@ -108,7 +130,7 @@ def _(spark, d):
 @query("a37_bootstrap_mean", "key:s n:l mean:d low:d high:d")
 def _(spark, d):
     m = series(spark, d).groupBy("name", F.col("cat").alias("key")).agg(F.avg("value").alias("x"))
-    return kernels.bootstrap_mean(m, "x", "key")
+    return kernels.bootstrap_mean(m, "x", "key", ["name", "key"])
 
 
 @query("f33_f34_encoded_labels", "name:l i:l code:l tick:s", """
@@ -157,6 +179,16 @@ def _(spark, d):
     return spark.createDataFrame(list(zip(grid, map(float, found.avgMetrics), strict=True)), "reg double, accuracy double")
 
 
+@query("m5_crf_grid", "c1:d c2:d n:l accuracy:d")
+def _(spark, d):
+    x, c, v = sampling.group_split(_features(spark, d), F.col("name").cast("string")), ["cat", "prev_1_cat", "next_1_cat"], ["rel_pos"]
+    grid = [(c1, c2) for c1 in (0.01, 1.0, 100.0) for c2 in (0.01, 1.0, 100.0)]
+    models = crf.fit_grid(x.where("split = 'train'"), "label", c, v, grid, rounds=40)
+    points = F.broadcast(spark.createDataFrame([(n, *p) for n, p in enumerate(grid)], "model int, c1 double, c2 double"))
+    found = crf.predict(x.where("split = 'test'"), models, "label", c, v).where("label is not null")
+    return found.join(points, "model").groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("int")).alias("accuracy"))
+
+
 @query("o12_sequence_clusters", "representative:l name:l")
 def _(spark, d):
     return clustering.sequence_clusters(_seqs(spark, d), every=4)

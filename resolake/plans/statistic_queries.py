@@ -28,8 +28,8 @@ def _(spark, d):
 with s as (select name, i, floor(value / 20) as x, i % 5 as y from series), p as (select a.name, sign(a.x - b.x) as sx, sign(a.y - b.y) as sy from s a join s b on a.name = b.name and a.i < b.i)
 select name, sum(sx * sy) / nullif(sqrt(sum(abs(sx)) * sum(abs(sy))), 0) as tau_b from p group by 1""", "series")
 def _(spark, d):
-    s = series(spark, d).select("name", "i", F.floor(F.col("value") / 20).alias("x"), (F.col("i") % 5).alias("y"))
-    return statistics.kendall_tau_b(s, "x", "y", "i", ["name"])
+    s = series(spark, d).select("name", F.floor(F.col("value") / 20).alias("x"), (F.col("i") % 5).alias("y"))
+    return statistics.kendall_tau_b(s, "x", "y", ["name"])
 
 
 @query("e5_point_biserial", "n:l r:d", "select count(*) as n, corr(n_chars, quality) as r from documents d join labels l on l.doc_id = d.doc_id")

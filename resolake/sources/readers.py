@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_header, nan_to_null, safe_ln
+from .json_arrays import read_records, record_texts
 
 _LIST = "array<double>"
 
@@ -98,7 +99,7 @@ ATTENTION_SCHEMA = "name string, sequence string, attention_weights array<array<
 
 def attention_records(spark: SparkSession, path: str, tolerant: bool = True) -> DataFrame:
     """Records of a JSON array with a matrix; without `tolerant`, a record that lacks name or matrix is an error."""
-    t = spark.read.schema(ATTENTION_SCHEMA).json(path, multiLine=True)
+    t = read_records(spark, path, ATTENTION_SCHEMA)
     missing = F.col("name").isNull() | F.col("attention_weights").isNull()
     if tolerant:
         return t.where(~missing).withColumn("sequence", F.coalesce("sequence", F.lit("")))
@@ -106,13 +107,13 @@ def attention_records(spark: SparkSession, path: str, tolerant: bool = True) ->
 
 
 INTERPRO_SCHEMA = (
-    "results array<struct<sequence:string,md5:string,xref:array<struct<id:string,name:string>>,matches:array<struct<locations:array<struct<start:int,`end`:int,"
-    "sites:array<struct<description:string,siteLocations:array<struct<start:int,`end`:int,residue:string>>>>>>>>>>"
+    "struct<sequence:string,md5:string,xref:array<struct<id:string,name:string>>,matches:array<struct<locations:array<struct<start:int,`end`:int,"
+    "sites:array<struct<description:string,siteLocations:array<struct<start:int,`end`:int,residue:string>>>>>>>>>"
 )
 
 
 def _results(spark: SparkSession, path: str) -> DataFrame:
-    t = spark.read.schema(INTERPRO_SCHEMA).json(path, multiLine=True).select(F.explode("results").alias("r"))
+    t = record_texts(spark, path, depth=2).select(F.from_json("text", INTERPRO_SCHEMA).alias("r"))  # an object with the array of results
     first = F.try_element_at("r.xref", F.lit(1)).getField("id")
     return t.select(first.alias("xref"), F.coalesce(first, "r.md5").alias("name"), F.explode_outer("r.matches").alias("m")).select("xref", "name", F.explode_outer("m.locations").alias("loc"))
 

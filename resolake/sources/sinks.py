@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .file_writer import write_grouped
+
 
 def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
     """A headed CSV, quotes doubled as readers expect; `single` puts small result tables into one file."""
@@ -21,19 +23,18 @@ def write_fasta(df: DataFrame, path: str, name: str = "domain", seq: str = "sequ
     df.select(F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col(seq)).alias("value")).write.mode("overwrite").text(path)
 
 
-def graphml(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(name, graphml): one directed weighted GraphML text a graph, from its own edges and nodes."""
-    esc = lambda c: F.col(c).cast("string")
-    node = F.format_string('<node id="%s"/>', esc("i"))
-    edge = F.format_string('<edge source="%s" target="%s"><data key="weight">%s</data></edge>', esc("src"), esc("dst"), esc("w"))
-    n = nodes.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", node.alias("x")))), lambda r: r["x"]), "").alias("_n"))
-    e = edges.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("src", "dst", edge.alias("x")))), lambda r: r["x"]), "").alias("_e"))
-    head = '<?xml version="1.0" encoding="utf-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="weight" for="edge" attr.name="weight" attr.type="double"/><graph edgedefault="directed">'
-    return n.join(e, "name", "left").select("name", F.concat(F.lit(head), "_n", F.coalesce("_e", F.lit("")), F.lit("</graph></graphml>")).alias("graphml"))
+def write_graphml(edges: DataFrame, nodes: DataFrame, path: str) -> None:
+    """One directed weighted GraphML file a graph: <name>.graphml, nodes by number, then edges."""
+    none = F.lit(None)
+    n = nodes.select(F.col("name").cast("string").alias("name"), F.lit(0).alias("kind"), F.col("i").cast("long").alias("a"), none.cast("long").alias("b"), none.cast("double").alias("w"))
+    e = edges.select(F.col("name").cast("string").alias("name"), F.lit(1).alias("kind"), F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"), F.col("w").cast("double").alias("w"))
+    write_grouped(n.unionByName(e), path, "graphml", ["kind", "a", "b"])
 
 
-def write_graphml(edges: DataFrame, nodes: DataFrame, path: str) -> None:
-    graphml(edges, nodes).write.mode("overwrite").partitionBy("name").text(path)
+def write_npy(matrix: DataFrame, path: str) -> None:
+    """One .npy file a matrix of (name, i, j, w): <name>.npy, float64; cells that are not given are 0."""
+    cells = matrix.select(F.col("name").cast("string").alias("name"), F.col("i").cast("long").alias("a"), F.col("j").cast("long").alias("b"), F.coalesce(F.col("w").cast("double"), F.lit(0.0)).alias("w"))
+    write_grouped(cells, path, "npy", ["a", "b"])
 
 
 def graph_records(edges: DataFrame, proteins: DataFrame) -> DataFrame:
@@ -42,11 +43,6 @@ def graph_records(edges: DataFrame, proteins: DataFrame) -> DataFrame:
     return proteins.join(e, "name", "left").select(F.col("name").alias("id"), "sequence", F.length("sequence").alias("length"), F.coalesce("edges", F.array().cast("array<struct<source:int,target:int,weight:double>>")).alias("edges"))
 
 
-def write_matrix(df: DataFrame, path: str) -> None:
-    """A long matrix table as Parquet."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def text_report(rows: list[dict], latex: bool = False) -> str:
     """A small result table, already on the driver, as plain text or a LaTeX tabular."""
     if not rows:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.joining import first_wins
@@ -31,10 +33,33 @@ def append_new(batch: DataFrame, path: str, key: str, order: list[str], process:
     process(new).write.mode("append").parquet(path)
 
 
+def _first_of_new(columns: list[str], order: list[str]):
+    """For applyInPandasWithState: the first row of a key that no batch had before, after which the key's state says so."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        best = None
+        for pdf in parts:
+            best = pd.concat([best, pdf]) if best is not None else pdf
+            best = best.sort_values(order, kind="stable").iloc[:1]
+        state.update((True,))
+        yield best[columns]
+
+    return run
+
+
 def stream_new(spark: SparkSession, source: str, schema: str, path: str, checkpoint: str, key: str, order: list[str], process: Callable[[DataFrame], DataFrame] = lambda x: x, files_per_batch: int = 50):
-    """Start a query over new files of a folder, in micro-batches of so many files, until none are left."""
+    """Start a query over new files of a folder, in micro-batches of so many files, until none are left.
+
+    Keys that are done are state of the query, kept by key with its checkpoint,
+    so a batch reads its own files only. A batch that failed runs again with the
+    state and files that it had, and the sink takes each batch once. Rows with a
+    null key count as one key. process must go row by row (no aggregates).
+    """
     files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return files.writeStream.foreachBatch(lambda df, _: append_new(df, path, key, order, process)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = files.groupBy(key).applyInPandasWithState(_first_of_new(files.columns, order), files.schema, "done boolean", "append", GroupStateTimeout.NoTimeout)
+    return process(new).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:

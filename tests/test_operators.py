@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resolake.functions import pvalues, scalars
-from resolake.operators import attention, contingency, estimators, joining, kernels, positions, sampling, statistics
+from resolake.operators import attention, contingency, estimators, joining, kernels, patches, positions, sampling, statistics
 
 A = [[0.1, 0.2, 0.3, 0.4], [0.25] * 4, [0.4, 0.3, 0.2, 0.1], [0.0, 0.0, 0.0, 1.0]]
 SS = "HHEC"
@@ -91,7 +91,43 @@ def test_kendall_against_pairs(spark):
         for q in range(p):
             dx, dy = np.sign(rows[p][2] - rows[q][2]), np.sign(rows[p][3] - rows[q][3])
             s, nx, ny = s + dx * dy, nx + (dx != 0), ny + (dy != 0)
-    assert statistics.kendall_tau_b(t, "x", "y", "i", ["name"]).first().tau_b == pytest.approx(s / math.sqrt(nx * ny))
+    assert statistics.kendall_tau_b(t, "x", "y", ["name"]).first().tau_b == pytest.approx(s / math.sqrt(nx * ny))
+
+
+def test_kendall_of_ties_nulls_and_many_rows(spark):
+    rng = np.random.default_rng(2)
+    for n, kinds in ((2, 2), (7, 3), (60, 5), (61, 1000)):
+        x, y = rng.integers(0, kinds, n).astype(float), rng.integers(0, kinds, n).astype(float)
+        t = spark.createDataFrame([("k", float(a), float(b)) for a, b in zip(x, y, strict=True)] + [("k", None, 1.0), ("one", 1.0, 1.0)], "name string, x double, y double")
+        dx, dy = np.sign(np.subtract.outer(x, x)), np.sign(np.subtract.outer(y, y))
+        under = math.sqrt(float((dx != 0).sum()) * float((dy != 0).sum()))
+        (got,) = statistics.kendall_tau_b(t, "x", "y", ["name"]).collect()
+        assert got.name == "k" and got.tau_b == (pytest.approx((dx * dy).sum() / under) if under else None)
+    # a key of 300,000 rows without equal values: y falls in pairs of x, so one pair in (n - 1) is discordant
+    n = 300_000
+    swapped = F.col("id") + F.when(F.col("id") % 2 == 0, 1).otherwise(-1)
+    got = statistics.kendall_tau_b(spark.range(n).select("id", swapped.alias("y")), "id", "y").first().tau_b
+    assert got == pytest.approx(1 - 2 * (n / 2) / (n * (n - 1) / 2))
+
+
+def test_curves_over_many_scores(spark):
+    """Sums by ranges of scores against plain sums, without keys."""
+    rng = np.random.default_rng(6)
+    label = rng.integers(0, 2, 3000)
+    score = np.round(rng.normal(label, 2.0), 2)
+    t = spark.createDataFrame([(float(s), int(c)) for s, c in zip(score, label, strict=True)] + [(None, 1), (1.0, None)], "score double, label int").repartition(5)
+    points = {r.threshold: r for r in statistics.curve_points(t, "score", "label").collect()}
+    assert sorted(points) == sorted(set(score.tolist()))
+    for s, r in points.items():
+        tp, fp = int(label[score >= s].sum()), int((1 - label)[score >= s].sum())
+        assert (r.tp, r.fp, r.precision) == (tp, fp, pytest.approx(tp / (tp + fp)))
+        assert r.tpr_before == pytest.approx(label[score > s].sum() / label.sum())
+    above = np.subtract.outer(score[label == 1], score[label == 0])
+    auc = ((above > 0) + 0.5 * (above == 0)).mean()
+    assert statistics.roc_auc(t, "score", "label").first().auc == pytest.approx(auc)
+    assert statistics.trapezoid_auc(statistics.curve_points(t, "score", "label")).first().auc == pytest.approx(auc)
+    assert statistics.pearson(t, "score", "label").first().r == pytest.approx(np.corrcoef(score, label)[0, 1])
+    assert tuple(statistics.pearson(t.limit(0), "score", "label").first()) == (0, None)
 
 
 def test_tabulated_tails():
@@ -230,7 +266,11 @@ def test_bootstrap_interval_is_that_of_the_mean(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(3.0, 2.0, 400)
     frame = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0), ("b", None)], "key string, x double").repartition(3)
-    got = {r.key: r for r in kernels.bootstrap_mean(frame, "x", "key").collect()}
+    frame = frame.withColumn("row", F.monotonically_increasing_id())
+    frame = spark.createDataFrame(frame.collect(), frame.schema)
+    found = [sorted(kernels.bootstrap_mean(frame.repartition(n), "x", "key", ["row"]).collect()) for n in (1, 7)]
+    assert all(a[:3] == b[:3] and a[3:] == (pytest.approx(b[3:], rel=1e-12) if b.n > 9 else b[3:]) for a, b in zip(*found, strict=True))
+    got = {r.key: r for r in found[0]}
     assert got["a"].n == 400 and got["a"].mean == pytest.approx(x.mean())
     half = 1.96 * x.std() / 20
     assert got["a"].low == pytest.approx(x.mean() - half, abs=0.06) and got["a"].high == pytest.approx(x.mean() + half, abs=0.06)
@@ -318,10 +358,31 @@ def test_patch_motifs_find_planted_patches(spark):
     rng = np.random.default_rng(5)
     kinds = np.array([[0, 1, 0], [1, 1, 0], [0, 0, 1]])
     a = np.kron(kinds, np.ones((4, 4))) * 4 + rng.random((12, 12)) * 1e-3
-    got = sorted((r.patches, r.mean) for r in kernels.patch_motifs(_frame(spark, {"m": a}), size=1, motifs=2).collect())
-    assert [n for n, _ in got] == [64, 80]
-    assert [m for _, m in got] == pytest.approx([a[a > 2].mean(), a[a < 2].mean()])
-    assert kernels.patch_motifs(_frame(spark, {"m": a[:3, :3]}), size=5).count() == 0
+    assigned, prototypes = patches.patch_motifs(_frame(spark, {"m": a}), size=1, motifs=2)
+    cells = [(a[r.i, r.j] > 2, r.motif) for r in assigned.collect()]
+    assert len(cells) == 144 and set(cells) == {(False, 0), (True, 1)} and sum(high for high, _ in cells) == 64
+    z = (a - a.mean()) / a.std()
+    assert [r.value for r in prototypes.orderBy("motif").collect()] == pytest.approx([z[a < 2].mean(), z[a > 2].mean()])
+    assigned, prototypes = patches.patch_motifs(_frame(spark, {"m": a[:3, :3]}), size=5)
+    assert assigned.count() == prototypes.count() == 0
+
+
+def test_every_patch_is_there(spark):
+    """Whole patches of two matrices, one with cells left out, against plain slices; scaled places against plain deviations."""
+    rng = np.random.default_rng(8)
+    a, b = rng.random((9, 9)), rng.random((6, 6))
+    b[2, 3] = b[5, 5] = 0.0
+    frame = _frame(spark, {"a": a, "b": b}).where("not (name = 'b' and (i, j) in ((2, 3)))")
+    got = {(r.name, r.i, r.j): r.patch for r in patches.patches(frame, 5).collect()}
+    want = {(n, i, j): m[i - 2 : i + 3, j - 2 : j + 3].ravel().tolist() for n, m in (("a", a), ("b", b)) for i in range(2, len(m) - 2) for j in range(2, len(m) - 2)}
+    assert got == want
+    scaled = {(r.name, r.i, r.j): r.patch for r in patches.scaled_patches(patches.patches(frame, 5)).collect()}
+    for name in "ab":
+        x = np.array([v for k, v in sorted(want.items()) if k[0] == name])
+        z = np.array([v for k, v in sorted(scaled.items()) if k[0] == name])
+        assert z == pytest.approx((x - x.mean(0)) / x.std(0))
+    with pytest.raises(ValueError, match="odd"):
+        patches.patches(frame, 4)
 
 
 def test_background_subclusters_split_blocks(spark):

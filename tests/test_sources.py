@@ -1,12 +1,15 @@
 """Readers, writers and resumable processing on small files."""
 
 import json
+from urllib.parse import unquote
+from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from resolake.operators import attention
-from resolake.sources import readers, sinks
+from resolake.sources import json_arrays, readers, sinks
 from resolake.streaming import resume
 
 
@@ -73,14 +76,67 @@ def test_rmsf_and_aliases(spark, tmp_path):
 
 
 def test_graph_writers(spark, tmp_path):
-    edges = spark.createDataFrame([("g", 0, 1, 0.5)], "name string, src int, dst int, w double")
-    nodes = spark.createDataFrame([("g", 0), ("g", 1), ("h", 0)], "name string, i int")
-    text = {r.name: r.graphml for r in sinks.graphml(edges, nodes).collect()}
-    assert '<edge source="0" target="1"><data key="weight">0.5</data></edge>' in text["g"] and "<edge" not in text["h"]
-    sinks.write_graphml(edges, nodes, str(tmp_path / "g"))
-    rec = sinks.graph_records(edges, spark.createDataFrame([("g", "AC")], "name string, sequence string")).first()
+    edges = spark.createDataFrame([("g/<&", 0, 1, 0.5), ("g/<&", 1, 0, None)], "name string, src int, dst int, w double")
+    nodes = spark.createDataFrame([("g/<&", 0), ("g/<&", 1), ("h", 0)], "name string, i int")
+    for _ in range(2):  # earlier files are replaced
+        sinks.write_graphml(edges, nodes, str(tmp_path / "g"))
+    files = {unquote(f.stem): ElementTree.parse(f).getroot() for f in (tmp_path / "g").iterdir()}
+    tag = "{http://graphml.graphdrawing.org/xmlns}"
+    assert {n: (len(x.findall(f".//{tag}node")), [(e.get("source"), e.get("target"), e.findtext(f"{tag}data")) for e in x.findall(f".//{tag}edge")]) for n, x in files.items()} == {"g/<&": (2, [("0", "1", "0.5"), ("1", "0", None)]), "h": (1, [])}
+    rec = sinks.graph_records(edges, spark.createDataFrame([("g/<&", "AC")], "name string, sequence string")).first()
     assert rec.length == 2 and rec.edges[0].weight == 0.5
-    assert attention.degrees(edges, nodes).agg(F.sum("in_degree")).first()[0] == 1
+    assert attention.degrees(edges, nodes).agg(F.sum("in_degree")).first()[0] == 2
+
+
+def test_matrix_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    want = {f"m{k}": rng.random((k + 1, 2 * k + 1)) for k in range(6)}
+    cells = [(n, i, j, float(m[i, j])) for n, m in want.items() for i, j in np.ndindex(m.shape)]
+    frame = spark.createDataFrame(cells[::-1], "name string, i int, j int, w double").repartition(5)
+    out = tmp_path / "npy"
+    sinks.write_npy(frame, str(out))
+    assert {f.stem: np.load(f).tolist() for f in out.iterdir()} == {n: m.tolist() for n, m in want.items()}
+
+    fails = F.when((F.col("name") == "m5") & (F.col("i") == 4), F.raise_error(F.lit("broken cell")).cast("double")).otherwise(F.col("w"))
+    with pytest.raises(Exception, match="broken cell"):
+        sinks.write_npy(frame.withColumn("w", fails), str(tmp_path / "failed"))
+    assert list((tmp_path / "failed").rglob("*")) == [] or not (tmp_path / "failed").exists()
+    sinks.write_npy(frame.limit(0), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").rglob("*.npy"))
+
+
+RECORDS = [{"id": k, "note": 'quote " brace { bracket ] back\\slash \\" é{', "m": [[k, 1.5], [2, {"deep": "}]"}]], "o": {"a": {"b": []}}} for k in range(40)] + [{}, {"id": None, "note": "{" * 50}]
+
+
+@pytest.mark.parametrize("split", [60, 200, 1000, 1 << 20])
+@pytest.mark.parametrize(("wrap", "depth"), [(False, 1), (True, 2)])
+def test_json_arrays_at_any_split_size(spark, tmp_path, split, wrap, depth):
+    """Strings full of marks, nested objects and records longer than a split; three files."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for n, indent in enumerate((None, 1, 3)):
+        doc = {"before": "[{", "results": RECORDS, "n": 1} if wrap else RECORDS
+        (tmp_path / f"{n}.json").write_text(json.dumps(doc, indent=indent, ensure_ascii=n == 1))
+    (tmp_path / "empty.json").write_text("[]")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        frame = json_arrays.record_texts(spark, str(tmp_path), depth)
+        got = [r.text for r in frame.collect()]
+        tasks = json_arrays._fragments(spark, str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(json.dumps(json.loads(x)) for x in got) == sorted(json.dumps(x) for x in RECORDS * 3)
+    assert tasks > 10 or split > 1000
+
+
+def test_json_arrays_round_trip(spark, tmp_path):
+    frame = spark.createDataFrame([(k, f"x{k}{{", [[1.0, k * 0.5]]) for k in range(50)], "k int, s string, m array<array<double>>").repartition(3)
+    for wrap, depth in ((None, 1), ("results", 2)):
+        path = tmp_path / str(wrap)
+        json_arrays.write_arrays(frame, str(path), wrap)
+        for f in path.glob("part-*"):
+            json.loads(f.read_text())
+        back = json_arrays.read_records(spark, str(path), "k int, s string, m array<array<double>>", depth)
+        assert sorted(back.collect()) == sorted(frame.collect())
 
 
 def test_summaries_and_reports(spark):
@@ -109,6 +165,35 @@ def test_stream_resumes(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("a", 0), ("k0", 0), ("k1", 1)]
 
 
+def test_stream_resumes_after_a_failed_batch(spark, tmp_path):
+    """A batch that fails half way and runs again gives what an undisturbed run gives; done keys are state, not read from the output."""
+    rows = [[(f"k{(7 * n + m) % 25}", 100 * n + m) for m in range(20)] for n in range(4)]
+
+    def feed(name, n):
+        spark.createDataFrame(rows[n], "key string, v int").repartition(3).write.mode("append").parquet(str(tmp_path / name))
+
+    def run(name, process=lambda x: x):
+        resume.stream_new(spark, str(tmp_path / name), "key string, v int", str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-ck"), "key", ["v"], process).awaitTermination()
+
+    def breaks(df):
+        return df.withColumn("v", F.when(F.col("v") % 100 > 9, F.raise_error(F.lit("half way")).cast("int")).otherwise(F.col("v")))
+
+    for n in range(4):
+        feed("plain", n)
+        run("plain")
+        feed("broken", n)
+        if n == 1:
+            with pytest.raises(Exception, match="half way"):
+                run("broken", breaks)
+        run("broken")
+    out = {name: sorted(map(tuple, spark.read.parquet(str(tmp_path / f"{name}-out")).collect())) for name in ("plain", "broken")}
+    first = {}
+    for batch in rows:
+        for k, v in sorted(batch, key=lambda r: r[1]):
+            first.setdefault(k, v)
+    assert out["plain"] == out["broken"] == sorted(first.items())
+
+
 def test_cache_is_read_through(spark, tmp_path):
     calls = []
     make = lambda: calls.append(1) or spark.range(3)
