@@ -216,7 +216,7 @@ def _graph_counts(pdfs):
 
 
 @query("s31_graphml_sink", "name:l nodes:l edges:l total:d", """
-with n as (select name, count(*) as nodes from vecs group by 1), e as (select name, count(*) as edges, sum(w) as total from (select *, row_number() over (partition by name, i order by w desc, j) as r from attn) where r <= 5 and i <> j group by 1)
+with n as (select name, count(*) as nodes from vecs group by 1), e as (select name, count(*) as edges, sum(w) as total from (select *, row_number() over (partition by name, i order by w desc, j) as r from attn) where r <= 5 group by 1)
 select n.name, nodes, edges, total from n join e on e.name = n.name""", "vecs", "attn")
 def _(spark, d):
     path = scratch_path(spark, "s31")

@@ -7,7 +7,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars
 from ..operators import attention as at
-from ..operators import checks, clustering, crf, estimators, kernels, patches, sampling
+from ..operators import checks, clustering, crf, embedding, estimators, kernels, patches, sampling
 from ..sources.tables import table
 from .attention_queries import _seqs
 from .bindings import attn, query, res, series, vecs
@@ -127,6 +127,12 @@ def _(spark, d):
     return kernels.stacked_pca(attn(spark, d))
 
 
+@query("g16_stacked_tsne", "name:s a:d b:d")
+def _(spark, d):
+    scores = kernels.stacked_pca(attn(spark, d), components=8).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("pc", "score"))).alias("p"))
+    return embedding.tsne(scores.select("name", F.col("p.score").alias("x")), rounds=60)
+
+
 @query("a37_bootstrap_mean", "key:s n:l mean:d low:d high:d")
 def _(spark, d):
     m = series(spark, d).groupBy("name", F.col("cat").alias("key")).agg(F.avg("value").alias("x"))
