@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import Scratch
+from .minimise import Minimiser
 
 #: Features of a model; more are an error, as models are held by the driver and sent to every task.
 MAX_FEATURES = 200_000
@@ -149,62 +150,6 @@ def viterbi(b: _Batch, unary: np.ndarray, transitions: np.ndarray) -> np.ndarray
     return out
 
 
-class Minimiser:
-    """L-BFGS, orthant-wise where there is an L1 part; asks for the value and gradient of the smooth part at `trial`."""
-
-    def __init__(self, size: int, c1: float, memory: int = 8, tolerance: float = 1e-4):
-        self.c1, self.memory, self.tolerance = c1, memory, tolerance
-        self.x = self.trial = np.zeros(size)
-        self.value, self.done, self.past = None, False, []
-
-    def _slope(self, x: np.ndarray, g: np.ndarray) -> np.ndarray:
-        """The gradient with the L1 part's, of the least size where it has a choice."""
-        up, down = g + self.c1, g - self.c1
-        return np.where(x > 0, up, np.where(x < 0, down, np.where(up < 0, up, np.where(down > 0, down, 0.0))))
-
-    def _direction(self) -> np.ndarray:
-        q, kept = self.slope.copy(), []
-        for s, y in reversed(self.past):
-            a = (s @ q) / (s @ y)
-            kept.append(a)
-            q -= a * y
-        if self.past:
-            s, y = self.past[-1]
-            q *= (s @ y) / (y @ y)
-        for (s, y), a in zip(self.past, reversed(kept), strict=True):
-            q += s * (a - (y @ q) / (s @ y))
-        d = -q
-        if self.c1:
-            d[d * self.slope >= 0] = 0
-        return d
-
-    def _propose(self) -> None:
-        self.trial = self.x + self.step * self.d
-        if self.c1:
-            side = np.where(self.x != 0, np.sign(self.x), -np.sign(self.slope))
-            self.trial[self.trial * side <= 0] = 0
-
-    def tell(self, value: float, gradient: np.ndarray) -> None:
-        value += self.c1 * np.abs(self.trial).sum()
-        if self.value is not None:
-            moved = self.trial - self.x
-            if value > self.value + 1e-4 * (self.slope @ moved):
-                self.step /= 2
-                self.done = self.step < 1e-12
-                return self._propose()
-            change = gradient - self.gradient
-            if moved @ change > 1e-10:
-                self.past = [*self.past[-self.memory + 1 :], (moved, change)]
-        self.x, self.value, self.gradient = self.trial, value, gradient
-        self.slope = self._slope(self.x, gradient)
-        self.done = np.linalg.norm(self.slope) <= self.tolerance * max(1.0, np.linalg.norm(self.x))
-        self.d = self._direction()
-        if self.d @ self.slope >= 0:
-            self.past, self.d = [], -self.slope
-        self.step = 1.0 if self.past else 1 / max(np.linalg.norm(self.slope), 1.0)
-        return self._propose()
-
-
 def _evaluate(sequences: DataFrame, features: list[str], labels: list[str], k: int, points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
     """Loss and gradient at each point; tasks sum their own sequences, Spark sums tasks by weight."""
     size = len(features) * len(labels)

@@ -23,11 +23,11 @@ def neighbour_features(df: DataFrame, value: str, category: str, k: int = 1) ->
     return x.join(cats.select("name", "i", *[F.col(c).alias(f"{c}_cat") for c in names]), ["name", "i"])
 
 
-def feature_pipeline(numeric: list[str], categorical: list[str], estimator) -> Pipeline:
+def feature_pipeline(numeric: list[str], categorical: list[str], estimator=None) -> Pipeline:
     index = [StringIndexer(inputCol=c, outputCol=f"_{c}_n", handleInvalid="keep") for c in categorical]
     hot = [OneHotEncoder(inputCols=[f"_{c}_n" for c in categorical], outputCols=[f"_{c}_v" for c in categorical])] if categorical else []
     pack = VectorAssembler(inputCols=[*numeric, *[f"_{c}_v" for c in categorical]], outputCol="features")
-    return Pipeline(stages=[*index, *hot, pack, estimator])
+    return Pipeline(stages=[*index, *hot, pack, *([estimator] if estimator is not None else [])])
 
 
 def logistic(label: str = "label", **params) -> LogisticRegression:

@@ -7,7 +7,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars
 from ..operators import attention as at
-from ..operators import checks, clustering, crf, embedding, estimators, kernels, patches, sampling
+from ..operators import checks, clustering, crf, embedding, estimators, grid, kernels, patches, sampling
 from ..sources.tables import table
 from .attention_queries import _seqs
 from .bindings import attn, query, res, series, vecs
@@ -176,21 +176,19 @@ def _(spark, d):
     return _fitted(spark, d, estimators.forest())
 
 
-@query("m3_grid_search", "reg:d accuracy:d")
+@query("m3_grid_search", "max_iter:l c:d penalty:s tol:d balanced:b accuracy:d")
 def _(spark, d):
-    lr = estimators.logistic(maxIter=10)
-    pipe = estimators.feature_pipeline(["prev_1", "next_1", "rel_pos"], ["cat"], lr)
-    grid = [0.0, 0.1]
-    found = estimators.grid_search(pipe, lr, {"regParam": grid}, folds=3).fit(_features(spark, d))
-    return spark.createDataFrame(list(zip(grid, map(float, found.avgMetrics), strict=True)), "reg double, accuracy double")
+    x = _features(spark, d)
+    pipe = estimators.feature_pipeline(["prev_1", "next_1", "rel_pos"], ["cat"])
+    return grid.logistic_grid(pipe.fit(x).transform(x), "features", "label", ["name", "i"])
 
 
 @query("m5_crf_grid", "c1:d c2:d n:l accuracy:d")
 def _(spark, d):
     x, c, v = sampling.group_split(_features(spark, d), F.col("name").cast("string")), ["cat", "prev_1_cat", "next_1_cat"], ["rel_pos"]
-    grid = [(c1, c2) for c1 in (0.01, 1.0, 100.0) for c2 in (0.01, 1.0, 100.0)]
-    models = crf.fit_grid(x.where("split = 'train'"), "label", c, v, grid, rounds=40)
-    points = F.broadcast(spark.createDataFrame([(n, *p) for n, p in enumerate(grid)], "model int, c1 double, c2 double"))
+    penalties = [(c1, c2) for c1 in (0.01, 1.0, 100.0) for c2 in (0.01, 1.0, 100.0)]
+    models = crf.fit_grid(x.where("split = 'train'"), "label", c, v, penalties, rounds=40)
+    points = F.broadcast(spark.createDataFrame([(n, *p) for n, p in enumerate(penalties)], "model int, c1 double, c2 double"))
     found = crf.predict(x.where("split = 'test'"), models, "label", c, v).where("label is not null")
     return found.join(points, "model").groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("int")).alias("accuracy"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from resolake.operators import crf as C
 from resolake.operators import estimators
+from resolake.operators.minimise import Minimiser
 
 
 def batch(rng, lengths, features, labels, k=2):
@@ -49,7 +50,7 @@ def test_minimiser_finds_the_least(c1):
     """A quadratic whose least point is known by coordinate: soft thresholds."""
     rng = np.random.default_rng(2)
     scale, at = rng.uniform(0.5, 20, 30), rng.normal(size=30)
-    m = C.Minimiser(30, c1, tolerance=1e-8)
+    m = Minimiser(30, c1, tolerance=1e-8)
     for _ in range(300):
         if m.done:
             break
