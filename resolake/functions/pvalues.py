@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -75,15 +76,8 @@ def hypergeometric_tail(k: int, drawn: int, marked: int, total: int) -> float:
     return min(1.0, sum(math.exp(choose(marked, r) + choose(total - marked, drawn - r) - base) for r in range(low, high + 1)))
 
 
-def normal_quantile(p: float) -> float:
-    """Inverse normal by Newton steps on the tail."""
-    x = 0.0
-    for _ in range(100):
-        step = (1 - normal_tail(x) - p) / (math.exp(-x * x / 2) / math.sqrt(2 * math.pi) or 1e-300)
-        x -= max(-1.0, min(1.0, step))
-        if abs(step) < 1e-14:
-            break
-    return x
+#: Inverse normal, compiled.
+normal_quantile = NormalDist().inv_cdf
 
 
 def _each(f, *columns: pd.Series) -> pd.Series:

@@ -110,6 +110,19 @@ def test_kendall_of_ties_nulls_and_many_rows(spark):
     assert got == pytest.approx(1 - 2 * (n / 2) / (n * (n - 1) / 2))
 
 
+def test_quantile_points(spark):
+    """Ranks with ties by key, and normal quantiles whose tails give the ranks back."""
+    from resolake.functions.pvalues import normal_tail
+
+    x = [3.0, 1.0, 2.0, 2.0, None, -7.5, 2.0]
+    t = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "key int, x double").repartition(3)
+    got = sorted((r.r, r.key, r.x, r.p, r.theoretical) for r in statistics.qq_points(t, "x", "key").collect())
+    assert [g[:3] for g in got] == [(1, 5, -7.5), (2, 1, 1.0), (3, 2, 2.0), (4, 3, 2.0), (5, 6, 2.0), (6, 0, 3.0)]
+    assert [g[3] for g in got] == pytest.approx([(k + 0.5) / 6 for k in range(6)])
+    assert [1 - normal_tail(g[4]) for g in got] == pytest.approx([(k + 0.5) / 6 for k in range(6)], abs=1e-12)
+    assert statistics.qq_points(t.limit(0), "x", "key").count() == 0
+
+
 def test_curves_over_many_scores(spark):
     """Sums by ranges of scores against plain sums, without keys."""
     rng = np.random.default_rng(6)
