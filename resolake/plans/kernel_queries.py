@@ -7,7 +7,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalars
 from ..operators import attention as at
-from ..operators import checks, clustering, crf, embedding, estimators, grid, kernels, patches, sampling
+from ..operators import checks, clustering, crf, embedding, estimators, grid, heads, kernels, patches, sampling
 from ..sources.tables import table
 from .attention_queries import _seqs
 from .bindings import attn, query, res, series, vecs
@@ -193,6 +193,22 @@ def _(spark, d):
     return found.join(points, "model").groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("int")).alias("accuracy"))
 
 
+@query("m6_m7_linear_heads", "kind:s epoch:l train_loss:d valid_loss:d rate:d")
+def _(spark, d):
+    e, log = table(spark, d, "embeddings"), []
+    for kind in ("softmax", "ordinal"):
+        head = heads.train_head(e, "embedding", "label", ["vec_id"], kind, classes=10, epochs=6, batches=4, accumulate=2)
+        log += [(kind, *epoch.values()) for epoch in head.epochs]
+    return spark.createDataFrame(log, "kind string, epoch long, train_loss double, valid_loss double, rate double")
+
+
+@query("m6_head_predictions", "label:l predicted:l n:l")
+def _(spark, d):
+    e = table(spark, d, "embeddings")
+    head = heads.train_head(e, "embedding", "label", ["vec_id"], "softmax", classes=10, epochs=4, batches=4)
+    return heads.predict(e, head, "embedding").groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("o12_sequence_clusters", "representative:l name:l")
 def _(spark, d):
     return clustering.sequence_clusters(_seqs(spark, d), every=4)
