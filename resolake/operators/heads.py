@@ -143,7 +143,8 @@ def train_head(df: DataFrame, x: str, y: str, row: list[str], kind: str, classes
                     head = Head(kind, w[: width * k].reshape(width, k), w[width * k :])
                     seen, loss = seen + n, loss + own
             n, own, _ = _sums(stored.where("batch = -1"), head)
-            log.append({"epoch": epoch, "train_loss": loss / max(seen, 1), "valid_loss": own / n if n else loss / max(seen, 1), "rate": adam.rate})
+            train = float(loss) / max(seen, 1)
+            log.append({"epoch": epoch, "train_loss": train, "valid_loss": float(own) / n if n else train, "rate": adam.rate})
             if log[-1]["valid_loss"] < lowest:
                 lowest, best, since = log[-1]["valid_loss"], head, 0
             else:

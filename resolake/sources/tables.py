@@ -42,6 +42,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release(df: DataFrame) -> None:
+    """Remove the kept tables that a result reads, once it is no longer needed; a service that runs long calls this for each result."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.fullmatch(r"resolake-[0-9a-f]{32}-kept-\d+", folder.rsplit("/", 1)[1]):
+            _remove(df.sparkSession, f"{folder}/")
+
+
 class Scratch:
     """Tables that one operator call computes once and reads again, as Parquet in the shared folder.
 

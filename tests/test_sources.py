@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resolake.operators import attention
-from resolake.sources import json_arrays, readers, sinks
+from resolake.sources import json_arrays, readers, sinks, tables
 from resolake.streaming import resume
 
 
@@ -194,6 +194,25 @@ def test_stream_resumes_after_a_failed_batch(spark, tmp_path):
     assert out["plain"] == out["broken"] == sorted(first.items())
 
 
+def test_scratch_tables_go_and_kept_ones_are_released(spark, tmp_path):
+    from pathlib import Path
+
+    with tables.Scratch(spark) as scratch:
+        one, two = scratch.table(spark.range(3)), scratch.table(spark.range(4))
+        root = Path(tables.shared_dir(spark).removeprefix("file:")) / scratch.root.rsplit("/", 1)[1]
+        scratch.drop(one)
+        assert two.count() == 4 and [x.name for x in root.iterdir()] == ["2"]
+        kept, other = scratch.keep(two), scratch.keep(spark.range(5))
+    assert not root.exists() and kept.count() == 4
+    mine = spark.range(2)
+    mine.write.parquet(str(tmp_path / "mine"))
+    result = kept.join(spark.read.parquet(str(tmp_path / "mine")), "id")
+    assert result.count() == 2
+    tables.release(result)
+    assert other.count() == 5 and spark.read.parquet(str(tmp_path / "mine")).count() == 2
+    assert not [x for x in root.parent.iterdir() if x.name == f"{root.name}-kept-2"]
+
+
 def test_cache_is_read_through(spark, tmp_path):
     calls = []
     make = lambda: calls.append(1) or spark.range(3)
