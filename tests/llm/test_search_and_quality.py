@@ -24,12 +24,13 @@ def nearest(rows, asked, k):
     return out
 
 
-def test_recall_on_the_whole_table(spark):
-    e = table(spark, DATA, "embeddings")
+@pytest.mark.parametrize("data", [DATA, "/root/testdata/sf0.1"])
+def test_recall_on_the_whole_table(spark, data):
+    e = table(spark, data, "embeddings")
     rows = [(r.vec_id, r.embedding) for r in e.collect()]
     want = nearest(rows, {i for i, _ in rows if i % 20 == 0}, 20)
     got = {}
-    for r in queries.op1_inverted_multi_index(spark, DATA).orderBy("query_id", "rank").collect():
+    for r in queries.op1_inverted_multi_index(spark, data).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r)
     assert got.keys() == want.keys()
     by_id = dict(rows)
