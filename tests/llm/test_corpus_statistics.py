@@ -203,6 +203,18 @@ def test_groups_odd_rows_and_partitions(spark):
     assert O.quality_rules(frame(spark, docs).limit(0)).collect() == []
 
 
+def test_many_groups_are_joined_by_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = [(i, prose(rng, int(rng.integers(15, 60)), symbols=i % 9 == 0), ["en", "de"][i % 2], "ab"[i % 3 == 0]) for i in range(420)]
+    docs += [(None, "few words", None, None)]
+    want = ordered(O.quality_rules(frame(spark, docs), least_rows=50).collect())
+    audit = ordered(D.divergence_audit(frame(spark, docs)).collect())
+    monkeypatch.setattr(O, "BROADCAST_GROUPS", -1)
+    monkeypatch.setattr(D, "BROADCAST_GROUPS", -1)
+    assert ordered(O.quality_rules(frame(spark, docs), least_rows=50).collect()) == want
+    assert ordered(D.divergence_audit(frame(spark, docs)).collect()) == audit
+
+
 def test_labelled_documents(spark):
     """Clean documents stay, and most of what the fixed limits leave of the others goes."""
     got = O.quality_rules(table(spark, "/root/testdata/sf0.01", "documents")).where(~F.col("base_failed"))
