@@ -36,8 +36,10 @@ class _Pairs:
         sizes = np.array([len(q) for q in queries], np.int64)
         self.count, self.rows, self.width = len(queries), int(sizes.max(initial=0)), 2 * band + 1
         self.shift = np.asarray(diagonals, np.int64)[self.order] - band  # target position of a row's first cell, less the row
-        self.letters = np.full((self.rows + self.width, self.count), _NONE, np.int32)  # targets, moved so that row i has cells i, i + 1 ...
-        self.text = np.full((self.rows, self.count), _NONE, np.int32)
+        small = all(int(s.max(initial=0)) < 1 << 15 for side in (queries, targets) for s in side)  # most alphabets
+        kind = np.int16 if small else np.int32
+        self.letters = np.full((self.rows + self.width, self.count), _NONE, kind)  # targets, moved so that row i has cells i, i + 1 ...
+        self.text = np.full((self.rows, self.count), _NONE, kind)
         for x, (q, t, s) in enumerate(zip(queries, targets, self.shift.tolist(), strict=True)):
             self.text[: len(q), x] = q
             a, b = max(0, -s), min(len(self.letters), len(t) - s)
@@ -52,17 +54,19 @@ class _Pairs:
 
 
 def last_ends(queries: list[np.ndarray], targets: list[np.ndarray], diagonals: np.ndarray, band: int, scoring: Scoring = Scoring()) -> dict[str, np.ndarray]:
-    """The last positions of query and target at which an alignment of the highest score ends; by scores alone, in 32 bits."""
-    match, mismatch, gap = scoring
+    """The last positions of query and target at which an alignment of the highest score ends; by scores alone, in 16 bits where they fit."""
     p = _Pairs(queries, targets, diagonals, band)
-    ramp = (np.arange(p.width, dtype=np.int32) * np.int32(-gap))[:, None]
-    best, ends = np.ones(p.count, np.int32), np.full((2, p.count), -1, np.int64)
-    value = np.zeros((p.width, p.count), np.int32)
+    most = scoring.match * p.rows - scoring.gap * p.width
+    kind = np.int16 if most < 32_000 else np.int32 if most < 2_000_000_000 else np.int64
+    match, mismatch, gap = map(kind, scoring)
+    ramp = (np.arange(p.width).astype(kind) * -gap)[:, None]
+    best, ends = np.ones(p.count, kind), np.full((2, p.count), -1, np.int64)
+    value = np.zeros((p.width, p.count), kind)
     for i in range(p.rows):
         k = p.ended[i]
         own, there = value[:, k:], p.letters[i : i + p.width, k:]
-        got = own + np.where(there == p.text[i, k:], np.int32(match), np.int32(mismatch))
-        np.maximum(got[:-1], own[1:] + np.int32(gap), out=got[:-1])
+        got = own + np.where(there == p.text[i, k:], match, mismatch)
+        np.maximum(got[:-1], own[1:] + gap, out=got[:-1])
         inside = there != _NONE
         np.maximum(got, 0, out=got)
         got *= inside
