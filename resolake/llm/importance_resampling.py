@@ -160,7 +160,7 @@ def resample(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int
 
 
 def resample_sql(buckets: int = 10_000, least_words: int = 20, percent: int = 10, seed: str = "2024") -> str:
-    """Runs of one word; crc32 is computed for distinct words, byte by byte over its table."""
+    """Runs of one word; crc32 is computed for distinct words, byte by byte over its table. rank, which has nulls, is a double, as pandas makes of Spark's long."""
     upper, word = "".join(map(chr, range(65, 91))), r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     found = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{word}')"
     return f"""
@@ -184,5 +184,5 @@ n as (select d.doc_id, len(ws)::bigint as n_features, coalesce(weight, 0)::bigin
     ('0x' || substr(sha256('{seed}:' || d.doc_id), 1, 8))::bigint as h from d left join w using (doc_id)),
 p as (select *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score from n),
 r as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as can from p where n_features >= {least_words})
-select p.doc_id, n_features, weight, score, case when rank <= floor(can * {percent} / 100) then rank end as rank
+select p.doc_id, n_features, weight, score, (case when rank <= floor(can * {percent} / 100) then rank end)::double as rank
 from p left join r using (doc_id)"""
