@@ -14,7 +14,8 @@ def pearson(df: DataFrame, x: str, y: str, keys: list[str] | None = None, least:
     """r and n by group over rows with both values, in one aggregate; r is null below `least` rows or where a side is constant."""
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     varies = (F.max(x) > F.min(x)) & (F.max(y) > F.min(y)) & (F.count(F.lit(1)) >= least)
-    return known.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.corr(x, y)).alias("r"))
+    r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))  # corr divides by zero in groups that don't vary
+    return known.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n"), F.when(varies, r).alias("r"))
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 5) -> DataFrame:
