@@ -21,23 +21,46 @@ from .minimise import Minimiser
 
 #: The grid of the original analysis: 360 points.
 FULL_GRID = {"max_iter": [100, 200, 300, 400, 500], "c": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l1", "l2"], "tol": [1e-4, 1e-3, 1e-2], "balanced": [True, False]}
+#: Points that a pass evaluates where fewer paths than that are open: the open ones' next halvings of the step go along, up to MOST_TRIALS each.
+WIDTH, MOST_TRIALS = 48, 12
+#: Bytes of rows that are stored and worked on together: small enough for the processor's cache and for readers that take thousands of rows at once.
+BLOCK = 1 << 15
+#: Rows times points of a step; larger arrays get fresh pages from the system each time.
+TOGETHER = 1 << 14
 _FIELDS = "max_iter int, c double, penalty string, tol double, balanced boolean"
 
 
-def _summed(rows: DataFrame, make, shape: tuple[int, int]) -> np.ndarray:
-    """Sum over tasks of make(x, y, fold), a matrix of `shape`; Spark adds it up by cell, of which the driver gets one row each."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """(width, block): (fold, y, x) as blocks of some hundred rows, each of `width` doubles, x first, then y and fold; passes read them without unpacking arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column(2).flatten()).reshape(batch.num_rows, -1)
-                total += make(x, np.asarray(batch.column(1)), np.asarray(batch.column(0)))
+                all_ = np.column_stack([x, np.asarray(batch.column(1)), np.asarray(batch.column(0))])
+                each = max(1, BLOCK // (8 * all_.shape[1]))
+                blocks = [all_[k : k + each].tobytes() for k in range(0, len(all_), each)]
+                yield pa.RecordBatch.from_arrays([pa.array([all_.shape[1]] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], names=["width", "block"])
+
+    return rows.mapInArrow(run, "width int, block binary")
+
+
+def _summed(blocks: DataFrame, make, shape: tuple[int, int]) -> np.ndarray:
+    """Sum over tasks of make(x, y, fold), a matrix of `shape`; Spark adds it up by cell, of which the driver gets one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, each = np.zeros(shape), max(16, TOGETHER // shape[0])
+        for batch in batches:
+            for width, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = np.frombuffer(block.as_buffer()).reshape(-1, width)
+                for k in range(0, len(rows), each):
+                    part = rows[k : k + each]
+                    total += make(part[:, :-2], part[:, -2], part[:, -1])
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total.ravel()[some])], names=["cell", "v"])
 
     out = np.zeros(shape[0] * shape[1])
-    for r in rows.mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():
+    for r in blocks.mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():
         out[r["cell"]] = r["v"]
     return out.reshape(shape)
 
@@ -64,11 +87,13 @@ def logistic_grid(features: DataFrame, vector: str, label: str, row: list[str],
     spark = features.sparkSession
     schema = f"{_FIELDS}, accuracy double, iterations double"
     with Scratch(spark) as scratch:
-        rows = scratch.table(_scaled(features, vector, label, F.pmod(F.xxhash64(F.lit(seed), *row), F.lit(folds))))
-        counts = {(r["fold"], r["y"]): r["count"] for r in rows.groupBy("fold", "y").count().collect()}  # two rows a fold
-        if not counts:
+        rows = scratch.table(_packed(_scaled(features, vector, label, F.pmod(F.xxhash64(F.lit(seed), *row), F.lit(folds)))))
+        one = rows.first()
+        if one is None:
             return spark.createDataFrame([], schema)
-        size = len(rows.first()["x"])
+        size, sides = one["width"] - 2, np.array([-1.0, 1.0])
+        sums = _summed(rows, lambda x, y, fold: ((fold == np.arange(folds)[:, None])[:, None] & (y == sides[:, None])).sum(-1, dtype=float), (folds, 2))
+        counts = {(fold, y): sums[fold, k] for fold in range(folds) for k, y in enumerate((-1.0, 1.0))}
         kinds = sorted({(p["c"], p["penalty"], p["balanced"]) for p in points})
         paths = [(*kind, fold) for kind in kinds for fold in range(folds)]
         weights = np.ones((len(paths), 2))  # of the classes -1 and 1
@@ -83,17 +108,23 @@ def logistic_grid(features: DataFrame, vector: str, label: str, row: list[str],
         folds_of = np.array([p[3] for p in paths])
         while any(not m.done for m in searches):
             live = [n for n, m in enumerate(searches) if not m.done]
-            w, cost, out = np.array([searches[n].trial for n in live]), weights[live], folds_of[live]
+            trials = [(n, t) for n in live for t in searches[n].trials(min(MOST_TRIALS, max(1, WIDTH // len(live))))]
+            of = [n for n, _ in trials]
+            w, cost, out = np.array([t for _, t in trials]), weights[of], folds_of[of]
 
             def step(x, y, fold, w=w, cost=cost, out=out):
                 margin = (x @ w.T) * y[:, None]
                 use = np.where(y[:, None] > 0, cost[:, 1], cost[:, 0]) * (fold[:, None] != out)
-                pull = -use * y[:, None] / (1 + np.exp(np.clip(margin, -500, 500)))
-                return np.column_stack([(use * np.logaddexp(0, -margin)).sum(0), pull.T @ x])
+                small = np.exp(-np.abs(margin))
+                pull = np.where(margin > 0, small, 1.0) / (1 + small) * (use * -y[:, None])
+                return np.column_stack([(use * (np.log(1 + small) - np.minimum(margin, 0))).sum(0), pull.T @ x])
 
-            sums = _summed(rows, step, (len(live), size + 1))
-            for n, total in zip(live, sums, strict=True):
+            sums = _summed(rows, step, (len(trials), size + 1))
+            taken = {n: searches[n].steps for n in live if searches[n].value is not None}
+            for n, total in zip(of, sums, strict=True):
                 m, l2 = searches[n], 1.0 if paths[n][1] == "l2" else 0.0
+                if m.done or m.steps > taken.get(n, 0):
+                    continue  # an earlier trial was taken, or ended the path
                 m.tell(total[0] + l2 * float(m.trial @ m.trial) / 2, total[1:] + l2 * m.trial)
                 slope = float(np.linalg.norm(m.slope))
                 first[n] = slope if first[n] is None else first[n]

@@ -43,6 +43,18 @@ class Minimiser:
             side = np.where(self.x != 0, np.sign(self.x), -np.sign(self.slope))
             self.trial[self.trial * side <= 0] = 0
 
+    def trials(self, most: int) -> list[np.ndarray]:
+        """`trial`, and up to `most` points in all that it would be followed by if each were refused; told in this order, they give the same path in fewer passes."""
+        found, kept = [self.trial], self.trial
+        if self.value is not None:
+            step = self.step
+            while len(found) < most and self.step / 2 >= 1e-12:
+                self.step /= 2
+                self._propose()
+                found.append(self.trial)
+            self.step, self.trial = step, kept
+        return found
+
     def tell(self, value: float, gradient: np.ndarray) -> None:
         value += self.c1 * np.abs(self.trial).sum()
         if self.value is not None:

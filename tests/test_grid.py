@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from resolake.operators import grid as G
+from resolake.operators.minimise import Minimiser
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +58,28 @@ def test_nothing_and_one_class(spark, rows):
     assert G.logistic_grid(rows.limit(0), "v", "label", ["id"], GRID).count() == 0
     one = {r.accuracy for r in G.logistic_grid(rows.where("label = 1"), "v", "label", ["id"], GRID | {"max_iter": [100], "tol": [1e-4], "c": [10.0]}).collect()}
     assert one == {1.0}
+
+
+def test_halvings_of_a_step_share_a_pass():
+    """A path told its next halvings together takes the same steps as one told each alone, in fewer passes."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(300, 5)) * [1, 10, 0.1, 1, 3], rng.choice([-1.0, 1.0], 300)
+
+    def loss(w):
+        m = (x @ w) * y
+        return float(np.logaddexp(0, -m).sum()), -(y / (1 + np.exp(m))) @ x
+
+    def path(most):
+        m, passes, seen = Minimiser(5, 1.0, tolerance=1e-6), 0, []
+        while not m.done and passes < 500:
+            passes, steps, started = passes + 1, m.steps, m.value is not None
+            for w in m.trials(most):
+                assert np.array_equal(w, m.trial)
+                m.tell(*loss(w))
+                seen.append(m.x.tolist())
+                if m.done or not started or m.steps > steps:
+                    break
+        return passes, seen
+
+    (alone, one), (together, other) = path(1), path(12)
+    assert one == other and together < alone
