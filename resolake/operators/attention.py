@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot
+from .positions import quantile
 
 
 def similarity_attention(vectors: DataFrame, dim: int, name: str = "name", i: str = "i", v: str = "v", digits: int = 9) -> DataFrame:
@@ -108,7 +109,7 @@ def homophily(attn: DataFrame, categories: DataFrame, labels: list[str], cat: st
 def separation_bins(attn: DataFrame, percent: float = 5.0, digits: int = 9) -> DataFrame:
     """By sequence: how far apart the strongest off-diagonal pairs are: shares at most 5, 6 to 20, above 20, and the median."""
     off = attn.where("i <> j")
-    cut = off.groupBy("name").agg(F.round(F.percentile("w", 1 - percent / 100), digits).alias("cut"))
+    cut = off.groupBy("name").agg(quantile("w", 1 - percent / 100, digits).alias("cut"))
     d = off.join(cut, "name").where("w >= cut").withColumn("d", F.abs(F.col("i") - F.col("j")))
     share = lambda c: F.avg(c.cast("double"))
     return d.groupBy("name").agg(share(F.col("d") <= 5).alias("short"), share((F.col("d") > 5) & (F.col("d") <= 20)).alias("medium"), share(F.col("d") > 20).alias("long"), F.median("d").alias("median_separation"), F.count(F.lit(1)).alias("pairs"))
@@ -117,7 +118,7 @@ def separation_bins(attn: DataFrame, percent: float = 5.0, digits: int = 9) -> D
 def letter_pairs(attn: DataFrame, letters: DataFrame, percent: float = 0.5, letter: str = "cat", digits: int = 9) -> DataFrame:
     """Weight by (query letter, key letter) over pairs at or above the percentile; the diagonal counts as 0 in it and is left out."""
     zeroed = attn.withColumn("w", F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col("w")))
-    cut = zeroed.groupBy("name").agg(F.round(F.percentile("w", 1 - percent / 100), digits).alias("cut"))
+    cut = zeroed.groupBy("name").agg(quantile("w", 1 - percent / 100, digits).alias("cut"))
     top = zeroed.join(cut, "name").where("w >= cut and i <> j")
     top = top.join(letters.select("name", "i", F.col(letter).alias("a")), ["name", "i"]).join(letters.select("name", F.col("i").alias("j"), F.col(letter).alias("b")), ["name", "j"])
     return top.groupBy("a", "b").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
@@ -143,7 +144,7 @@ def sparse_graph(attn: DataFrame, strategy: str = "topk", k: int = 5, percent: f
     if strategy == "topk":
         kept = attn.withColumn("_r", F.row_number().over(w.orderBy(F.desc("w"), "j"))).where(F.col("_r") <= k)
     elif strategy == "percentile":
-        cut = attn.groupBy("name", "i").agg(F.round(F.percentile("w", (1 - percent / 100) if top_mode else percent / 100), digits).alias("_cut"))
+        cut = attn.groupBy("name", "i").agg(quantile("w", (1 - percent / 100) if top_mode else percent / 100, digits).alias("_cut"))
         kept = attn.join(cut, ["name", "i"]).where("w >= _cut")
     elif strategy == "local_peaks":
         near = w.orderBy("j")

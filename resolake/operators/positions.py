@@ -7,8 +7,11 @@ depend on the order of rows. Windows are partitioned by group throughout.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .ranking import order_statistics
 
@@ -30,6 +33,30 @@ def relative_position(df: DataFrame, name: str = "name", i: str = "i") -> DataFr
     return df.withColumn("rel_pos", F.col(i) / F.count(F.lit(1)).over(_by(name)))
 
 
+@F.udf(DoubleType())
+def _between(low, high, share):
+    """low * (1 - share) + high * share with one rounding of the sum, as DuckDB computes it."""
+    return None if low is None else math.fma(low, 1 - share, high * share)
+
+
+def quantile(x: str, share: float, digits: int | None = None) -> Column:
+    """Interpolated quantile of a group's non-null values, rounded half up on the value times 10^digits.
+
+    To the last bit that of DuckDB's quantile_cont and round: where a quantile
+    lies half-way between two rounded values, F.percentile and F.round (by
+    decimal digits) may end on the other side. A group's values are held together.
+    """
+    values = F.sort_array(F.collect_list(F.col(x).cast("double")))
+    at = (F.size(values) - 1) * F.lit(share)
+    low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    found = _between(low, high, at - F.floor(at))
+    if digits is None:
+        return found
+    scaled = found * F.lit(10.0**digits)
+    down = F.floor(scaled)
+    return (down + (scaled - down >= 0.5).cast("int")) / F.lit(10.0**digits)
+
+
 def percentile_rank(df: DataFrame, x: str, single: float | None = 0.0, name: str = "name", i: str = "i", out: str = "pct_rank") -> DataFrame:
     """100 * rank / (n - 1) without shared ranks; `single` for a group of one."""
     rank = (F.row_number().over(_by(name, F.col(x).asc(), F.col(i).asc())) - 1).cast("double")
@@ -86,7 +113,7 @@ def quartile_label(df: DataFrame, x: str, name: str | None = None) -> DataFrame:
 
 def top_percent(df: DataFrame, x: str, percent: float, name: str = "name", out: str = "is_top", digits: int = 9) -> DataFrame:
     """Whether x reaches the group's interpolated (100 - percent) percentile; ties are kept."""
-    cut = df.groupBy(name).agg(F.round(F.percentile(x, 1 - percent / 100), digits).alias("_cut"))
+    cut = df.groupBy(name).agg(quantile(x, 1 - percent / 100, digits).alias("_cut"))
     return df.join(cut, name).withColumn(out, F.round(F.col(x), digits) >= F.col("_cut")).drop("_cut")
 
 

@@ -429,3 +429,20 @@ def test_classifiers_on_held_out_rows(spark):
     lr = estimators.logistic("line", maxIter=20)
     found = estimators.grid_search(estimators.feature_pipeline(["a", "b"], ["c"], lr), lr, {"regParam": [0.001, 1000.0]}, label="line", folds=2).fit(train)
     assert found.avgMetrics[0] > 0.9 > found.avgMetrics[1] - 0.2 and found.avgMetrics[0] > found.avgMetrics[1]
+
+
+def test_quantile_cuts_equal_sql_at_ties(spark):
+    """Values of nine digits, so many quantiles lie half-way between two rounded ones."""
+    import duckdb
+
+    rng = np.random.default_rng(1)
+    name = np.repeat(np.arange(400), rng.integers(2, 60, 400))
+    w = (4_800_000 + rng.integers(0, 400, len(name))) / 1e9
+    rows = spark.createDataFrame([*zip(name.tolist(), w.tolist(), strict=True), (-1, None)], "name long, w double")
+    duck = duckdb.connect()
+    duck.execute("create table t (name bigint, w double)")
+    duck.executemany("insert into t values (?, ?)", [tuple(r) for r in rows.collect()])
+    shares = [0.9, 0.95, 0.995]
+    got = rows.groupBy("name").agg(*[positions.quantile("w", q, 9).alias(f"q{k}") for k, q in enumerate(shares)]).orderBy("name").collect()
+    want = duck.execute(f"select name, {', '.join(f'round(quantile_cont(w, {q}), 9)' for q in shares)} from t group by 1 order by 1").fetchall()
+    assert [tuple(r) for r in got] == want
