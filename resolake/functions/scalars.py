@@ -36,6 +36,12 @@ def one_hot(x: Column, domain: list[str]) -> Column:
     return F.array(*[F.coalesce((x == F.lit(c)).cast("int"), F.lit(0)) for c in domain])
 
 
+def one_hot_sums(seq: Column, domain: list[str]) -> Column:
+    """Sum of the one-hot rows of a text's characters, and how many characters are none of the domain's as the last element; no row a character."""
+    counts = [F.length(seq) - F.length(F.replace(seq, F.lit(c), F.lit(""))) for c in domain]
+    return F.array(*counts, F.length(F.translate(seq, "".join(domain), "")))
+
+
 def mapped(x: Column, table: dict[str, str], default: str | None = None) -> Column:
     entries = F.create_map(*[F.lit(v) for kv in table.items() for v in kv])
     found = F.element_at(entries, x)
