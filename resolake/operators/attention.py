@@ -7,26 +7,45 @@ name and so shuffle each side once.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.scalars import dot
 from .positions import quantile
 
 
+#: Query positions of a sequence that a task takes together.
+ROWS = 64
+
+
 def similarity_attention(vectors: DataFrame, dim: int, name: str = "name", i: str = "i", v: str = "v", digits: int = 9) -> DataFrame:
     """Cosine of all position pairs of a sequence, shifted to [0, 1] and made to sum to 1 by row.
 
-    Vectors are scaled once, before the pairs are formed.
+    A group is ROWS positions of a sequence with all its vectors, which are few
+    bytes; their rows of the matrix are made whole there, so that cells are
+    neither shuffled nor sorted. Weights round half up on the value times 10^digits.
+    Zero vectors and those without `dim` components take no part.
     """
-    unit = F.sqrt(dot(F.col(v), F.col(v), dim))
-    scaled = vectors.select(name, i, F.transform(v, lambda x: x.cast("double")).alias(v)).withColumn("_u", unit).where("_u > 0").withColumn(v, F.transform(v, lambda x: x / F.col("_u"))).drop("_u")
-    # a task holds some query rows: vectors are few bytes, but their pairs are many, so the rows are dealt out by number, not by size
-    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = scaled.select(F.col(name), F.col(i), F.col(v).alias("_a")).repartition(tasks, name, i)
-    b = scaled.select(F.col(name), F.col(i).alias("j"), F.col(v).alias("_b"))
-    s = a.join(b, name).select(name, i, "j", ((dot(F.col("_a"), F.col("_b"), dim) + 1) / 2).alias("s"))
-    return s.select(name, i, "j", F.round(F.col("s") / F.sum("s").over(Window.partitionBy(name, i)), digits).alias("w"))
+    kinds = vectors.select(name, i).schema
+    own = vectors.select(F.col(name).alias("name"), F.col(i).alias("i"), F.transform(v, lambda x: x.cast("double")).alias("v")).where(F.col("name").isNotNull())
+    own = own.where((F.size("v") == dim) & (F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x) > 0)).withColumn("block", F.floor(F.col("i") / ROWS))
+    blocks = own.select(F.col("name").alias("_name"), F.col("block").alias("_block")).distinct()
+    keys = own.select(F.col("name").alias("_name"), F.col("i").alias("j"), F.col("v").alias("_v")).join(blocks, "_name")
+
+    def run(queries: pa.Table, keys: pa.Table) -> pa.Table:
+        unit = [np.asarray(c.combine_chunks().flatten()).reshape(-1, dim) for c in (queries.column("v"), keys.column("_v"))]
+        a, b = (x / np.sqrt((x * x).sum(1, keepdims=True)) for x in unit)
+        s = (a @ b.T + 1) / 2
+        _, row = np.unique(np.asarray(queries.column("i")), return_inverse=True)  # rows of one number sum together
+        w = np.floor(s / np.bincount(row, s.sum(1))[row][:, None] * 10.0**digits + 0.5) / 10.0**digits
+        each = pa.array(np.repeat(np.arange(len(a)), len(b)))
+        cells = [queries.column("name").take(each), queries.column("i").take(each), keys.column("j").take(pa.array(np.tile(np.arange(len(b)), len(a)))), pa.array(w.ravel())]
+        return pa.Table.from_arrays(cells, names=[name, i, "j", "w"])
+
+    schema = StructType([kinds[name], kinds[i], StructField("j", kinds[i].dataType), StructField("w", DoubleType())])
+    return own.groupBy("name", "block").cogroup(keys.groupBy("_name", "_block")).applyInArrow(run, schema)
 
 
 def explode_matrix(records: DataFrame, matrix: str = "attention_weights", name: str = "name") -> DataFrame:
