@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from .alignment import Scoring, align_pairs
 FULL_POSTING = 16
 #: Rows that an aligning task gets with one copy of a partner's sequence.
 BLOCK = 256
+#: Words of a bucket of the packed index, and words that a task holds before it packs them.
+WORDS, HELD = 1 << 20, 1 << 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,6 +72,192 @@ def kmer_index(seqs: DataFrame, k: int, every: int, coverage: float) -> DataFram
     return rows.select("name", (-F.col("len")).alias("neg"), "at", "kmer", _length_classes(coverage).alias("classes")).withColumn("class", F.explode("classes"))
 
 
+class _Words(NamedTuple):
+    """A bucket's words by k-mer, within one by falling length and name; names, rank (of the name) and lengths by sequence, in that order."""
+
+    names: pa.Array
+    rank: np.ndarray
+    lengths: np.ndarray
+    kmer: np.ndarray
+    at: np.ndarray
+    row: np.ndarray
+
+    def postings(self, coverage: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each of the two tilings of lengths: classes by sequence, first word and size of each posting."""
+        for kind in _tilings(self.lengths, coverage):
+            own = kind[self.row]
+            first = np.flatnonzero(np.r_[True, (self.kmer[1:] != self.kmer[:-1]) | (own[1:] != own[:-1])]) if len(own) else np.empty(0, int)
+            yield kind, first, np.diff(np.r_[first, len(own)])
+
+
+def _tilings(lengths: np.ndarray, coverage: float) -> list[np.ndarray]:
+    """_length_classes, as columns."""
+    if coverage <= 0:
+        return [np.zeros(len(lengths), np.int64)]
+    size = np.log(lengths) / (-math.log(coverage) if coverage < 1 else 1e-6)
+    return [2 * np.floor(size / 2).astype(np.int64), 2 * np.floor((size + 1) / 2).astype(np.int64) + 1]
+
+
+_PACKED = "bucket int, name array<{}>, len binary, count binary, kmer binary, at binary"
+
+
+def _packed_rows(buckets: np.ndarray, runs: np.ndarray, names: pa.Array, lengths: np.ndarray, counts: np.ndarray, kmer: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """A row a bucket, which holds so many of the runs (words of one sequence, or of one that is to be told by `count`)."""
+    ends, words = np.cumsum(runs), np.r_[0, np.cumsum(counts)]
+    cut = lambda a, x, y: [a[i:j].tobytes() for i, j in zip(x, y, strict=True)]
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), names)
+    columns = [cut(lengths.astype(np.int32), ends - runs, ends), cut(counts.astype(np.int32), ends - runs, ends), cut(kmer, words[ends - runs], words[ends]), cut(at, words[ends - runs], words[ends])]
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), lists, *[pa.array(c, pa.binary()) for c in columns]], names=["bucket", "name", "len", "count", "kmer", "at"])
+
+
+def _pack(k: int, every: int, buckets: int):
+    def packed(names: list[pa.Array], lengths: list[int], hashes: list[np.ndarray], places: list[np.ndarray]) -> pa.RecordBatch:
+        row, kmer, at = np.repeat(np.arange(len(lengths)), [len(h) for h in hashes]), np.concatenate(hashes), np.concatenate(places)
+        bucket = (kmer >> 20) % buckets
+        order = np.argsort(bucket, kind="stable")
+        bucket, row, kmer, at = bucket[order], row[order], kmer[order], at[order]
+        first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])])
+        found, runs = np.unique(bucket[first], return_counts=True)
+        return _packed_rows(found, runs, pa.concat_arrays(names).take(pa.array(row[first])), np.array(lengths)[row[first]], np.diff(np.r_[first, len(row)]), kmer, at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, lengths, hashes, places, size = [], [], [], [], 0
+        for batch in batches:
+            rows = []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                h, at = kmer_positions(text, k, every)
+                if len(h):
+                    rows.append(row)
+                    lengths.append(len(text))
+                    hashes.append(h)
+                    places.append(at)
+                    size += len(h)
+                if rows and (size >= HELD or row == batch.num_rows - 1):
+                    names.append(batch.column(0).take(pa.array(rows)))
+                    rows = []
+                    if size >= HELD:
+                        yield packed(names, lengths, hashes, places)
+                        names, lengths, hashes, places, size = [], [], [], [], 0
+            if rows:
+                names.append(batch.column(0).take(pa.array(rows)))
+        if size:
+            yield packed(names, lengths, hashes, places)
+
+    return run
+
+
+def _unpacked(table: pa.Table | pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    names = table.column("name")
+    names = (names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names).flatten()
+    join = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+    return names, join("len", np.int32), join("count", np.int32), join("kmer", np.int64), join("at", np.int32)
+
+
+def _shared(coverage: float):
+    """A bucket's words that two sequences of like length have, in the order of _Words; `count` is then a sequence's place, a word."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, lengths, counts, kmer, at = _unpacked(table)
+        rank = np.unique(names.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        order = np.lexsort((rank, -lengths))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        row = np.repeat(place, counts)
+        by = np.lexsort((row, kmer))
+        w = _Words(names.take(pa.array(order)), rank[order], lengths[order], kmer[by], at[by], row[by])
+        kept = np.zeros(len(by), bool)
+        for _, _, size in w.postings(coverage):
+            kept |= np.repeat(size > 1, size)
+        kept = np.flatnonzero(kept)
+        some, row = np.unique(w.row[kept], return_inverse=True)
+        columns = [[c.tobytes()] for c in (w.lengths[some].astype(np.int32), row.astype(np.int32), w.kmer[kept], w.at[kept])]
+        lists = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), w.names.take(pa.array(some)))
+        return pa.Table.from_arrays([table.column("bucket").slice(0, 1), lists, *[pa.array(c, pa.binary()) for c in columns]], names=table.column_names)
+
+    return run
+
+
+def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[_Words]:
+    for batch in batches:
+        for n in range(batch.num_rows):
+            names, lengths, row, kmer, at = _unpacked(batch.slice(n, 1))
+            yield _Words(names, np.unique(names.to_numpy(zero_copy_only=False), return_inverse=True)[1], lengths, kmer, at, row)
+
+
+def packed_index(seqs: DataFrame, k: int, every: int, coverage: float, buckets: int) -> DataFrame:
+    """The words of kmer_index that two sequences of like length share, a row a bucket of k-mers.
+
+    Tasks pack their words by bucket, so that a word is shuffled once, as twelve
+    bytes, whatever its classes, and words of one sequence alone are not stored.
+    """
+    schema = _PACKED.format(seqs.schema["name"].dataType.simpleString())
+    return seqs.select("name", "seq").mapInArrow(_pack(k, every, buckets), schema).groupBy("bucket").applyInArrow(_shared(coverage), schema)
+
+
+def packed_pairs(index: DataFrame, coverage: float, hits: int, k: int) -> DataFrame:
+    """candidate_pairs of the whole packed index."""
+    name = index.schema["name"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w in _buckets_of(batches):
+            tilings = []
+            for kind, first, size in w.postings(coverage):
+                tilings.append(kind)
+                start, n = np.repeat(first, size), np.repeat(size, size)
+                long, small = np.flatnonzero(n > FULL_POSTING), np.flatnonzero((n > 1) & (n <= FULL_POSTING))
+                for d in range(FULL_POSTING):  # 0: a long posting's members with its first, else with those so many places before
+                    own = long if d == 0 else small[small - start[small] >= d]
+                    top = start[own] if d == 0 else own - d
+                    a, b = w.row[own], w.row[top]
+                    good = (w.rank[a] != w.rank[b]) & (w.lengths[a] >= w.lengths[b] * coverage)
+                    if len(tilings) == 2:  # a class that both have twice counts once
+                        good &= tilings[0][a] != tilings[0][b]
+                    own, top, a, b = own[good], top[good], a[good], b[good]
+                    for x in range(0, len(own), 1 << 18):
+                        part = slice(x, x + (1 << 18))
+                        yield pa.RecordBatch.from_arrays([w.names.take(pa.array(a[part])), w.names.take(pa.array(b[part])), pa.array(w.at[top[part]] - w.at[own[part]]), pa.array(w.at[own[part]])], names=["a", "b", "diagonal", "at"])
+
+    return _best_diagonals(index.mapInArrow(run, f"a {name}, b {name}, diagonal int, at int"), hits, k)
+
+
+def packed_tops(index: DataFrame, coverage: float) -> DataFrame:
+    """(kmer, class, n, top) of the packed index's postings of more than FULL_POSTING members; of top, the name only."""
+    name = index.schema["name"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w in _buckets_of(batches):
+            for kind, first, size in w.postings(coverage):
+                long = size > FULL_POSTING
+                at, row = first[long], w.row[first[long]]
+                yield pa.RecordBatch.from_arrays([pa.array(w.kmer[at]), pa.array(kind[row]), pa.array(size[long]), w.names.take(pa.array(row))], names=["kmer", "class", "n", "name"])
+
+    return index.mapInArrow(run, f"kmer long, class long, n long, name {name}").select("kmer", "class", "n", F.struct("name").alias("top"))
+
+
+def packed_words(index: DataFrame, postings: DataFrame, coverage: float, buckets: int) -> DataFrame:
+    """The words in some postings (kmer, class), as rows of kmer_index."""
+    name = index.schema["name"].dataType.elementType.simpleString()
+    asked = postings.select(F.pmod(F.shiftright("kmer", 20), F.lit(buckets)).cast("int").alias("_bucket"), "kmer", "class")
+
+    def run(table: pa.Table, asked: pa.Table) -> pa.Table:
+        schema = pa.schema([("name", table.schema.field("name").type.value_type), ("neg", pa.int32()), ("at", pa.int32()), ("classes", pa.list_(pa.int64())), ("kmer", pa.int64()), ("class", pa.int64())])
+        parts = []
+        for w in _buckets_of(iter(table.to_batches())) if asked.num_rows else ():
+            every = np.stack(_tilings(w.lengths, coverage), 1)
+            wanted = np.asarray(asked.column("kmer")), np.asarray(asked.column("class"))
+            for kind, first, _ in w.postings(coverage):
+                both = np.concatenate([np.stack(wanted, 1), np.stack([w.kmer[first], kind[w.row[first]]], 1)])
+                _, number = np.unique(both, axis=0, return_inverse=True)
+                live = np.isin(number[len(wanted[0]) :], number[: len(wanted[0])])
+                at = np.flatnonzero(np.repeat(live, np.diff(np.r_[first, len(w.row)])))
+                row = w.row[at]
+                classes = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * every.shape[1]), pa.array(every[row].ravel()))
+                parts.append(pa.Table.from_arrays([w.names.take(pa.array(row)), pa.array(-w.lengths[row]), pa.array(w.at[at]), classes, pa.array(w.kmer[at]), pa.array(kind[row])], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    return index.groupBy("bucket").cogroup(asked.groupBy("_bucket")).applyInArrow(run, f"name {name}, neg int, at int, classes array<long>, kmer long, class long")
+
+
 def candidate_pairs(index: DataFrame, tops: DataFrame, coverage: float, hits: int, k: int) -> DataFrame:
     """(a, b, diagonal): sequences a and longer or equal ones b with `hits` k-mers or more on one diagonal, that far apart that they need not overlap.
 
@@ -83,7 +272,12 @@ def candidate_pairs(index: DataFrame, tops: DataFrame, coverage: float, hits: in
     small = met.where(F.col("n") <= FULL_POSTING).groupBy(*_POSTING).agg(F.sort_array(F.collect_list(own)).alias("all"))
     small = small.select("class", "all", F.posexplode("all").alias("place", "top")).select("class", F.explode(F.slice("all", F.col("place") + 2, FULL_POSTING)).alias("own"), "top")
     pairs = long.unionByName(small).where(once & (F.col("own.neg") <= F.col("top.neg") * coverage))  # a class that both have twice counts once
-    votes = pairs.groupBy(F.col("own.name").alias("a"), F.col("top.name").alias("b"), (F.col("top.at") - F.col("own.at")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), (F.max("own.at") - F.min("own.at")).alias("spread"))
+    return _best_diagonals(pairs.select(F.col("own.name").alias("a"), F.col("top.name").alias("b"), (F.col("top.at") - F.col("own.at")).alias("diagonal"), F.col("own.at").alias("at")), hits, k)
+
+
+def _best_diagonals(found: DataFrame, hits: int, k: int) -> DataFrame:
+    """(a, b, diagonal) with most of the shared words (a, b, diagonal, at), where there are enough, far enough apart."""
+    votes = found.groupBy("a", "b", "diagonal").agg(F.count(F.lit(1)).alias("votes"), (F.max("at") - F.min("at")).alias("spread"))
     apart = (F.col("votes") >= hits) & (F.col("spread") >= k * (hits - 1))
     return votes.where(apart).groupBy("a", "b").agg(F.max(F.struct("votes", "diagonal")).alias("best")).select("a", "b", F.col("best.diagonal").alias("diagonal"))
 
@@ -131,9 +325,13 @@ def greedy_representatives(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(best.select(F.col("a").alias("name"), F.col("best.b").alias("rep"), F.col("best.diagonal").alias("diagonal")))
 
 
-def word_length(seqs: DataFrame) -> int:
+def _letters(seqs: DataFrame) -> int:
+    return seqs.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
+
+
+def word_length(seqs: DataFrame, letters: int | None = None) -> int:
     """k for an index of these sequences: chance alone, in an alphabet of about twelve equally frequent letters, fills postings to half of FULL_POSTING."""
-    letters = seqs.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
+    letters = _letters(seqs) if letters is None else letters
     return min(16, max(3, math.ceil(math.log((letters + 1) / (FULL_POSTING / 2)) / math.log(12))))
 
 
@@ -160,15 +358,17 @@ def sequence_clusters(seqs: DataFrame, k: int | None = None, identity: float = 0
     above). Two words on one diagonal become rare below identity 0.4.
     """
     texts = seqs.select(F.col(name).alias("name"), F.col(seq).alias("seq"))
-    k = k or word_length(texts)
+    letters = _letters(texts)
+    k = k or word_length(texts, letters)
+    buckets = max(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(letters / every / WORDS))
     with Scratch(seqs.sparkSession) as scratch:
         can = F.col("name").isNotNull() & (F.coalesce(F.length("seq"), F.lit(0)) >= k)
         long = texts.where(can).withColumn("same", F.sha2("seq", 256))
         base = scratch.table(long.groupBy("same").agg(F.min(F.struct("name", "seq")).alias("s")).select("same", "s.*"))
         copies = long.select("name", "same").join(base.select("same", F.col("name").alias("first")), "same").select("name", "first")
-        index = scratch.table(kmer_index(base, k, every, coverage))
-        tops = scratch.table(_tops(index))
-        pairs, tried, links, found = candidate_pairs(index, tops, coverage, hits, k), None, None, None
+        index = scratch.table(packed_index(base, k, every, coverage, buckets))
+        tops = scratch.table(packed_tops(index, coverage))
+        pairs, tried, links, found = packed_pairs(index, coverage, hits, k), None, None, None
         while True:
             pairs = scratch.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
             new = scratch.table(aligned_links(pairs, base, identity, coverage, band, scoring))
@@ -179,7 +379,7 @@ def sequence_clusters(seqs: DataFrame, k: int | None = None, identity: float = 0
             found = greedy_representatives(links, scratch)
             members = found.select("name")
             hidden = tops.where(F.col("n") > FULL_POSTING).join(members.select(F.col("name").alias("gone")), F.col("top.name") == F.col("gone"), "left_semi").select(*_POSTING)
-            live = index.join(hidden, _POSTING, "left_semi").join(members, "name", "left_anti")
+            live = scratch.table(packed_words(index, hidden, coverage, buckets).join(members, "name", "left_anti"))
             tops = scratch.table(_tops(live))
             again = candidate_pairs(live, tops, coverage, hits, k).withColumn("kind", F.lit(0))
             hop = found.select(F.col("name").alias("b"), "rep", F.col("diagonal").alias("more"))

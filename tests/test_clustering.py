@@ -141,3 +141,23 @@ def test_one_word_that_all_share(spark):
     rows = ["COMMONWORDCOMMON" + s for s in families(rng, 20, 3, 0.1)]
     got = {r.name: r.representative for r in C.sequence_clusters(spark.createDataFrame(list(enumerate(rows)), "name long, seq string")).collect()}
     assert got == greedy(len(rows), rows, all_pairs(rows))
+
+
+@pytest.mark.parametrize("coverage", [0.8, 0.0])
+def test_packed_index_equals_rows(spark, coverage):
+    """Pairs, long postings and their words of the packed index against those of an index of rows; a name of two texts, a word that all share."""
+    rng = np.random.default_rng(21)
+    seqs = ["COMMONWORDCOMMON" + s for s in families(rng, 12, 4, 0.2)]
+    base = spark.createDataFrame([(f"s{n % 45}", s) for n, s in enumerate(seqs)], "name string, seq string")
+    rows, packed = C.kmer_index(base, 4, 2, coverage), C.packed_index(base, 4, 2, coverage, 7).cache()
+    tops = C._tops(rows)
+    pairs = {tuple(r) for r in C.packed_pairs(packed, coverage, 2, 4).collect()}
+    assert pairs == {tuple(r) for r in C.candidate_pairs(rows, tops, coverage, 2, 4).where("a <> b").collect()} and len(pairs) > 40
+    kept = lambda t: {(r["kmer"], r["class"], r["n"], r["top"]["name"]) for r in t.where(f"n > {C.FULL_POSTING}").collect()}
+    long = kept(C.packed_tops(packed, coverage))
+    assert long == kept(tops) and long
+    asked = tops.where(f"n > {C.FULL_POSTING}").select("kmer", "class")
+    words = lambda t: sorted((r["name"], r["neg"], r["at"], tuple(r["classes"]), r["kmer"], r["class"]) for r in t.collect())
+    assert words(C.packed_words(packed, asked, coverage, 7)) == words(rows.join(asked, ["kmer", "class"], "left_semi"))
+    stored = sum(len(r["kmer"]) // 8 for r in packed.select("kmer").collect())
+    assert stored == rows.join(tops, ["kmer", "class"], "left_semi").select("name", "neg", "kmer", "at").distinct().count() < rows.count()
