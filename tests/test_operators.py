@@ -379,6 +379,31 @@ def test_patch_motifs_find_planted_patches(spark):
     assigned, prototypes = patches.patch_motifs(_frame(spark, {"m": a[:3, :3]}), size=5)
     assert assigned.count() == prototypes.count() == 0
 
+def test_patch_motifs_whatever_the_partitions(spark):
+    """Patches of a matrix of several bands, cells shuffled, some not given: motifs are those of a plain nearest prototype, prototypes their patches' means, and no dealing of rows changes them."""
+    rng = np.random.default_rng(14)
+    a = rng.random((150, 150)) + np.kron(rng.random((15, 15)) > 0.7, np.ones((10, 10))) * 3
+    a[70:140] = 0.0  # bands without a cell
+    frame = _frame(spark, {"m": a, "k": np.full((8, 8), 0.1)}).where("name = 'k' or i not between 70 and 139")
+    found = {}
+    for parts in (1, 5):
+        assigned, prototypes = patches.patch_motifs(frame.repartition(parts), motifs=3)
+        found[parts] = {(r.name, r.i, r.j): (r.motif, r.distance) for r in assigned.collect()}
+        c = np.zeros((3, 25))
+        for r in prototypes.collect():
+            c[r.motif, r.row * 5 + r.column] = r.value
+        x = np.array([a[i - 2 : i + 3, j - 2 : j + 3].ravel() for i in range(2, 148) for j in range(2, 148)])
+        z = np.vstack([(x - x.mean(0)) / x.std(0), np.zeros((16, 25))])
+        d = np.sqrt(((z[:, None] - c) ** 2).sum(2))
+        keys = [("m", i, j) for i in range(2, 148) for j in range(2, 148)] + [("k", i, j) for i in range(2, 6) for j in range(2, 6)]
+        assert set(keys) == found[parts].keys()
+        assert [found[parts][k][0] for k in keys] == d.argmin(1).tolist()
+        assert [found[parts][k][1] for k in keys] == pytest.approx(d.min(1).tolist(), abs=1e-9)
+        sizes = np.bincount(d.argmin(1), minlength=3)
+        assert (np.diff(sizes) <= 0).all()
+        assert np.abs(c - [z[d.argmin(1) == m].mean(0) for m in range(3)]).max() < 2e-2
+    assert {k: v[0] for k, v in found[1].items()} == {k: v[0] for k, v in found[5].items()}
+
 
 def test_every_patch_is_there(spark):
     """Whole patches of two matrices, one with cells left out, against plain slices; scaled places against plain deviations."""
