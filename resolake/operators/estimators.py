@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .positions import neighbours, relative_position
@@ -16,11 +16,10 @@ SEED = 42
 
 
 def neighbour_features(df: DataFrame, value: str, category: str, k: int = 1) -> DataFrame:
-    """Value, category, place and the k neighbours' values and categories of each position."""
-    x = relative_position(neighbours(df, value, k, 0.0))
-    cats = neighbours(df.select("name", "i", category), category, k, ("START", "END"))
-    names = [f"{s}_{n}" for n in range(1, k + 1) for s in ("prev", "next")]
-    return x.join(cats.select("name", "i", *[F.col(c).alias(f"{c}_cat") for c in names]), ["name", "i"])
+    """Value, category, place and the k neighbours' values and categories of each position, by windows that share one shuffle."""
+    w = Window.partitionBy("name").orderBy("i")
+    cats = {f"prev_{n}_cat": F.lag(category, n, "START").over(w) for n in range(1, k + 1)} | {f"next_{n}_cat": F.lead(category, n, "END").over(w) for n in range(1, k + 1)}
+    return relative_position(neighbours(df, value, k, 0.0).withColumns(cats))
 
 
 def feature_pipeline(numeric: list[str], categorical: list[str], estimator=None) -> Pipeline:

@@ -8,7 +8,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..functions import scalars
 from ..operators import attention as at
 from ..operators import checks, clustering, crf, embedding, estimators, grid, heads, kernels, patches, sampling
-from ..sources.tables import table
+from ..sources.tables import Scratch, table
 from .attention_queries import _seqs
 from .bindings import attn, query, res, series, vecs
 
@@ -158,9 +158,15 @@ def _(spark, d):
     return _features(spark, d)
 
 
+def _split_features(spark, d):
+    """Positions with features and split, stored once: fits read them many times."""
+    x = _features(spark, d).select("name", "i", "label", "cat", "prev_1", "next_1", "rel_pos", "prev_1_cat", "next_1_cat")
+    with Scratch(spark) as scratch:
+        return scratch.keep(sampling.group_split(scratch.table(x), F.col("name").cast("string")))
+
+
 def _fitted(spark, d, estimator):
-    x = _features(spark, d)
-    x = sampling.group_split(x, F.col("name").cast("string"))
+    x = _split_features(spark, d)
     model = estimators.feature_pipeline(["prev_1", "next_1", "rel_pos"], ["cat", "prev_1_cat", "next_1_cat"], estimator).fit(x.where("split = 'train'"))
     p = model.transform(x.where("split = 'test'"))
     return p.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
@@ -185,7 +191,7 @@ def _(spark, d):
 
 @query("m5_crf_grid", "c1:d c2:d n:l accuracy:d")
 def _(spark, d):
-    x, c, v = sampling.group_split(_features(spark, d), F.col("name").cast("string")), ["cat", "prev_1_cat", "next_1_cat"], ["rel_pos"]
+    x, c, v = _split_features(spark, d), ["cat", "prev_1_cat", "next_1_cat"], ["rel_pos"]
     penalties = [(c1, c2) for c1 in (0.01, 1.0, 100.0) for c2 in (0.01, 1.0, 100.0)]
     models = crf.fit_grid(x.where("split = 'train'"), "label", c, v, penalties, rounds=40)
     points = F.broadcast(spark.createDataFrame([(n, *p) for n, p in enumerate(penalties)], "model int, c1 double, c2 double"))

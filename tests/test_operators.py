@@ -436,6 +436,16 @@ def test_background_subclusters_split_blocks(spark):
     assert kernels.bright_components(_frame(spark, {"m": a[:1, :1]})).count() == 0
 
 
+def test_neighbour_features_share_one_shuffle(spark):
+    """One shuffle and no join; rows without a name stay, as in the SQL of m4_neighbour_features."""
+    t = spark.createDataFrame([("a", 0, 1.0, "p"), ("a", 1, 2.0, "q"), (None, 0, 3.0, "r"), (None, 1, 4.0, "p")], "name string, i int, value double, cat string")
+    x = estimators.neighbour_features(t, "value", "cat")
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = sorted((str(r.name), r.i, r.prev_1, r.next_1, r.prev_1_cat, r.next_1_cat, r.rel_pos) for r in x.collect())
+    assert got == [("None", 0, 0.0, 4.0, "START", "p", 0.0), ("None", 1, 3.0, 0.0, "r", "END", 0.5), ("a", 0, 0.0, 2.0, "START", "q", 0.0), ("a", 1, 1.0, 0.0, "p", "END", 0.5)]
+
+
 def test_classifiers_on_held_out_rows(spark):
     """Logistic regression is right about a linear rule, the forest about one that no line tells, the grid prefers the light penalty."""
     rng = np.random.default_rng(9)
