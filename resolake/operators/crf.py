@@ -132,6 +132,50 @@ def loss_and_gradient(b: _Batch, unary: np.ndarray, transitions: np.ndarray) ->
     return float(z.sum() - path), g_unary, g_transitions
 
 
+#: Spread of a position's scores and of the transitions up to which losses of many points go by probabilities, not their logarithms.
+_SPREAD = 250.0
+
+
+def losses_and_gradients(b: _Batch, unary: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """loss_and_gradient at many points (points, features, labels), (points, from, to) at once: probabilities of a position sum to 1, the logarithms of their scales to the likelihood."""
+    points, count, kinds = unary.shape
+    rows, n, k = b.x.shape
+    padded = np.concatenate([unary, np.zeros((points, 1, kinds))], 1).transpose(1, 0, 2).reshape(count + 1, -1)
+    s = sum(padded[b.x[:, :, f].T] * b.v[:, :, f].T[..., None] for f in range(k)).reshape(n, rows, points, kinds).transpose(0, 2, 1, 3)
+    top = s.max(3)
+    if (top - s.min(3)).max(initial=0) > _SPREAD or (transitions.max() - transitions.min()) > _SPREAD:
+        found = [loss_and_gradient(b, u, t) for u, t in zip(unary, transitions, strict=True)]
+        return tuple(np.array(x) for x in zip(*found, strict=True))
+    inside = np.arange(n)[:, None] < b.lengths
+    live = inside.sum(1).tolist()  # rows that reach a position come first
+    e = np.exp(s - top[..., None])
+    high = transitions.max((1, 2))
+    m = np.exp(transitions - high[:, None, None])
+    back = m.transpose(0, 2, 1)
+    alpha, beta, scale = np.zeros(e.shape), np.ones(e.shape), np.ones(top.shape)
+    for t in range(n):
+        own = e[t, :, : live[t]] if t == 0 else np.matmul(alpha[t - 1, :, : live[t]], m) * e[t, :, : live[t]]
+        scale[t, :, : live[t]] = own.sum(2)
+        alpha[t, :, : live[t]] = own / scale[t, :, : live[t], None]
+    pairs = np.zeros(m.shape)
+    for t in range(n - 1, 0, -1):
+        r = live[t]
+        next_ = e[t, :, :r] * beta[t, :, :r] / scale[t, :, :r, None]
+        beta[t - 1, :, :r] = np.matmul(next_, back)
+        pairs += np.matmul(alpha[t - 1, :, :r].transpose(0, 2, 1), next_)
+    y = np.maximum(b.y, 0).T
+    path = np.take_along_axis(s, np.broadcast_to(y[:, None, :, None], (n, points, rows, 1)), 3)[..., 0]
+    loss = ((np.log(scale) + top - path) * inside[:, None]).sum((0, 2)) + high * np.maximum(b.lengths - 1, 0).sum()
+    both = inside[1:]
+    follow = np.bincount(y[:-1][both] * kinds + y[1:][both], minlength=kinds * kinds).reshape(kinds, kinds)
+    at = np.nonzero(inside)
+    diff = (alpha * beta)[at[0], :, at[1]]  # (positions, points, labels)
+    diff[np.arange(len(diff)), :, y[at]] -= 1
+    x, v, diff = b.x[at[1], at[0]], b.v[at[1], at[0]], diff.reshape(len(diff), -1).T.copy()
+    sums = [sum(np.bincount(x[:, f], weights=v[:, f] * d, minlength=count + 1) for f in range(k))[:count] for d in diff]
+    return loss - (transitions * follow).sum((1, 2)), np.stack(sums, 1).reshape(count, points, kinds).transpose(1, 0, 2), pairs * m - follow
+
+
 def viterbi(b: _Batch, unary: np.ndarray, transitions: np.ndarray) -> np.ndarray:
     """Most probable labels (B, n); ties go to the smaller label."""
     s = _scores(b, unary)
@@ -150,25 +194,42 @@ def viterbi(b: _Batch, unary: np.ndarray, transitions: np.ndarray) -> np.ndarray
     return out
 
 
-def _evaluate(sequences: DataFrame, features: list[str], labels: list[str], k: int, points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
-    """Loss and gradient at each point; tasks sum their own sequences, Spark sums tasks by weight."""
-    size = len(features) * len(labels)
-    shared = sequences.sparkSession.sparkContext.broadcast((features, labels, points))
+_CODED = "longest int, x binary, v binary, y binary, lengths binary"
+
+
+def _coded(sequences: DataFrame, features: list[str], labels: list[str], k: int) -> DataFrame:
+    """The sequences' batches with numbers for features and labels, so that passes need no names."""
+    known, classes = {f: n for n, f in enumerate(features)}, {c: n for n, c in enumerate(labels)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds, at = shared.value
-        known, classes = {f: n for n, f in enumerate(names)}, {c: n for n, c in enumerate(kinds)}
-        sums = {p: np.zeros(len(w) + 1) for p, w in at.items()}
         for batch in batches:
             for b in _batches(batch, known, classes, k):
-                for p, w in at.items():
-                    loss, u, t = loss_and_gradient(b, w[:size].reshape(-1, len(kinds)), w[size:].reshape(len(kinds), -1))
-                    sums[p] += np.concatenate([u.ravel(), t.ravel(), [loss]])
-        for p, g in sums.items():
+                cells = [b.x.astype(np.int32), b.v.astype(float), b.y.astype(np.int32), b.lengths.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([b.x.shape[1]], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in cells]], names=["longest", "x", "v", "y", "lengths"])
+
+    return sequences.mapInArrow(run, _CODED)
+
+
+def _evaluate(coded: DataFrame, features: int, kinds: int, k: int, points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray]]:
+    """Loss and gradient at each point; tasks sum their own sequences, Spark sums tasks by weight."""
+    size = features * kinds
+    shared = coded.sparkSession.sparkContext.broadcast(points)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.array(list(shared.value.values()))
+        unary, transitions, sums = w[:, :size].reshape(len(w), features, kinds), w[:, size:].reshape(len(w), kinds, kinds), np.zeros((len(w), w.shape[1] + 1))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                n, *cells = (batch.column(c)[row].as_py() for c in range(5))
+                x, v, y, lengths = (np.frombuffer(c, t) for c, t in zip(cells, (np.int32, float, np.int32, np.int64), strict=True))
+                b = _Batch(x.reshape(-1, n, k), v.reshape(-1, n, k), y.reshape(-1, n), lengths, np.arange(len(lengths)))
+                loss, u, t = losses_and_gradients(b, unary, transitions)
+                sums += np.concatenate([u.reshape(len(w), -1), t.reshape(len(w), -1), loss[:, None]], 1)
+        for p, g in zip(shared.value, sums, strict=True):
             some = np.flatnonzero(g)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), p)), pa.array(some), pa.array(g[some])], names=["point", "weight", "g"])
 
-    rows = sequences.mapInArrow(run, "point long, weight long, g double").groupBy("point", "weight").agg(F.sum("g").alias("g")).collect()  # a row a weight
+    rows = coded.mapInArrow(run, "point long, weight long, g double").groupBy("point", "weight").agg(F.sum("g").alias("g")).collect()  # a row a weight
     shared.destroy()
     out = {p: np.zeros(len(w) + 1) for p, w in points.items()}
     for r in rows:
@@ -189,12 +250,13 @@ def fit_grid(df: DataFrame, label: str, categorical: list[str], numeric: list[st
             raise ValueError(f"more than {MAX_FEATURES} features")
         labels = sorted(r[0] for r in sequences.select(F.explode("labels")).distinct().collect())
         size = len(labels) * (len(features) + len(labels))
+        coded = scratch.table(_coded(sequences, features, labels, k))
         searches = [Minimiser(size, c1) for c1, _ in grid]
         for _ in range(rounds):
             open_ = {n: m.trial for n, m in enumerate(searches) if not m.done}
             if not open_ or not size:
                 break
-            for n, (value, g) in _evaluate(sequences, features, labels, k, open_).items():
+            for n, (value, g) in _evaluate(coded, len(features), len(labels), k, open_).items():
                 w, c2 = open_[n], grid[n][1]
                 searches[n].tell(value + c2 * float(w @ w), g + 2 * c2 * w)
     cut = len(features) * len(labels)

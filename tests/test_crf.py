@@ -45,6 +45,18 @@ def test_loss_is_that_of_all_paths_and_gradients_are_finite_differences():
         assert g[c] == pytest.approx((C.loss_and_gradient(b, *split(w + e))[0] - C.loss_and_gradient(b, *split(w - e))[0]) / 2e-5, abs=1e-6)
 
 
+@pytest.mark.parametrize("scale", [1.0, 12.0, 400.0])
+def test_many_points_at_once_equal_single_ones(scale):
+    """Losses and gradients by probabilities equal those by their logarithms, to which very large weights go back; lengths differ."""
+    rng = np.random.default_rng(6)
+    b = batch(rng, [7, 1, 1, 300, 12, 7], 6, 4, 3)
+    unary, transitions = rng.normal(size=(5, 6, 4)) * scale, rng.normal(size=(5, 4, 4)) * scale
+    got = C.losses_and_gradients(b, unary, transitions)
+    for n in range(5):
+        for mine, want in zip(got, C.loss_and_gradient(b, unary[n], transitions[n]), strict=True):
+            assert mine[n] == pytest.approx(want, rel=1e-9, abs=1e-7)
+
+
 @pytest.mark.parametrize("c1", [0.0, 0.5, 4.0])
 def test_minimiser_finds_the_least(c1):
     """A quadratic whose least point is known by coordinate: soft thresholds."""
