@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.tables import Scratch
 
@@ -176,34 +177,78 @@ def betweenness(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.groupBy("name").cogroup(nodes.select("name", "i").groupBy("name")).applyInPandas(run, "name string, i int, betweenness double")
 
 
-def bright_components(attn: DataFrame, percent: float = 1.0, least_size: int = 4, window: int = 0) -> DataFrame:
+#: Side of the squares of a matrix in which a task labels regions.
+TILE = 256
+
+
+def region_labels(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each cell, the place in the input of the first cell, by (i, j), of its 8-connected region; a cell may occur twice."""
+    width = int(j.max() - j.min()) + 3  # no row's end touches the next row's start
+    key, first, at = np.unique((i - i.min()) * width + (j - j.min()), return_index=True, return_inverse=True)
+    after = np.concatenate([key + 1, key + width - 1, key + width, key + width + 1])
+    found = np.minimum(np.searchsorted(key, after), len(key) - 1)
+    met = key[found] == after
+    a, b = np.tile(np.arange(len(key)), 4)[met], found[met]
+    label = np.arange(len(key))
+    while True:
+        least, low = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(low, label[a], least)
+        np.minimum.at(low, label[b], least)
+        low = low[low]
+        if (low == label).all():
+            return first[label][at]
+        label = low
+
+
+def _linked(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(name, hi, lo) for every label of links (name, u, v) but the smallest of its component, which is lo.
+
+    Each round a label points at its smallest smaller neighbour, hands the others
+    over to that one, and follows one pointer further.
+    """
+    u, v = F.col("u"), F.col("v")
+    e = scratch.table(links.select("name", F.greatest(u, v).alias("hi"), F.least(u, v).alias("lo"), F.lit(True).alias("moved")).distinct())
+    while e.agg(F.max("moved")).first()[0]:
+        first = scratch.table(e.groupBy("name", "hi").agg(F.min("lo").alias("m")))
+        handed = e.join(first, ["name", "hi"]).where("lo <> m").select("name", F.col("lo").alias("hi"), F.col("m").alias("lo"), F.lit(True).alias("moved"))
+        further = first.select("name", F.col("hi").alias("m"), F.col("m").alias("mm"))
+        jumped = first.join(further, ["name", "m"], "left").select("name", "hi", F.coalesce("mm", "m").alias("lo"), F.col("mm").isNotNull().alias("moved"))
+        e = scratch.table(handed.unionByName(jumped).groupBy("name", "hi", "lo").agg(F.max("moved").alias("moved")))
+    return e.drop("moved")
+
+
+def bright_components(attn: DataFrame, percent: float = 1.0, least_size: int = 4, window: int = 0, tile: int = TILE) -> DataFrame:
     """(name, component, i, j, w): 8-connected regions of cells at or above the order-statistic cutoff, near-diagonal cells left out.
 
     The cutoff is among the cells given; cells that are not given belong to no
-    region. Only bright cells are joined with their neighbours: each round a cell
-    takes the smallest label about it, then the label of the cell that it names,
-    so rounds grow with the logarithm of a region's length. Components are
-    numbered by their first cell.
+    region. A group is a square of `tile` positions a side, whatever a matrix's
+    size: there regions are labelled by their first cell. Then only cells at
+    squares' edges are met with their neighbours, and labels that touch are
+    joined in rounds. Components are numbered by their first cell.
     """
     from .positions import index_cutoff
 
     far = attn.where(F.abs(F.col("i") - F.col("j")) > window).select(F.col("name").cast("string").alias("name"), F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "w")
+    bright = index_cutoff(far.where(F.col("name").isNotNull()), "w", percent, out="_bright").where("_bright").select("name", "i", "j", "w")
+
+    def run(cells: pa.Table) -> pa.Table:
+        i, j = cells.column("i"), cells.column("j")
+        first = pa.array(region_labels(i.to_numpy().astype(np.int64), j.to_numpy().astype(np.int64)))
+        return cells.append_column("_i", i.take(first)).append_column("_j", j.take(first))
+
+    schema = StructType([*bright.schema, StructField("_i", IntegerType()), StructField("_j", IntegerType())])
     with Scratch(attn.sparkSession) as scratch:
-        own = F.struct("i", "j")
-        cells = scratch.table(index_cutoff(far, "w", percent, out="_bright").where("_bright").select("name", "i", "j", "w", own.alias("label")))
-        near = F.explode(F.array(*[F.struct((F.col("i") + x).alias("i"), (F.col("j") + y).alias("j")) for x in (-1, 0, 1) for y in (-1, 0, 1)])).alias("at")
-        while True:
-            offered = cells.select("name", near, "label").groupBy("name", F.col("at.i").alias("i"), F.col("at.j").alias("j")).agg(F.min("label").alias("least"))
-            lower = scratch.table(cells.join(offered, ["name", "i", "j"]))
-            named = lower.select("name", F.col("i").alias("_i"), F.col("j").alias("_j"), F.col("least").alias("further"))
-            jumped = lower.join(named, (lower["name"] == named["name"]) & (F.col("least.i") == F.col("_i")) & (F.col("least.j") == F.col("_j"))).drop(named["name"])
-            cells = scratch.table(jumped.select("name", "i", "j", "w", F.least("least", "further").alias("label"), (F.col("further") < F.col("label")).alias("moved")))
-            if not cells.agg(F.max("moved")).first()[0]:
-                break
-            cells = cells.drop("moved")
-        sizes = cells.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_size)
+        squares = bright.groupBy("name", F.floor(F.col("i") / tile).alias("_ti"), F.floor(F.col("j") / tile).alias("_tj"))
+        cells = scratch.table(squares.applyInArrow(run, schema).select("name", "i", "j", "w", F.struct(F.col("_i").alias("i"), F.col("_j").alias("j")).alias("label")))
+        at_edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+        edge = cells.where(at_edge("i") | at_edge("j")).select("name", "i", "j", "label")
+        after = F.explode(F.array(*[F.struct((F.col("i") + x).alias("i"), (F.col("j") + y).alias("j")) for x, y in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("at")
+        met = edge.select("name", F.col("label").alias("u"), after).select("name", "u", "at.i", "at.j").join(edge.withColumnRenamed("label", "v"), ["name", "i", "j"])
+        lower = _linked(met.where("u <> v"), scratch).withColumnRenamed("hi", "label")
+        whole = cells.join(lower, ["name", "label"], "left").select("name", "i", "j", "w", F.coalesce("lo", "label").alias("label"))
+        sizes = whole.groupBy("name", "label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_size)
         numbered = sizes.select("name", "label", (F.row_number().over(Window.partitionBy("name").orderBy("label")) - 1).alias("component"))
-        return scratch.keep(cells.join(numbered, ["name", "label"]).select("name", "component", "i", "j", "w"))
+        return scratch.keep(whole.join(numbered, ["name", "label"]).select("name", "component", "i", "j", "w"))
 
 
 def component_summary(regions: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-computed fixtures, two-route and metamorphic checks of the analysis operators."""
 
 import math
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from resolake.functions import pvalues, scalars
 from resolake.operators import attention, contingency, estimators, joining, kernels, patches, positions, sampling, statistics
+from resolake.sources.tables import Scratch
 
 A = [[0.1, 0.2, 0.3, 0.4], [0.25] * 4, [0.4, 0.3, 0.2, 0.1], [0.0, 0.0, 0.0, 1.0]]
 SS = "HHEC"
@@ -436,6 +438,49 @@ def test_background_subclusters_split_blocks(spark):
     assert kernels.bright_components(_frame(spark, {"m": a[:1, :1]})).count() == 0
 
 
+def _bright_regions(m, percent, least_size):
+    """Regions as sets of cells by a walk over each, in the order of their first cells."""
+    off = {(i, j): m[i, j] for i in range(len(m)) for j in range(len(m)) if i != j}
+    cut = sorted(off.values())[min(max(int(np.floor(len(off) * (1 - percent / 100))), 0), len(off) - 1)]
+    left, found = {c for c, w in off.items() if w >= cut}, []
+    for start in sorted(left):
+        region, todo = set(), [start] if start in left else []
+        while todo:
+            i, j = todo.pop()
+            if (i, j) in left:
+                left.remove((i, j))
+                region.add((i, j))
+                todo += [(i + x, j + y) for x in (-1, 0, 1) for y in (-1, 0, 1)]
+        if len(region) >= least_size:
+            found.append(region)
+    return found
+
+
+def test_bright_regions_across_squares(spark):
+    """Regions that wind through many squares are those of a walk, and numbered alike."""
+    rng = np.random.default_rng(6)
+    for percent, least_size in ((12.0, 2), (38.0, 3)):
+        m = {f"m{n}": rng.random((n, n)) for n in (3, 22, 31)}
+        got = defaultdict(set)
+        for r in kernels.bright_components(_frame(spark, m), percent, least_size, tile=4).collect():
+            got[r.name, r.component].add((r.i, r.j))
+        want = {(name, k): region for name, x in m.items() for k, region in enumerate(_bright_regions(x, percent, least_size))}
+        assert got == want and max(map(len, want.values())) > 5
+
+
+def test_bright_regions_take_no_rounds_within_squares(spark, monkeypatch):
+    """Arms that meet far from their first cells are joined where they are read; before, each round moved a step along an arm."""
+    m = np.zeros((48, 48))
+    for k in range(40):
+        m[k, [47 if k < 39 else 46, 41]] = 1.0
+    m[39, 41:47] = 1.0
+    stored, table = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df: stored.append(1) or table(self, df))
+    got = kernels.bright_components(_frame(spark, {"m": m}), 100 * ((m > 0).sum() - 0.5) / (48 * 47), 2)
+    assert got.count() == (m > 0).sum() and got.select("component").distinct().count() == 1
+    assert len(stored) <= 2
+
+
 def test_neighbour_features_share_one_shuffle(spark):
     """One shuffle and no join; rows without a name stay, as in the SQL of m4_neighbour_features."""
     t = spark.createDataFrame([("a", 0, 1.0, "p"), ("a", 1, 2.0, "q"), (None, 0, 3.0, "r"), (None, 1, 4.0, "p")], "name string, i int, value double, cat string")
