@@ -34,9 +34,9 @@ def kmer_positions(text: str, k: int, every: int) -> tuple[np.ndarray, np.ndarra
         for i in range(k):
             h = (h + letters[i : i + len(h)] + np.uint64(1)) * _MULTIPLIER
             h ^= h >> np.uint64(32)
-    found, at = np.unique(h, return_index=True)
-    some = found % np.uint64(every) == 0
-    return found[some].view(np.int64), at[some].astype(np.int32)
+    some = np.flatnonzero(h % np.uint64(every) == 0)
+    found, at = np.unique(h[some], return_index=True)
+    return found.view(np.int64), some[at].astype(np.int32)
 
 
 def _kmers(k: int, every: int):
@@ -238,6 +238,7 @@ def packed_words(index: DataFrame, postings: DataFrame, coverage: float, buckets
     """The words in some postings (kmer, class), as rows of kmer_index."""
     name = index.schema["name"].dataType.elementType.simpleString()
     asked = postings.select(F.pmod(F.shiftright("kmer", 20), F.lit(buckets)).cast("int").alias("_bucket"), "kmer", "class")
+    index = index.join(F.broadcast(asked.select(F.col("_bucket").alias("bucket")).distinct()), "bucket", "left_semi")  # at most a row a bucket
 
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
         schema = pa.schema([("name", table.schema.field("name").type.value_type), ("neg", pa.int32()), ("at", pa.int32()), ("classes", pa.list_(pa.int64())), ("kmer", pa.int64()), ("class", pa.int64())])
@@ -290,6 +291,21 @@ def _tops(index: DataFrame) -> DataFrame:
     return index.groupBy(*_POSTING).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("neg", "name", "at", "classes")).alias("top")).where("n > 1")
 
 
+def with_room(pairs: DataFrame, sizes: DataFrame, band: int, coverage: float) -> DataFrame:
+    """The pairs (a, b, diagonal) whose lengths (name, len) leave room for an alignment near the diagonal that covers both: `room` of the alignment, as columns.
+
+    Names of several sequences stay.
+    """
+    sizes = sizes.groupBy("name").agg(F.min("len").alias("size"), F.max("len").alias("most"))
+    side = lambda x, n: sizes.select(F.col("name").alias(x), F.col("size").alias(n), (F.col("most") > F.col("size")).alias(f"{n}_several"))
+    least = lambda n: F.ceil(F.col(n) * coverage - 1e-6)
+    low, high, zero = F.col("diagonal") - band, F.col("diagonal") + band, F.lit(0)
+    q = F.least(F.col("n"), F.col("m") - low) - F.greatest(zero, -high)
+    t = F.least(F.col("m"), F.col("n") + high) - F.greatest(zero, low)
+    both = pairs.join(side("a", "n"), "a").join(side("b", "m"), "b")
+    return both.where(F.col("n_several") | F.col("m_several") | ((q >= least("n")) & (t >= least("m")))).select(*pairs.columns)
+
+
 def aligned_links(pairs: DataFrame, seqs: DataFrame, identity: float, coverage: float, band: int, scoring: Scoring = Scoring()) -> DataFrame:
     """(a, b, diagonal, identity) of the pairs whose best local alignment has the identity and covers both.
 
@@ -357,21 +373,21 @@ def sequence_clusters(seqs: DataFrame, k: int | None = None, identity: float = 0
     families: 0.987 of the links (0.93 at identity 0.5 to 0.6, 0.99 to 0.7, all
     above). Two words on one diagonal become rare below identity 0.4.
     """
-    texts = seqs.select(F.col(name).alias("name"), F.col(seq).alias("seq"))
-    letters = _letters(texts)
-    k = k or word_length(texts, letters)
-    buckets = max(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(letters / every / WORDS))
     with Scratch(seqs.sparkSession) as scratch:
-        can = F.col("name").isNotNull() & (F.coalesce(F.length("seq"), F.lit(0)) >= k)
-        long = texts.where(can).withColumn("same", F.sha2("seq", 256))
-        base = scratch.table(long.groupBy("same").agg(F.min(F.struct("name", "seq")).alias("s")).select("same", "s.*"))
+        texts = scratch.table(seqs.select(F.col(name).alias("name"), F.col(seq).alias("seq")).withColumns({"same": F.sha2("seq", 256), "len": F.coalesce(F.length("seq"), F.lit(0))}))
+        letters = texts.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+        k = k or word_length(texts, letters)
+        buckets = max(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(letters / every / WORDS))
+        can = F.col("name").isNotNull() & (F.col("len") >= k)
+        long = texts.where(can)
+        base = scratch.table(long.groupBy("same").agg(F.min(F.struct("name", "seq", "len")).alias("s")).select("same", "s.*"))
         copies = long.select("name", "same").join(base.select("same", F.col("name").alias("first")), "same").select("name", "first")
         index = scratch.table(packed_index(base, k, every, coverage, buckets))
         tops = scratch.table(packed_tops(index, coverage))
         pairs, tried, links, found = packed_pairs(index, coverage, hits, k), None, None, None
         while True:
             pairs = scratch.table(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-            new = scratch.table(aligned_links(pairs, base, identity, coverage, band, scoring))
+            new = scratch.table(aligned_links(scratch.table(with_room(pairs, base.select("name", "len"), band, coverage)), base, identity, coverage, band, scoring))
             if new.isEmpty():
                 break
             tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))

@@ -161,3 +161,42 @@ def test_packed_index_equals_rows(spark, coverage):
     assert words(C.packed_words(packed, asked, coverage, 7)) == words(rows.join(asked, ["kmer", "class"], "left_semi"))
     stored = sum(len(r["kmer"]) // 8 for r in packed.select("kmer").collect())
     assert stored == rows.join(tops, ["kmer", "class"], "left_semi").select("name", "neg", "kmer", "at").distinct().count() < rows.count()
+
+
+@given(st.lists(st.tuples(SEQUENCE, SEQUENCE, st.integers(-9, 9)), min_size=1, max_size=8), st.integers(0, 4), st.sampled_from([0.3, 0.6, 0.8, 1.0]))
+@settings(max_examples=150, deadline=None)
+def test_room_holds_every_covering_alignment(pairs, band, coverage):
+    """Few columns and steps, so that pairs are looked at several times and hand on their places."""
+    q, t, d = ([np.array(x, np.int32) for x in side] if n < 2 else np.array(side) for n, side in enumerate(zip(*pairs, strict=True)))
+    n, m = np.array([len(x) for x in q]), np.array([len(x) for x in t])
+    got = A.banded_alignments(q, t, d, band)
+    covering = set(np.flatnonzero((got["score"] > 0) & (got["query_span"] / n >= coverage) & (got["target_span"] / m >= coverage)).tolist())
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(A, "COLUMNS", 2)
+        patch.setattr(A, "STEPS", 3)
+        may = set(A.may_cover(q, t, d, band, coverage).tolist())
+    assert covering <= may <= set(np.flatnonzero(A.room(n, m, d, band, coverage).enough).tolist())
+
+
+def test_unrelated_pairs_end_early():
+    """Long pairs that share no family: none is left to align, and of a family each is."""
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(LETTERS, n))
+    a, b = [word(3000) for _ in range(40)], [word(3200) for _ in range(40)]
+    a[7] = mutated(rng, b[7], 0.3, 5)
+    coded = [[A.codes(s) for s in side] for side in (a, b)]
+    assert A.may_cover(*coded, np.zeros(40, np.int64), 16, 0.8).tolist() == [7]
+    far = A.may_cover(*coded, np.full(40, 1500), 16, 0.8)
+    assert len(far) == 0 and not A.room(np.full(40, 3000), np.full(40, 3200), np.full(40, 1500), 16, 0.8).enough.any()
+
+
+def test_pairs_without_room_get_no_sequences(spark):
+    rng = np.random.default_rng(5)
+    sizes = [(int(x), int(n)) for x, n in enumerate(rng.integers(20, 120, 60))]
+    pairs = [(int(a), int(b), int(d)) for a, b, d in zip(rng.integers(60, size=400), rng.integers(60, size=400), rng.integers(-90, 90, 400), strict=True)]
+    frame, table = spark.createDataFrame(pairs, "a long, b long, diagonal int"), spark.createDataFrame([*sizes, (0, 500)], "name long, len int")
+    length = dict(sizes)
+    a, b, d = (np.array(x) for x in zip(*pairs, strict=True))
+    enough = A.room(np.array([length[x] for x in a]), np.array([length[x] for x in b]), d, 4, 0.8).enough | (a == 0) | (b == 0)  # 0 names two sequences
+    assert sorted(tuple(r) for r in C.with_room(frame, table, 4, 0.8).collect()) == sorted(p for p, x in zip(pairs, enough, strict=True) if x)
+    assert 0 < enough.sum() < 200
