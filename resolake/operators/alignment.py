@@ -115,6 +115,8 @@ def columns_of(found: dict[str, np.ndarray], scoring: Scoring = Scoring()) -> np
 CELLS, LETTERS = 1 << 15, 4 << 20
 #: Pairs that may_cover holds at a time, and query positions between two looks at them.
 COLUMNS, STEPS = 1 << 11, 32
+#: Score above which a pair is aligned without looking any further: chance alone does not give it.
+CERTAIN = 1_500
 
 
 class Room(NamedTuple):
@@ -151,7 +153,7 @@ def may_cover(a: list[np.ndarray], b: list[np.ndarray], diagonals: np.ndarray, b
     waiting, stays = np.flatnonzero(has.enough & (has.begin < has.reach)), [np.flatnonzero(has.enough & (has.begin >= has.reach))]
     text, letters = ((np.concatenate([*side, np.zeros(1, np.int32)]) & 0xFF).astype(np.uint16) << 8 for side in (a, b))  # any two that differ, differ by 200 or more
     text_at, letters_at = np.cumsum(n) - n, np.cumsum(m) - m
-    dead, most = np.int16(-20_000), 30_000 - scoring.match * STEPS
+    dead = np.int16(-20_000)
     match, gap, less = np.int16(scoring.match), np.int16(scoring.gap), np.full((band + 1, COLUMNS), scoring.match - scoring.mismatch, np.uint16)
     pair, row = np.empty(0, np.int64), np.empty(0, np.int64)
     even, odd = np.empty((band + 1, 0), np.int16), np.empty((band + 2, 0), np.int16)  # the band's diagonals 0, 2, 4 ... and 1, 3, 5 ..., these between two that are always dead
@@ -186,7 +188,7 @@ def may_cover(a: list[np.ndarray], b: list[np.ndarray], diagonals: np.ndarray, b
         row = row + STEPS
         best = np.maximum(even.max(axis=0), inner.max(axis=0))
         past = row - 1 > has.reach[pair]
-        across = past | (best > most)
+        across = past | (best > CERTAIN)
         stays.append(pair[across])
         go = np.flatnonzero(~across & (best >= 0))
         pair, row, even, odd = pair[go], row[go], even[:, go], odd[:, go]

@@ -278,7 +278,8 @@ def candidate_pairs(index: DataFrame, tops: DataFrame, coverage: float, hits: in
 
 def _best_diagonals(found: DataFrame, hits: int, k: int) -> DataFrame:
     """(a, b, diagonal) with most of the shared words (a, b, diagonal, at), where there are enough, far enough apart."""
-    votes = found.groupBy("a", "b", "diagonal").agg(F.count(F.lit(1)).alias("votes"), (F.max("at") - F.min("at")).alias("spread"))
+    # most diagonals hold one word, so counting them before the shuffle would not pay
+    votes = found.repartition("a", "b").groupBy("a", "b", "diagonal").agg(F.count(F.lit(1)).alias("votes"), (F.max("at") - F.min("at")).alias("spread"))
     apart = (F.col("votes") >= hits) & (F.col("spread") >= k * (hits - 1))
     return votes.where(apart).groupBy("a", "b").agg(F.max(F.struct("votes", "diagonal")).alias("best")).select("a", "b", F.col("best.diagonal").alias("diagonal"))
 
