@@ -20,7 +20,7 @@ FULL_POSTING = 16
 #: Rows that an aligning task gets with one copy of a partner's sequence.
 BLOCK = 256
 #: Words of a bucket of the packed index, and words that a task holds before it packs them.
-WORDS, HELD = 1 << 20, 1 << 22
+WORDS, HELD = 1 << 20, 1 << 19
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -376,13 +376,14 @@ def sequence_clusters(seqs: DataFrame, k: int | None = None, identity: float = 0
     """
     with Scratch(seqs.sparkSession) as scratch:
         texts = scratch.table(seqs.select(F.col(name).alias("name"), F.col(seq).alias("seq")).withColumns({"same": F.sha2("seq", 256), "len": F.coalesce(F.length("seq"), F.lit(0))}))
-        letters = texts.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
+        rows = scratch.table(texts.drop("seq"))
+        letters = rows.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]
         k = k or word_length(texts, letters)
         buckets = max(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(letters / every / WORDS))
         can = F.col("name").isNotNull() & (F.col("len") >= k)
-        long = texts.where(can)
-        base = scratch.table(long.groupBy("same").agg(F.min(F.struct("name", "seq", "len")).alias("s")).select("same", "s.*"))
-        copies = long.select("name", "same").join(base.select("same", F.col("name").alias("first")), "same").select("name", "first")
+        base = scratch.table(texts.where(can).groupBy("same").agg(F.min(F.struct("name", "seq", "len")).alias("s")).select("same", "s.*"))
+        scratch.drop(texts)
+        copies = rows.where(can).select("name", "same").join(base.select("same", F.col("name").alias("first")), "same").select("name", "first")
         index = scratch.table(packed_index(base, k, every, coverage, buckets))
         tops = scratch.table(packed_tops(index, coverage))
         pairs, tried, links, found = packed_pairs(index, coverage, hits, k), None, None, None
@@ -404,5 +405,5 @@ def sequence_clusters(seqs: DataFrame, k: int | None = None, identity: float = 0
             pairs = again.union(hops).groupBy("a", "b").agg(F.min(F.struct("kind", "diagonal")).alias("x")).select("a", "b", F.col("x.diagonal").alias("diagonal"))
         own = copies.withColumn("rep", F.col("first")) if found is None else copies.join(found.select(F.col("name").alias("first"), "rep"), "first", "left")
         own = own.select(F.coalesce("rep", "first").alias("representative"), "name")
-        alone = texts.where(~can).select(F.col("name").alias("representative"), "name")
+        alone = rows.where(~can).select(F.col("name").alias("representative"), "name")
         return scratch.keep(own.unionByName(alone)).withColumnRenamed("name", name)
